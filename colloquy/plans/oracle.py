@@ -278,7 +278,8 @@ ORACLES: dict[str, str] = {
                 unnest([loss, acc, ppl]) as value from good)""",
     "history_columnar": _HIST + "select run_id, string_agg(epoch, ' ' order by epoch) as epoch, "
         + ", ".join(
-            f"string_agg(case when isinf({h}) then 'Infinity' else printf('%.4f', {h}) end, "
+            f"string_agg(case when isinf({h}) then 'inf' "
+            f"else cast(cast(round({h} * 1e6) as hugeint) as varchar) end, "
             f"' ' order by epoch) as {h}" for h in HISTORY) + " from history group by run_id",
     # turns
     "dialog_assemble": """

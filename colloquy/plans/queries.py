@@ -177,8 +177,11 @@ def metric_events(spark, sf_dir):
 @query
 def history_columnar(spark, sf_dir):
     rows = M.history_columnar(_history(spark, sf_dir))
-    lists = [F.array_join(F.transform(c, lambda v: F.format_string("%.4f", v)), " ")
-             .alias(c) for c in M.HISTORY[1:]]
+    millionths = lambda v: F.when(
+        v == float("inf"), "inf").otherwise(
+            F.round(v * 1e6).cast("decimal(38,0)").cast("string"))
+    lists = [F.array_join(F.transform(c, millionths), " ").alias(c)
+             for c in M.HISTORY[1:]]
     return rows.select("run_id", ids_text(F.col("epoch")).alias("epoch"), *lists)
 
 

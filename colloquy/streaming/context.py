@@ -6,45 +6,39 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from colloquy.operators.turns import SEGMENT_TURNS, with_segments
+from colloquy.config import SEGMENT_TURNS
+from colloquy.operators.turns import with_segments
 
 OUTPUT = "conv_id bigint, turn bigint, context array<string>"
-PROVIDER = ("spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+STATE = "texts array<string>"
 
 
-class RollingContext(StatefulProcessor):
-    """Keeps the last ``max_hist`` texts of one conversation segment.
+def _roll(max_hist: int, ttl_ms: int):
+    """The update function: keeps the last ``max_hist`` texts of a segment."""
 
-    Idle state expires. The key carries the segment, so one endless
-    conversation is handled by as many tasks as it has segments at work.
-    """
-
-    def __init__(self, max_hist: int, ttl_ms: int):
-        self.max_hist = max_hist
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.texts = handle.getListState("texts", "text string", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def update(key: tuple, rows: Iterator[pd.DataFrame],
+               state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         conv_id, segment = key
+        # one segment's turns: bounded however long the conversation is
         arrived = pd.concat(list(rows)).sort_values("turn", kind="stable")
-        recent = [t[0] for t in self.texts.get()] if self.texts.exists() else []
+        recent = list(state.get[0]) if state.exists else []
         own, contexts = [], []
         for turn, text in zip(arrived["turn"], arrived["text"]):
-            recent = (recent + [text])[-self.max_hist:]
+            recent = (recent + [text])[-max_hist:]
             if turn // SEGMENT_TURNS == segment:
                 own.append(turn)
                 contexts.append(recent)
-        self.texts.put([(t,) for t in recent])
+        state.update((recent,))
+        state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"conv_id": [conv_id] * len(own), "turn": own,
                             "context": contexts})
 
-    def close(self) -> None:
-        pass
+    return update
 
 
 def stream_context(turns: DataFrame, max_hist: int,
@@ -52,10 +46,11 @@ def stream_context(turns: DataFrame, max_hist: int,
     """For each arriving turn the last ``max_hist`` texts of its conversation.
 
     Turns of a conversation must arrive in order from one micro-batch to the
-    next; within one they are put in order.
+    next; within one they are put in order. The state is keyed by conversation
+    and segment, holds ``max_hist`` texts, and expires when idle, so neither a
+    long conversation nor many of them make it grow without bound.
     """
-    turns.sparkSession.conf.set(*PROVIDER)
     rows = with_segments(turns.select("conv_id", "turn", "text"), max_hist - 1)
-    return rows.groupBy("conv_id", "segment").transformWithStateInPandas(
-        statefulProcessor=RollingContext(max_hist, ttl_ms), outputStructType=OUTPUT,
-        outputMode="Append", timeMode="ProcessingTime")
+    return rows.groupBy("conv_id", "segment").applyInPandasWithState(
+        _roll(max_hist, ttl_ms), OUTPUT, STATE, "append",
+        GroupStateTimeout.ProcessingTimeTimeout)

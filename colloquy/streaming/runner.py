@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.session import staging_path
@@ -17,14 +20,28 @@ def read_table_stream(spark: SparkSession, sf_dir: str, table: str,
             .parquet(f"{sf_dir}/{table}.parque[t]"))
 
 
+@contextmanager
+def _without_idle_batches(spark: SparkSession) -> Iterator[None]:
+    """State with a processing-time limit asks for one more batch for ever; a
+    run that ends with its input must not wait for that."""
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drain_append(stream: DataFrame, name: str) -> DataFrame:
     """Run an append-mode stream until its input is used up, into Parquet."""
     spark = stream.sparkSession
     path = staging_path(spark, name)
-    query = (stream.writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", f"{path}-state")
-             .trigger(availableNow=True).start(path))
-    query.awaitTermination()
+    with _without_idle_batches(spark):
+        query = (stream.writeStream.format("parquet").outputMode("append")
+                 .option("checkpointLocation", f"{path}-state")
+                 .trigger(availableNow=True).start(path))
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
