@@ -36,42 +36,50 @@ def attention(length: Column, size: Column) -> Column:
     return F.concat(_fill(1, length), _fill(0, size - length))
 
 
+def _digits(digit: str, count: Column) -> Column:
+    return F.repeat(F.lit(digit), F.greatest(count, F.lit(0)).cast("int"))
+
+
 def _step(zeros: Column, size: Column) -> Column:
-    """``zeros`` zeros, then ones up to ``size``."""
-    return F.concat(_fill(0, zeros), _fill(1, size - zeros))
+    """``zeros`` zeros, then ones up to ``size``, as text."""
+    return F.concat(_digits("0", zeros), _digits("1", size - zeros))
+
+
+def _mark(at: Column, size: Column) -> Column:
+    """A single one at position ``at``, as text."""
+    return F.concat(_digits("0", at), F.lit("1"), _digits("0", size - at - 1))
+
+
+def _rows(count: Column) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1)
 
 
 def permutation_mask(prompt: Column, length: Column, size: Column) -> Column:
     """Rows of what each position must not see: itself and all later response
-    positions and padding; a padded position sees nothing."""
-    return F.transform(
-        F.sequence(F.lit(0).cast("bigint"), size.cast("bigint") - 1),
-        lambda row: _step(F.when(row >= length, F.lit(0))
-                          .otherwise(F.greatest(row, prompt - 1)), size))
+    positions and padding; a padded position sees nothing.
+
+    Masks are arrays of rows of digits, an eighth of the size of numbers; see
+    :func:`mask_numbers`.
+    """
+    return F.transform(_rows(size), lambda row: _step(
+        F.when(row >= length, F.lit(0)).otherwise(F.greatest(row, prompt - 1)), size))
 
 
 def target_map(prompt: Column, length: Column, targets: Column, size: Column) -> Column:
     """Row ``t`` marks the position of the ``t``-th target id."""
-    rows = F.sequence(F.lit(0).cast("bigint"), targets.cast("bigint") - 1)
-    return F.transform(rows, lambda t: F.when(
-        t < length - prompt,
-        F.concat(_fill(0, prompt + t), _fill(1, F.lit(1)),
-                 _fill(0, size - prompt - t - 1)),
-    ).otherwise(_fill(0, size)))
+    return F.transform(_rows(targets), lambda t: F.when(
+        t < length - prompt, _mark(prompt + t, size)).otherwise(_digits("0", size)))
 
 
 def next_slot_mask(length: Column, size: Column) -> Column:
     """The mask when one last slot is predicted: nobody sees it or padding."""
-    row = _step(length - 1, size)
-    return F.array_repeat(row, size.cast("int"))
+    return F.array_repeat(_step(length - 1, size), size.cast("int"))
 
 
 def next_slot_map(length: Column, size: Column) -> Column:
-    return F.array(F.concat(_fill(0, length - 1), _fill(1, F.lit(1)),
-                            _fill(0, size - length)))
+    return F.array(_mark(length - 1, size))
 
 
-def bit_rows(matrix: Column) -> Column:
-    """Each row of a 0/1 matrix as a text of digits."""
-    return F.transform(matrix, lambda row:
-                       F.array_join(row.cast("array<string>"), ""))
+def mask_numbers(mask: Column) -> Column:
+    """A mask as ``array<array<int>>``."""
+    return F.transform(mask, lambda row: F.split(row, "").cast("array<int>"))

@@ -35,27 +35,41 @@ def total_before(df: DataFrame, group: list[str], bins: list[str],
             .drop("_start", "_inside"))
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column],
-           name: str) -> DataFrame:
-    """Add ``name``: the 0-based rank of each row in its group, for any order
-    that tells rows apart and any group size.
-
-    Rows are range-partitioned on the whole order, which cuts large groups,
-    and written once; each partition's first row and count give the offsets.
-    """
+def range_placed(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Range-partition on group and order, which cuts large groups, and write
+    the rows once with the number of their partition and their place in it."""
     keys = [F.col(c) for c in group] + order
-    placed = durable(
+    return durable(
         df.repartitionByRange(*keys).sortWithinPartitions(*keys)
         .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_row", 33)))
+
+
+def with_rank(placed: DataFrame, group: list[str], name: str,
+              few_parts: bool | None = None) -> DataFrame:
+    """Turn the places of :func:`range_placed` into 0-based ranks by group.
+
+    Each partition's first row and row count per group give the offsets: as
+    many rows as partitions and groups together. They are counted before they
+    are broadcast unless the caller knows the bound.
+    """
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1)
     parts = (placed.groupBy(*group, "_part")
              .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
              .select(*group, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0))
                                        - F.col("_first")).alias("_shift")))
-    if parts.count() <= BROADCAST_PARTS:
+    if few_parts is None:
+        few_parts = parts.count() <= BROADCAST_PARTS
+    if few_parts:
         parts = F.broadcast(parts)
     return (placed.join(parts, [*group, "_part"])
             .withColumn(name, F.col("_row") + F.col("_shift"))
             .drop("_row", "_part", "_shift"))
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column],
+           name: str) -> DataFrame:
+    """Add ``name``: the 0-based rank of each row in its group, for any order
+    that tells rows apart and any group size."""
+    return with_rank(range_placed(df, group, order), group, name)

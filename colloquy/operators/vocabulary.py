@@ -2,44 +2,70 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.config import (
     ADDED_SPECIALS, BASE_SPECIALS, BOS, BROADCAST_TOKENS, BROADCAST_TOKEN_BYTES,
     EOS, HST, MASK, PAD, RSP, SP1, SP2, SPECIALS, UNK, SpecialIds)
 from colloquy.functions.text import words
-from colloquy.operators.ranking import ranked
+from colloquy.operators.ranking import BROADCAST_PARTS, range_placed, with_rank
 from colloquy.operators.turns import with_segments
-from colloquy.session import durable
 
 
-def build_vocab(texts: DataFrame) -> DataFrame:
-    """``(token, id, n)`` from a ``text`` column.
+@dataclass(frozen=True)
+class Vocabulary:
+    """A vocabulary table ``(token, id, n)`` and what is known of its size."""
+
+    table: DataFrame
+    ids: SpecialIds
+    size: int
+    longest: int
+
+    @property
+    def small(self) -> bool:
+        """Whether the whole table lies within the broadcast bound."""
+        return self.size <= BROADCAST_TOKENS and self.longest <= BROADCAST_TOKEN_BYTES
+
+
+def _special_ids(words_seen: int) -> SpecialIds:
+    base = {t: i for i, t in enumerate(BASE_SPECIALS)}
+    added = {t: len(BASE_SPECIALS) + words_seen + i for i, t in enumerate(ADDED_SPECIALS)}
+    at = {**base, **added}
+    return SpecialIds(sp1=at[SP1], sp2=at[SP2], bos=at[BOS], eos=at[EOS], hst=at[HST],
+                      rsp=at[RSP], pad=at[PAD], unk=at[UNK], mask=at[MASK])
+
+
+def build_vocab(texts: DataFrame) -> Vocabulary:
+    """Number the words of a ``text`` column.
 
     Base specials take the first ids, then the corpus words by falling count
-    and rising spelling, then the added specials, each only if it is missing.
+    and rising spelling, then the added specials.
     """
-    spark = texts.sparkSession
     counted = (texts.select(F.explode(words(F.col("text"))).alias("token"))
                .where(~F.col("token").isin(*SPECIALS))
                .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    base = len(BASE_SPECIALS)
-    body = (ranked(counted, [], [F.col("n").desc(), F.col("token")], "rank")
-            .select("token", (F.col("rank") + base).alias("id"), "n"))
-    size = body.count()
+    placed = range_placed(counted, [], [F.col("n").desc(), F.col("token")])
+    known = placed.agg(F.count(F.lit(1)).alias("n"), F.max("_part").alias("part"),
+                       F.max(F.octet_length("token")).alias("longest")).first()
+    few = (known["part"] or 0) < BROADCAST_PARTS
+    base, size = len(BASE_SPECIALS), known["n"]
+    body = with_rank(placed, [], "rank", few).select(
+        "token", (F.col("rank") + base).cast("int").alias("id"), "n")
     fixed = ([(t, i, 0) for i, t in enumerate(BASE_SPECIALS)]
              + [(t, base + size + i, 0) for i, t in enumerate(ADDED_SPECIALS)])
-    specials = spark.createDataFrame(fixed, "token string, id bigint, n bigint")
-    return durable(body.unionByName(specials).withColumn("id", F.col("id").cast("int")))
+    specials = texts.sparkSession.createDataFrame(fixed, "token string, id int, n bigint")
+    return Vocabulary(body.unionByName(specials), _special_ids(size),
+                      size + len(SPECIALS), known["longest"] or 0)
 
 
-def special_ids(vocab: DataFrame) -> SpecialIds:
-    """The ids of the special tokens, nine rows at most."""
-    found = {r["token"]: r["id"]
-             for r in vocab.where(F.col("token").isin(*SPECIALS)).collect()}
-    return SpecialIds(sp1=found[SP1], sp2=found[SP2], bos=found[BOS], eos=found[EOS],
-                      hst=found[HST], rsp=found[RSP], pad=found[PAD],
-                      unk=found[UNK], mask=found[MASK])
+def stored_vocab(table: DataFrame) -> Vocabulary:
+    """A vocabulary whose table was written before."""
+    known = table.agg(F.count(F.lit(1)).alias("n"),
+                      F.max(F.octet_length("token")).alias("longest")).first()
+    return Vocabulary(table, _special_ids(known["n"] - len(SPECIALS)),
+                      known["n"], known["longest"])
 
 
 def _frequent() -> Column:
@@ -49,16 +75,17 @@ def _frequent() -> Column:
             & (F.octet_length("token") <= BROADCAST_TOKEN_BYTES))
 
 
-def _mapped(rows: DataFrame, vocab: DataFrame, key: str, value: str) -> DataFrame:
+def _mapped(rows: DataFrame, vocab: Vocabulary, key: str, value: str) -> DataFrame:
     """Left join on one vocabulary column.
 
     Ids follow frequency. The frequent tokens, which hold the hot keys, are
     joined by broadcast; only what they leave unmatched is shuffled.
     """
-    rest = vocab.where(~_frequent()).select(key, value)
-    head = F.broadcast(vocab.where(_frequent()).select(key, value))
-    if rest.isEmpty():
-        return rows.join(head, key, "left")
+    pairs = vocab.table.select(key, value)
+    if vocab.small:
+        return rows.join(F.broadcast(pairs), key, "left")
+    head = F.broadcast(vocab.table.where(_frequent()).select(key, value))
+    rest = vocab.table.where(~_frequent()).select(key, value)
     first = rows.join(head, key, "left")
     known = first.where(F.col(value).isNotNull() | F.col(key).isNull())
     tail = (first.where(F.col(value).isNull() & F.col(key).isNotNull())
@@ -66,38 +93,36 @@ def _mapped(rows: DataFrame, vocab: DataFrame, key: str, value: str) -> DataFram
     return known.unionByName(tail)
 
 
-def encode(rows: DataFrame, vocab: DataFrame, keys: list[str], unk: int) -> DataFrame:
+def encode(rows: DataFrame, vocab: Vocabulary, keys: list[str]) -> DataFrame:
     """Replace ``text`` by ``ids``, the token ids of its words, per ``keys``.
 
     If ``rows`` is already partitioned by some of ``keys`` and the vocabulary
-    fits the broadcast bound, this adds no shuffle.
+    is small, this adds no shuffle.
     """
     tokens = rows.select(*keys, F.posexplode_outer(words(F.col("text"))).alias("pos", "token"))
     entry = F.when(F.col("token").isNotNull(), F.struct(
-        "pos", F.coalesce("id", F.lit(unk)).cast("int").alias("id")))
+        "pos", F.coalesce("id", F.lit(vocab.ids.unk)).cast("int").alias("id")))
     return (_mapped(tokens, vocab, "token", "id")
             .groupBy(*keys)
             .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-            .select(*keys, F.transform("_entries", lambda e: e["id"]).alias("ids")))
+            .select(*keys, F.col("_entries.id").alias("ids")))
 
 
-def encoded_segments(turns: DataFrame, vocab: DataFrame, unk: int,
-                     reach: int) -> DataFrame:
+def encoded_segments(turns: DataFrame, vocab: Vocabulary, reach: int) -> DataFrame:
     """Encoded turns laid out by ``(conv_id, segment)`` for window work."""
     placed = (with_segments(turns.select("conv_id", "turn", "text"), reach)
               .repartition("conv_id", "segment"))
-    return encode(placed, vocab, ["conv_id", "segment", "turn"], unk)
+    return encode(placed, vocab, ["conv_id", "segment", "turn"])
 
 
-def decode(rows: DataFrame, vocab: DataFrame, keys: list[str], ids: str) -> DataFrame:
+def decode(rows: DataFrame, vocab: Vocabulary, keys: list[str], ids: str) -> DataFrame:
     """Replace the array ``ids`` by ``text``, its tokens joined by spaces."""
     tokens = rows.select(*keys, F.posexplode_outer(ids).alias("pos", "id"))
     entry = F.when(F.col("token").isNotNull(), F.struct("pos", "token"))
     return (_mapped(tokens, vocab, "id", "token")
             .groupBy(*keys)
             .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-            .select(*keys, F.array_join(F.transform(
-                "_entries", lambda e: e["token"]), " ").alias("text")))
+            .select(*keys, F.array_join(F.col("_entries.token"), " ").alias("text")))
 
 
 def without_specials(ids: Column, specials: SpecialIds) -> Column:

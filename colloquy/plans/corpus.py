@@ -15,7 +15,8 @@ from colloquy.operators.collation import batch_rows, collate
 from colloquy.operators.examples import build_examples, example_index
 from colloquy.operators.splits import split_manifest
 from colloquy.operators.turns import with_segments, with_split
-from colloquy.operators.vocabulary import build_vocab, encode, encoded_segments, special_ids
+from colloquy.operators.vocabulary import (
+    Vocabulary, build_vocab, encode, encoded_segments, stored_vocab)
 from colloquy.sources.readers import read_source
 
 
@@ -24,9 +25,8 @@ class Corpus:
     """The tables of a prepared corpus."""
 
     turns: DataFrame
-    vocab: DataFrame
+    vocab: Vocabulary
     manifest: DataFrame
-    ids: SpecialIds
     config: CorpusConfig
 
     def segments(self) -> DataFrame:
@@ -40,12 +40,12 @@ class Corpus:
         return example_index(sizes, self.config)
 
     def examples(self) -> DataFrame:
-        return build_examples(self.segments(), self.ids, self.config)
+        return build_examples(self.segments(), self.vocab.ids, self.config)
 
     def batches(self, layout: str = "causal", training: bool = True) -> DataFrame:
         plan = batch_plan(self.index(), self.turns, self.config)
-        rows = batch_rows(plan, self.segments(), self.ids, self.config)
-        return collate(rows, layout, self.ids.pad, training)
+        rows = batch_rows(plan, self.segments(), self.vocab.ids, self.config)
+        return collate(rows, layout, self.vocab.ids.pad, training)
 
 
 def token_counts(turns: DataFrame) -> DataFrame:
@@ -61,18 +61,16 @@ def text_index(turns: DataFrame, config: CorpusConfig) -> DataFrame:
 def text_examples(turns: DataFrame, config: CorpusConfig) -> DataFrame:
     """Examples straight from text with a vocabulary of its own."""
     vocab = build_vocab(turns)
-    ids = special_ids(vocab)
     return build_examples(
-        encoded_segments(turns, vocab, ids.unk, config.max_hist), ids, config)
+        encoded_segments(turns, vocab, config.max_hist), vocab.ids, config)
 
 
 def text_batches(turns: DataFrame, config: CorpusConfig) -> tuple[DataFrame, SpecialIds]:
     """Batch rows straight from text, ready for a collation layout."""
     vocab = build_vocab(turns)
-    ids = special_ids(vocab)
     plan = batch_plan(text_index(turns, config), turns, config)
-    encoded = encoded_segments(turns, vocab, ids.unk, config.max_hist)
-    return batch_rows(plan, encoded, ids, config), ids
+    encoded = encoded_segments(turns, vocab, config.max_hist)
+    return batch_rows(plan, encoded, vocab.ids, config), vocab.ids
 
 
 def fingerprint(spark: SparkSession, config: CorpusConfig) -> str:
@@ -108,13 +106,12 @@ def prepare_corpus(spark: SparkSession, source: str | DataFrame, path: str,
         with_split(turns).select("split", "conv_id", "turn", "text").write.mode(
             "overwrite").parquet(raw_path)
         raw = spark.read.parquet(raw_path)
-        build_vocab(raw).write.mode("overwrite").parquet(vocab_path)
-        vocab = spark.read.parquet(vocab_path)
-        unk = special_ids(vocab).unk
-        encoded = encode(raw, vocab, ["split", "conv_id", "turn"], unk)
-        (encoded.write.mode("overwrite").partitionBy("split").parquet(turns_path))
+        build_vocab(raw).table.write.mode("overwrite").parquet(vocab_path)
+        vocab = stored_vocab(spark.read.parquet(vocab_path))
+        encode(raw, vocab, ["split", "conv_id", "turn"]).write.mode(
+            "overwrite").partitionBy("split").parquet(turns_path)
         split_manifest(spark.read.parquet(turns_path), config).coalesce(1).write.mode(
             "overwrite").parquet(manifest_path)
-    vocab = spark.read.parquet(vocab_path)
-    return Corpus(spark.read.parquet(turns_path), vocab,
-                  spark.read.parquet(manifest_path), special_ids(vocab), config)
+    return Corpus(spark.read.parquet(turns_path),
+                  stored_vocab(spark.read.parquet(vocab_path)),
+                  spark.read.parquet(manifest_path), config)

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from colloquy.config import CorpusConfig, SpecialIds
 from colloquy.functions import sequences as S
 from colloquy.functions import hashing
-from colloquy.functions.padding import bit_rows
 from colloquy.functions.text import ids_text, words
 from colloquy.operators import batching as B
 from colloquy.operators import collation as C
@@ -256,22 +255,21 @@ def take_n(spark, sf_dir):
 
 # -- vocabulary -------------------------------------------------------------
 
-def _encoded(spark, sf_dir) -> tuple[DataFrame, DataFrame, SpecialIds]:
+def _encoded(spark, sf_dir) -> tuple[DataFrame, V.Vocabulary]:
     rows = conversations(spark, sf_dir)
     vocab = V.build_vocab(rows)
-    ids = V.special_ids(vocab)
-    return V.encoded_segments(rows, vocab, ids.unk, CONFIG.max_hist), vocab, ids
+    return V.encoded_segments(rows, vocab, CONFIG.max_hist), vocab
 
 
 @query
 def build_vocab(spark, sf_dir):
-    return V.build_vocab(conversations(spark, sf_dir))
+    return V.build_vocab(conversations(spark, sf_dir)).table
 
 
 @query
 def encode_tokens(spark, sf_dir):
     rows = conversations(spark, sf_dir)
-    return V.encode(rows, V.build_vocab(rows), ["conv_id", "turn"], 0).select(
+    return V.encode(rows, V.build_vocab(rows), ["conv_id", "turn"]).select(
         "conv_id", "turn", ids_text(F.col("ids")).alias("ids"))
 
 
@@ -280,15 +278,15 @@ def decode_tokens(spark, sf_dir):
     rows = conversations(spark, sf_dir)
     vocab = V.build_vocab(rows)
     keys = ["conv_id", "turn"]
-    return V.decode(V.encode(rows, vocab, keys, 0), vocab, keys, "ids")
+    return V.decode(V.encode(rows, vocab, keys), vocab, keys, "ids")
 
 
 @query
 def strip_special(spark, sf_dir):
     """Training inputs back as text, without the special tokens."""
-    encoded, vocab, ids = _encoded(spark, sf_dir)
-    rows = X.build_examples(encoded, ids, CONFIG).select(
-        *KEYS, V.without_specials(F.col("input_ids"), ids).alias("ids"))
+    encoded, vocab = _encoded(spark, sf_dir)
+    rows = X.build_examples(encoded, vocab.ids, CONFIG).select(
+        *KEYS, V.without_specials(F.col("input_ids"), vocab.ids).alias("ids"))
     return V.decode(rows, vocab, KEYS, "ids")
 
 
@@ -312,7 +310,7 @@ def example_len(spark, sf_dir):
 
 @query
 def example_lookup(spark, sf_dir):
-    encoded, _, _ = _encoded(spark, sf_dir)
+    encoded, _ = _encoded(spark, sf_dir)
     index = corpus.text_index(conversations(spark, sf_dir), CONFIG).select(*KEYS)
     found = X.example_lookup(index, encoded, CONFIG.max_hist)
     return found.select(*KEYS, ids_text(F.flatten("history")).alias("history"),
@@ -320,8 +318,8 @@ def example_lookup(spark, sf_dir):
 
 
 def _histories(spark, sf_dir) -> tuple[DataFrame, SpecialIds]:
-    encoded, _, ids = _encoded(spark, sf_dir)
-    return X.each_history(T.contexts(encoded, "ids", CONFIG.max_hist)), ids
+    encoded, vocab = _encoded(spark, sf_dir)
+    return X.each_history(T.contexts(encoded, "ids", CONFIG.max_hist)), vocab.ids
 
 
 @query
@@ -355,16 +353,16 @@ def token_types(spark, sf_dir):
 
 @query
 def target_sequence(spark, sf_dir):
-    encoded, _, ids = _encoded(spark, sf_dir)
+    encoded, vocab = _encoded(spark, sf_dir)
     rows = T.contexts(encoded, "ids", CONFIG.max_hist)
     return rows.select("conv_id", "end_idx", ids_text(S.target_sequence(
-        F.col("target"), ids, CONFIG.max_len)).alias("target_ids"))
+        F.col("target"), vocab.ids, CONFIG.max_len)).alias("target_ids"))
 
 
 @query
 def build_examples(spark, sf_dir):
-    encoded, _, ids = _encoded(spark, sf_dir)
-    rows = X.build_examples(encoded, ids, CONFIG)
+    encoded, vocab = _encoded(spark, sf_dir)
+    rows = X.build_examples(encoded, vocab.ids, CONFIG)
     return rows.select(*KEYS, "example_len", *[
         ids_text(F.col(c)).alias(c) for c in ("input_ids", "token_type_ids", "target_ids")])
 
@@ -372,7 +370,7 @@ def build_examples(spark, sf_dir):
 @query
 def truncate_at_eos(spark, sf_dir):
     """Turns as generated ids, the most frequent word as their end token."""
-    encoded, _, _ = _encoded(spark, sf_dir)
+    encoded, _ = _encoded(spark, sf_dir)
     kept = S.truncate_at_eos(F.col("ids"), 4, 20)
     return encoded.where(T.is_own()).select(
         "conv_id", "turn", ids_text(kept).alias("ids"))
@@ -507,20 +505,20 @@ def collate_permuted_eval(spark, sf_dir):
         *B.BATCH, *KEYS, ids_text(F.col("input_ids")).alias("input_ids"),
         ids_text(F.col("attention_mask")).alias("attention_mask"),
         F.size("perm_mask").alias("mask_rows"),
-        F.element_at(bit_rows(F.col("perm_mask")), 1).alias("mask_row"),
-        F.element_at(bit_rows(F.col("target_map")), 1).alias("target_map"))
+        F.element_at("perm_mask", 1).alias("mask_row"),
+        F.element_at("target_map", 1).alias("target_map"))
 
 
 @query
 def perm_mask(spark, sf_dir):
     masks = C.with_train_masks(_plan(spark, sf_dir))
-    return masks.select(*KEYS, F.posexplode(bit_rows(F.col("perm_mask"))).alias("row", "bits"))
+    return masks.select(*KEYS, F.posexplode("perm_mask").alias("row", "bits"))
 
 
 @query
 def target_map(spark, sf_dir):
     masks = C.with_train_masks(_plan(spark, sf_dir))
-    return masks.select(*KEYS, F.posexplode(bit_rows(F.col("target_map"))).alias("row", "bits"))
+    return masks.select(*KEYS, F.posexplode("target_map").alias("row", "bits"))
 
 
 # -- scores and decoding ----------------------------------------------------
