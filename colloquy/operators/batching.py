@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from colloquy.config import SEGMENT_TURNS, CorpusConfig
+from colloquy.config import CorpusConfig
 from colloquy.functions.hashing import key_bin, shuffle_key
 from colloquy.operators.ranking import ranked, total_before
 from colloquy.operators.turns import (
     dialog_sizes, examples_before, examples_of, segment_of, whole_part)
+from colloquy.session import durable
 
 SHARD = ["split", "shard"]
 BATCH = ["split", "shard", "batch"]
@@ -32,22 +33,24 @@ def assign_shards(dialogs: DataFrame, file_size: int) -> DataFrame:
     Takes one row per ``(split, conv_id)``; adds ``shard`` and ``shard_pos``.
     """
     return (ranked(dialogs, ["split"], [F.col("conv_id")], "_rank")
-            .withColumn("shard", chunk_of(F.col("_rank"), file_size))
-            .withColumn("shard_pos", F.pmod(F.col("_rank"), F.lit(file_size)))
+            .withColumns({"shard": chunk_of(F.col("_rank"), file_size),
+                          "shard_pos": F.pmod(F.col("_rank"), F.lit(file_size))})
             .drop("_rank"))
 
 
 def dialog_layout(turns: DataFrame, config: CorpusConfig) -> DataFrame:
-    """Per conversation its shard and the ordinal of its first example."""
+    """Per conversation its shard and the ordinal of its first example.
+
+    Written once: small next to the turns, and read by several later steps.
+    """
     dialogs = dialog_sizes(turns).withColumn(
         "n_examples", examples_of(F.col("n_turns"), config.max_hist))
     # a shard holds at most file_size conversations, so these windows are bounded
     shard = Window.partitionBy(*SHARD)
     earlier = shard.orderBy("shard_pos").rowsBetween(Window.unboundedPreceding, -1)
-    return (assign_shards(dialogs, config.file_size)
-            .withColumn("first_ordinal",
-                        F.coalesce(F.sum("n_examples").over(earlier), F.lit(0)))
-            .withColumn("shard_examples", F.sum("n_examples").over(shard)))
+    return durable(assign_shards(dialogs, config.file_size).withColumns({
+        "first_ordinal": F.coalesce(F.sum("n_examples").over(earlier), F.lit(0)),
+        "shard_examples": F.sum("n_examples").over(shard)}))
 
 
 def placed(index: DataFrame, layout: DataFrame, config: CorpusConfig) -> DataFrame:
@@ -80,8 +83,8 @@ def rank_share(rows: DataFrame, world_size: int) -> DataFrame:
     total = chunk_of(size + (world_size - 1), world_size) * world_size
     return (rows
             .withColumn("_place", F.explode(F.sequence("ordinal", total - 1, size)))
-            .withColumn("rank", F.pmod("_place", F.lit(world_size)).cast("int"))
-            .withColumn("ordinal", chunk_of(F.col("_place"), world_size))
+            .withColumns({"rank": F.pmod("_place", F.lit(world_size)).cast("int"),
+                          "ordinal": chunk_of(F.col("_place"), world_size)})
             .drop("_place"))
 
 
@@ -104,19 +107,19 @@ def bucket_starts(shard_sizes: DataFrame, config: CorpusConfig) -> DataFrame:
     """
     size = config.bucket_size
     block = 4096
+    last = chunk_of(F.col("n_examples") - 1, size)
+    key = shuffle_key(F.lit(config.seed), F.lit(config.epoch), *map(F.col, SHARD),
+                      F.col("bucket"))
     buckets = (shard_sizes.where("n_examples > 0")
-               .withColumn("_last", chunk_of(F.col("n_examples") - 1, size))
                .withColumn("_block", F.explode(F.sequence(
-                   F.lit(0).cast("bigint"), chunk_of(F.col("_last"), block))))
+                   F.lit(0).cast("bigint"), chunk_of(last, block))))
                .withColumn("bucket", F.explode(F.sequence(
                    F.col("_block") * block,
-                   F.least(F.col("_last"), F.col("_block") * block + block - 1))))
-               .withColumn("n_rows", F.least(
-                   F.lit(size), F.col("n_examples") - F.col("bucket") * size))
-               .withColumn("_key", shuffle_key(
-                   F.lit(config.seed), F.lit(config.epoch), *map(F.col, SHARD),
-                   F.col("bucket")))
-               .withColumn("_bin", key_bin(F.col("_key"))))
+                   F.least(last, F.col("_block") * block + block - 1))))
+               .withColumns({
+                   "n_rows": F.least(F.lit(size),
+                                     F.col("n_examples") - F.col("bucket") * size),
+                   "_key": key, "_bin": key_bin(key)}))
     return total_before(buckets, SHARD, ["_bin"], [F.col("_key"), F.col("bucket")],
                         "start", weight="n_rows").select(*SHARD, "bucket", "n_rows", "start")
 
@@ -147,9 +150,8 @@ def with_batches(drawn: DataFrame, batch_size: int) -> DataFrame:
 def with_batch_sizes(batched: DataFrame) -> DataFrame:
     """Add ``max_seq`` and ``max_target``, the longest of each batch."""
     same = Window.partitionBy(*BATCH)
-    return (batched
-            .withColumn("max_seq", F.max("input_len").over(same))
-            .withColumn("max_target", F.max("target_len").over(same)))
+    return batched.withColumns({"max_seq": F.max("input_len").over(same),
+                                "max_target": F.max("target_len").over(same)})
 
 
 def batch_plan(index: DataFrame, turns: DataFrame, config: CorpusConfig) -> DataFrame:

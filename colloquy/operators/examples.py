@@ -22,18 +22,14 @@ def example_index(sizes: DataFrame, config: CorpusConfig) -> DataFrame:
                              lambda acc, n: acc + n + 1)
     shown = F.slice("history", F.col("begin_idx") - F.col("end_idx"),
                     F.col("end_idx") - F.col("begin_idx"))
+    target_len = (F.least("target", F.lit(config.max_len)) + 1).cast("bigint")
+    input_len = S.turn_room(shown.cast("array<bigint>"), config.max_len) + 2 + target_len
     return (rows
-            .withColumn("example_len", window_len + F.col("target") + 1)
-            .withColumn("target_len", F.least("target", F.lit(config.max_len)) + 1)
             .withColumn("begin_idx", F.explode(F.sequence(
                 F.col("end_idx") - F.size("history"), F.col("end_idx") - 1)))
-            .withColumn("input_len", S.turn_room(shown.cast("array<bigint>"),
-                                                 config.max_len)
-                        + 2 + F.col("target_len"))
             .select("conv_id", "segment", "begin_idx", "end_idx",
-                    F.col("example_len").cast("bigint").alias("example_len"),
-                    F.col("input_len").cast("bigint").alias("input_len"),
-                    F.col("target_len").cast("bigint").alias("target_len")))
+                    (window_len + F.col("target") + 1).alias("example_len"),
+                    input_len.alias("input_len"), target_len.alias("target_len")))
 
 
 def running_example_len(sizes: DataFrame, config: CorpusConfig) -> DataFrame:
@@ -50,15 +46,16 @@ def running_example_len(sizes: DataFrame, config: CorpusConfig) -> DataFrame:
 def with_sequences(rows: DataFrame, ids: SpecialIds, max_len: int) -> DataFrame:
     """Add ``input_ids``, ``token_type_ids`` and ``target_ids`` to rows of
     ``history`` and ``target`` arrays."""
+    turns = S.truncated_turns(F.col("history"), ids, max_len)
     return (rows
-            .withColumn("_prompt", S.input_sequence(
-                S.truncated_turns(F.col("history"), ids, max_len), ids))
-            .withColumn("target_ids",
-                        S.target_sequence(F.col("target"), ids, max_len))
-            .withColumn("input_ids", F.concat("_prompt", "target_ids"))
-            .withColumn("token_type_ids", F.concat(
-                S.token_types(F.col("_prompt"), ids),
-                S.response_types(F.col("target_ids"), ids)))
+            .withColumns({
+                "_prompt": S.input_sequence(turns, ids),
+                "target_ids": S.target_sequence(F.col("target"), ids, max_len)})
+            .withColumns({
+                "input_ids": F.concat("_prompt", "target_ids"),
+                "token_type_ids": F.concat(
+                    S.token_types(F.col("_prompt"), ids),
+                    S.response_types(F.col("target_ids"), ids))})
             .drop("_prompt", "history", "target"))
 
 

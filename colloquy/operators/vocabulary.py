@@ -53,9 +53,11 @@ def build_vocab(texts: DataFrame) -> Vocabulary:
     base, size = len(BASE_SPECIALS), known["n"]
     body = with_rank(placed, [], "rank", few).select(
         "token", (F.col("rank") + base).cast("int").alias("id"), "n")
-    fixed = ([(t, i, 0) for i, t in enumerate(BASE_SPECIALS)]
-             + [(t, base + size + i, 0) for i, t in enumerate(ADDED_SPECIALS)])
-    specials = texts.sparkSession.createDataFrame(fixed, "token string, id int, n bigint")
+    fixed = ([(t, i) for i, t in enumerate(BASE_SPECIALS)]
+             + [(t, base + size + i) for i, t in enumerate(ADDED_SPECIALS)])
+    specials = texts.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*[
+        F.struct(F.lit(t).alias("token"), F.lit(i).alias("id"),
+                 F.lit(0).cast("bigint").alias("n")) for t, i in fixed])))
     return Vocabulary(body.unionByName(specials), _special_ids(size),
                       size + len(SPECIALS), known["longest"] or 0)
 
