@@ -41,9 +41,9 @@ def ban(logits: Column, token: int, when: Column) -> Column:
 def candidates(logits: Column) -> Column:
     """``array<struct<logit, token_id>>``, best first, low ids first on ties."""
     pairs = F.transform(logits, lambda x, i: F.struct(
-        (-x).alias("cost"), i.cast("int").alias("token_id")))
-    return F.transform(F.array_sort(pairs), lambda p: F.struct(
-        (-p["cost"]).alias("logit"), p["token_id"].alias("token_id")))
+        x.alias("logit"), (-i).cast("int").alias("order")))
+    return F.transform(F.sort_array(pairs, asc=False), lambda p: F.struct(
+        p["logit"], (-p["order"]).alias("token_id")))
 
 
 def keep_top_k(ranked: Column, k: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from colloquy.config import SpecialIds
+from colloquy.functions.numbers import whole_part
 
 
 def _ints(*values: int) -> Column:
@@ -14,10 +15,9 @@ def _ints(*values: int) -> Column:
 def speaker_roles(history: Column, ids: SpecialIds) -> Column:
     """One speaker id per history turn: the turn next to the response is the
     other speaker, and the two alternate going back."""
-    turns = F.size(history)
-    return F.transform(history, lambda _, i: F.when(
-        F.pmod(turns - 1 - i, F.lit(2)) == 0, F.lit(ids.sp2).cast("int")
-    ).otherwise(F.lit(ids.sp1).cast("int")))
+    pairs = whole_part(F.size(history) + 1, 2).cast("int")
+    alternating = F.flatten(F.array_repeat(_ints(ids.sp1, ids.sp2), pairs))
+    return F.slice(alternating, 2 * pairs - F.size(history) + 1, F.size(history))
 
 
 def truncated_turns(history: Column, ids: SpecialIds, max_len: int) -> Column:
@@ -48,12 +48,6 @@ def response_types(target: Column, ids: SpecialIds) -> Column:
     return F.array_repeat(F.lit(ids.rsp).cast("int"), F.size(target))
 
 
-def turn_room(lengths: Column, max_len: int) -> Column:
-    """Total length of truncated turns with speaker ids, from their lengths."""
-    return F.aggregate(lengths, F.lit(0).cast("bigint"), lambda acc, n:
-                       acc + F.least(n + 1, F.lit(max_len)))
-
-
 def truncate_at_eos(generated: Column, eos: int, max_len: int) -> Column:
     """Generated ids before the first end token, at most ``max_len``."""
     at = F.array_position(generated, F.lit(eos).cast("int"))

@@ -15,8 +15,7 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Whitespace-separated words; no empty strings, never null."""
-    pieces = F.split(F.coalesce(text, F.lit("")), f"{SPACE}+")
-    return F.filter(pieces, lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")
 
 
 def ids_text(ids: Column) -> Column:

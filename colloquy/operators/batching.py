@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.config import CorpusConfig
 from colloquy.functions.hashing import key_bin, shuffle_key
+from colloquy.functions.numbers import whole_part
 from colloquy.operators.ranking import ranked, total_before
 from colloquy.operators.turns import (
-    dialog_sizes, examples_before, examples_of, segment_of, whole_part)
+    dialog_sizes, examples_before, examples_of, segment_of)
 from colloquy.session import durable
 
 SHARD = ["split", "shard"]

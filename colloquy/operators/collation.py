@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from colloquy.config import CorpusConfig, SpecialIds
 from colloquy.functions import padding as P
 from colloquy.operators.batching import BATCH
-from colloquy.operators.examples import with_sequences
+from colloquy.operators.examples import cut_history, with_marked_turns, with_sequences
 from colloquy.operators.turns import contexts
 
 KEYS = ["conv_id", "begin_idx", "end_idx"]
@@ -24,14 +24,11 @@ def batch_rows(plan: DataFrame, encoded: DataFrame, ids: SpecialIds,
             "input_len", "target_len"]
     slots = plan.groupBy("conv_id", "end_idx").agg(
         F.collect_list(F.struct(*slot)).alias("_slots"))
-    rows = (contexts(encoded, "ids", config.max_hist)
+    turns = contexts(encoded, "ids", config.max_hist).drop("segment")
+    rows = (with_marked_turns(turns, ids, config.max_len)
             .join(slots, ["conv_id", "end_idx"])
-            .withColumn("_slot", F.explode("_slots"))
-            .select("conv_id", "end_idx", "history", "target", "_slot.*")
-            .withColumn("history", F.slice(
-                "history", (F.col("begin_idx") - F.col("end_idx")).cast("int"),
-                (F.col("end_idx") - F.col("begin_idx")).cast("int"))))
-    return with_sequences(rows, ids, config.max_len)
+            .select("conv_id", "end_idx", "history", "target", F.inline("_slots")))
+    return with_sequences(cut_history(rows), ids)
 
 
 def collate_causal(rows: DataFrame, pad: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from colloquy.config import CorpusConfig, SpecialIds
 from colloquy.functions import sequences as S
-from colloquy.operators.turns import contexts, is_own, with_segments
+from colloquy.operators.turns import checked_turn, contexts, is_own, with_segments
 
 
 def example_index(sizes: DataFrame, config: CorpusConfig) -> DataFrame:
@@ -15,21 +15,33 @@ def example_index(sizes: DataFrame, config: CorpusConfig) -> DataFrame:
     Takes ``(conv_id, turn, n_ids)``. For each turn from the second on, one
     example per history length 1..max_hist. ``example_len`` counts the whole
     window of ``max_hist`` turns and is the same for all of them;
-    ``input_len`` and ``target_len`` are the lengths after truncation.
+    ``input_len`` and ``target_len`` are the lengths after truncation. Lengths
+    of histories are differences of running sums.
     """
-    rows = contexts(with_segments(sizes, config.max_hist), "n_ids", config.max_hist)
-    window_len = F.aggregate("history", F.lit(0).cast("bigint"),
-                             lambda acc, n: acc + n + 1)
-    shown = F.slice("history", F.col("begin_idx") - F.col("end_idx"),
-                    F.col("end_idx") - F.col("begin_idx"))
-    target_len = (F.least("target", F.lit(config.max_len)) + 1).cast("bigint")
-    input_len = S.turn_room(shown.cast("array<bigint>"), config.max_len) + 2 + target_len
+    h = config.max_hist
+    order = Window.partitionBy("conv_id", "segment").orderBy("turn")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    window = order.rowsBetween(-h, -1)
+    whole, cut = F.col("n_ids") + 1, F.least(F.col("n_ids") + 1, F.lit(config.max_len))
+    summed = (with_segments(sizes, h)
+              .withColumns({
+                  "_whole": F.coalesce(F.sum(whole).over(earlier), F.lit(0)),
+                  "_cut": F.coalesce(F.sum(cut).over(earlier), F.lit(0))}))
+    rows = (summed
+            .select("conv_id", "segment", "turn", "n_ids", "_cut",
+                    checked_turn(h).alias("end_idx"),
+                    (F.col("_whole") - F.first("_whole").over(window) + whole)
+                    .alias("example_len"),
+                    F.collect_list("_cut").over(window).alias("_starts"))
+            .where(is_own() & (F.col("end_idx") >= 1)))
+    target_len = (F.least("n_ids", F.lit(config.max_len)) + 1).cast("bigint")
     return (rows
-            .withColumn("begin_idx", F.explode(F.sequence(
-                F.col("end_idx") - F.size("history"), F.col("end_idx") - 1)))
-            .select("conv_id", "segment", "begin_idx", "end_idx",
-                    (window_len + F.col("target") + 1).alias("example_len"),
-                    input_len.alias("input_len"), target_len.alias("target_len")))
+            .select("*", F.posexplode("_starts").alias("_at", "_start"))
+            .select("conv_id", "segment",
+                    (F.col("end_idx") - F.size("_starts") + F.col("_at")).alias("begin_idx"),
+                    "end_idx", "example_len",
+                    (F.col("_cut") - F.col("_start") + 2 + target_len).alias("input_len"),
+                    target_len.alias("target_len")))
 
 
 def running_example_len(sizes: DataFrame, config: CorpusConfig) -> DataFrame:
@@ -43,46 +55,56 @@ def running_example_len(sizes: DataFrame, config: CorpusConfig) -> DataFrame:
                     F.col("example_len").cast("bigint").alias("example_len")))
 
 
-def with_sequences(rows: DataFrame, ids: SpecialIds, max_len: int) -> DataFrame:
-    """Add ``input_ids``, ``token_type_ids`` and ``target_ids`` to rows of
-    ``history`` and ``target`` arrays."""
-    turns = S.truncated_turns(F.col("history"), ids, max_len)
-    return (rows
-            .withColumns({
-                "_prompt": S.input_sequence(turns, ids),
-                "target_ids": S.target_sequence(F.col("target"), ids, max_len)})
+def with_marked_turns(rows: DataFrame, ids: SpecialIds, max_len: int) -> DataFrame:
+    """Truncate ``history`` and ``target`` of response turns and add the
+    speaker ids and the end token.
+
+    Speakers count back from the response, so this serves every history length.
+    """
+    return rows.withColumns({
+        "history": S.truncated_turns(F.col("history"), ids, max_len),
+        "target": S.target_sequence(F.col("target"), ids, max_len)})
+
+
+def with_sequences(marked: DataFrame, ids: SpecialIds) -> DataFrame:
+    """Replace marked ``history`` and ``target`` by ``input_ids``,
+    ``token_type_ids`` and ``target_ids``."""
+    return (marked
+            .withColumn("_prompt", S.input_sequence(F.col("history"), ids))
             .withColumns({
-                "input_ids": F.concat("_prompt", "target_ids"),
+                "input_ids": F.concat("_prompt", "target"),
                 "token_type_ids": F.concat(
                     S.token_types(F.col("_prompt"), ids),
-                    S.response_types(F.col("target_ids"), ids))})
-            .drop("_prompt", "history", "target"))
+                    S.response_types(F.col("target"), ids))})
+            .withColumnRenamed("target", "target_ids")
+            .drop("_prompt", "history"))
 
 
 def each_history(rows: DataFrame) -> DataFrame:
     """One row per history length: ``begin_idx`` and ``history`` cut to it."""
     size = F.size("history")
-    return (rows
-            .withColumn("begin_idx", F.explode(F.sequence(
-                F.col("end_idx") - size, F.col("end_idx") - 1)))
-            .withColumn("history", F.slice(
-                "history", (F.col("begin_idx") - F.col("end_idx")).cast("int"),
-                (F.col("end_idx") - F.col("begin_idx")).cast("int"))))
+    return cut_history(rows.withColumn("begin_idx", F.explode(F.sequence(
+        F.col("end_idx") - size, F.col("end_idx") - 1))))
+
+
+def cut_history(rows: DataFrame) -> DataFrame:
+    """Cut ``history`` to the turns from ``begin_idx`` on."""
+    length = (F.col("end_idx") - F.col("begin_idx")).cast("int")
+    return rows.withColumn("history", F.slice("history", -length, length))
 
 
 def build_examples(encoded: DataFrame, ids: SpecialIds,
                    config: CorpusConfig) -> DataFrame:
     """All examples of an encoded, segmented turn table.
 
-    Takes ``(conv_id, segment, turn, ids)`` as :func:`encoded_segments` makes
-    it; one shuffle, on ``(conv_id, segment)``, serves the whole chain.
+    Takes ``(conv_id, segment, turn, ids)`` as ``encoded_segments`` makes it;
+    one shuffle, on ``(conv_id, segment)``, serves the whole chain.
     """
     rows = contexts(encoded, "ids", config.max_hist)
-    length = F.aggregate("history", F.lit(0).cast("bigint"),
-                         lambda acc, t: acc + F.size(t) + 1)
-    rows = rows.withColumn(
-        "example_len", (length + F.size("target") + 1).cast("bigint"))
-    return with_sequences(each_history(rows), ids, config.max_len).select(
+    length = (F.size(F.flatten("history")) + F.size("history") + F.size("target") + 1)
+    marked = with_marked_turns(
+        rows.withColumn("example_len", length.cast("bigint")), ids, config.max_len)
+    return with_sequences(each_history(marked), ids).select(
         "conv_id", "begin_idx", "end_idx", "example_len",
         "input_ids", "token_type_ids", "target_ids")
 
@@ -95,9 +117,7 @@ def example_lookup(index: DataFrame, encoded: DataFrame, max_hist: int) -> DataF
     """
     rows = contexts(encoded, "ids", max_hist).select(
         "conv_id", "end_idx", "history", "target")
-    length = (F.col("end_idx") - F.col("begin_idx")).cast("int")
-    return (index.join(rows, ["conv_id", "end_idx"])
-            .withColumn("history", F.slice("history", -length, length)))
+    return cut_history(index.join(rows, ["conv_id", "end_idx"]))
 
 
 def history_band_join(turns: DataFrame, max_hist: int) -> DataFrame:

@@ -71,7 +71,7 @@ def history_columnar(wide: DataFrame) -> DataFrame:
 
     A run's epochs are few by construction: one row per epoch, not per step.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*HISTORY)))
+    rows = F.sort_array(F.collect_list(F.struct(*HISTORY)))
     return (wide.groupBy("run_id").agg(rows.alias("_rows"))
             .select("run_id", *[F.col("_rows")[h].alias(h) for h in HISTORY]))
 

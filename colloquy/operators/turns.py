@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.config import SEGMENT_TURNS
+from colloquy.functions.numbers import whole_part
 
 
 def split_of(conv_id: Column) -> Column:
@@ -27,11 +28,6 @@ def with_split(turns: DataFrame) -> DataFrame:
     return turns.withColumn("split", split_of(F.col("conv_id")))
 
 
-def whole_part(value: Column, size: int) -> Column:
-    """Integer division, exact for all of bigint."""
-    return F.call_function("div", value, F.lit(size))
-
-
 def segment_of(turn: Column) -> Column:
     return whole_part(turn, SEGMENT_TURNS)
 
@@ -68,7 +64,7 @@ def is_own() -> Column:
     return F.col("segment") == segment_of(F.col("turn"))
 
 
-def _checked_turn(reach: int) -> Column:
+def checked_turn(reach: int) -> Column:
     """``turn``, failing the job where the numbering has a gap or a repeat."""
     order = Window.partitionBy("conv_id", "segment").orderBy("turn")
     before = F.lag("turn").over(order)
@@ -92,7 +88,7 @@ def contexts(segmented: DataFrame, value: str, max_hist: int,
     order = Window.partitionBy("conv_id", "segment").orderBy("turn")
     return (segmented
             .select("conv_id", "segment", "turn", *keep,
-                    _checked_turn(max_hist).alias("end_idx"),
+                    checked_turn(max_hist).alias("end_idx"),
                     F.collect_list(value).over(
                         order.rowsBetween(-max_hist, -1)).alias("history"),
                     F.col(value).alias("target"))
@@ -107,7 +103,7 @@ def rolling_context(turns: DataFrame, max_hist: int) -> DataFrame:
     rows = with_segments(turns, max_hist - 1)
     return (rows
             .select("conv_id", "segment", "turn",
-                    _checked_turn(max_hist - 1).alias("position"),
+                    checked_turn(max_hist - 1).alias("position"),
                     F.collect_list("text").over(frame).alias("context"))
             .where(is_own() & (F.col("position") >= 0))
             .select("conv_id", F.col("position").alias("turn"), "context"))
@@ -115,10 +111,10 @@ def rolling_context(turns: DataFrame, max_hist: int) -> DataFrame:
 
 def assembled(turns: DataFrame) -> DataFrame:
     """Ordered utterance lists, one per conversation and segment."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "text")))
     return (turns.withColumn("segment", segment_of(F.col("turn")))
             .groupBy("conv_id", "segment")
-            .agg(F.transform(ordered, lambda t: t["text"]).alias("utterances")))
+            .agg(ordered["text"].alias("utterances")))
 
 
 def dialog_sizes(turns: DataFrame) -> DataFrame:

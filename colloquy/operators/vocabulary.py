@@ -106,7 +106,7 @@ def encode(rows: DataFrame, vocab: Vocabulary, keys: list[str]) -> DataFrame:
         "pos", F.coalesce("id", F.lit(vocab.ids.unk)).cast("int").alias("id")))
     return (_mapped(tokens, vocab, "token", "id")
             .groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+            .agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
             .select(*keys, F.col("_entries.id").alias("ids")))
 
 
@@ -123,7 +123,7 @@ def decode(rows: DataFrame, vocab: Vocabulary, keys: list[str], ids: str) -> Dat
     entry = F.when(F.col("token").isNotNull(), F.struct("pos", "token"))
     return (_mapped(tokens, vocab, "id", "token")
             .groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+            .agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
             .select(*keys, F.array_join(F.col("_entries.token"), " ").alias("text")))
 
 

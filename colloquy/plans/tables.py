@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.operators.turns import whole_part
+from colloquy.functions.numbers import whole_part
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from colloquy.functions.numbers import whole_part
 from colloquy.operators.metrics import history_columnar
-from colloquy.operators.turns import assembled, whole_part
+from colloquy.operators.turns import assembled
 
 
 def write_shards(rows: DataFrame, path: str, file_size: int) -> None:
@@ -43,7 +44,7 @@ def write_metric_text(summary: DataFrame, path: str) -> None:
     """The two-line text form of a metric summary, a handful of rows."""
     triple = F.concat_ws(",", *[F.col(c).cast("string")
                                 for c in ("mean", "std", "confidence")])
-    rows = F.array_sort(F.collect_list(F.struct("metric", triple.alias("triple"))))
+    rows = F.sort_array(F.collect_list(F.struct("metric", triple.alias("triple"))))
     line = lambda label, field: F.concat_ws(" ", F.lit(label), F.array_join(
         F.transform("rows", lambda r: r[field]), " "))
     (summary.groupBy().agg(rows.alias("rows"))
