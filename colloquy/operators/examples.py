@@ -97,11 +97,11 @@ def build_examples(encoded: DataFrame, ids: SpecialIds,
                    config: CorpusConfig) -> DataFrame:
     """All examples of an encoded, segmented turn table.
 
-    Takes ``(conv_id, segment, turn, ids)`` as ``encoded_segments`` makes it;
-    one shuffle, on ``(conv_id, segment)``, serves the whole chain.
+    Takes ``(conv_id, segment, turn, n_ids, ids)`` as ``encoded_segments`` makes
+    it; one shuffle, on ``(conv_id, segment)``, serves the whole chain.
     """
-    rows = contexts(encoded, "ids", config.max_hist)
-    length = (F.size(F.flatten("history")) + F.size("history") + F.size("target") + 1)
+    rows = contexts(encoded, "ids", config.max_hist, "n_ids")
+    length = F.col("history_ids") + F.size("history") + F.col("n_ids") + 1
     marked = with_marked_turns(
         rows.withColumn("example_len", length.cast("bigint")), ids, config.max_len)
     return with_sequences(each_history(marked), ids).select(

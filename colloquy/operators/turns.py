@@ -83,14 +83,16 @@ def contexts(segmented: DataFrame, value: str, max_hist: int,
     Takes the output of :func:`with_segments` for a reach of ``max_hist``.
     Returns ``(conv_id, segment, end_idx, history, target)`` where ``history``
     is an array of ``value`` and ``target`` the turn's own value, and the
-    columns named in ``keep``.
+    columns named in ``keep``. With ``n_ids`` among those, ``history_ids`` is
+    its sum over the history.
     """
-    order = Window.partitionBy("conv_id", "segment").orderBy("turn")
+    before = Window.partitionBy("conv_id", "segment").orderBy("turn").rowsBetween(
+        -max_hist, -1)
+    total = [F.sum("n_ids").over(before).alias("history_ids")] if "n_ids" in keep else []
     return (segmented
-            .select("conv_id", "segment", "turn", *keep,
+            .select("conv_id", "segment", "turn", *keep, *total,
                     checked_turn(max_hist).alias("end_idx"),
-                    F.collect_list(value).over(
-                        order.rowsBetween(-max_hist, -1)).alias("history"),
+                    F.collect_list(value).over(before).alias("history"),
                     F.col(value).alias("target"))
             .where(is_own() & (F.col("end_idx") >= 1))
             .drop("turn"))

@@ -96,12 +96,17 @@ def _mapped(rows: DataFrame, vocab: Vocabulary, key: str, value: str) -> DataFra
 
 
 def encode(rows: DataFrame, vocab: Vocabulary, keys: list[str]) -> DataFrame:
-    """Replace ``text`` by ``ids``, the token ids of its words, per ``keys``.
+    """Replace ``text`` by ``ids``, the token ids of its words, per ``keys``."""
+    return encode_words(rows.withColumn("words", words(F.col("text"))), vocab, keys)
+
+
+def encode_words(rows: DataFrame, vocab: Vocabulary, keys: list[str]) -> DataFrame:
+    """Replace the array ``words`` by ``ids``, per ``keys``.
 
     If ``rows`` is already partitioned by some of ``keys`` and the vocabulary
     is small, this adds no shuffle.
     """
-    tokens = rows.select(*keys, F.posexplode_outer(words(F.col("text"))).alias("pos", "token"))
+    tokens = rows.select(*keys, F.posexplode_outer("words").alias("pos", "token"))
     entry = F.when(F.col("token").isNotNull(), F.struct(
         "pos", F.coalesce("id", F.lit(vocab.ids.unk)).cast("int").alias("id")))
     return (_mapped(tokens, vocab, "token", "id")
@@ -110,11 +115,21 @@ def encode(rows: DataFrame, vocab: Vocabulary, keys: list[str]) -> DataFrame:
             .select(*keys, F.col("_entries.id").alias("ids")))
 
 
-def encoded_segments(turns: DataFrame, vocab: Vocabulary, reach: int) -> DataFrame:
-    """Encoded turns laid out by ``(conv_id, segment)`` for window work."""
-    placed = (with_segments(turns.select("conv_id", "turn", "text"), reach)
-              .repartition("conv_id", "segment"))
-    return encode(placed, vocab, ["conv_id", "segment", "turn"])
+def encoded_segments(turns: DataFrame, vocab: Vocabulary, reach: int,
+                     max_len: int | None = None) -> DataFrame:
+    """Encoded turns laid out by ``(conv_id, segment)`` for window work:
+    ``(conv_id, segment, turn, n_ids, ids)``.
+
+    Sequences show at most ``max_len`` ids of a turn; given it, only those are
+    shuffled and looked up, while ``n_ids`` counts the whole turn.
+    """
+    tokens = words(F.col("text"))
+    rows = turns.select("conv_id", "turn", tokens.alias("words")).withColumn(
+        "n_ids", F.size("words"))
+    if max_len is not None:
+        rows = rows.withColumn("words", F.slice("words", 1, max_len))
+    placed = with_segments(rows, reach).repartition("conv_id", "segment")
+    return encode_words(placed, vocab, ["conv_id", "segment", "turn", "n_ids"])
 
 
 def decode(rows: DataFrame, vocab: Vocabulary, keys: list[str], ids: str) -> DataFrame:

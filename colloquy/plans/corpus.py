@@ -31,9 +31,10 @@ class Corpus:
 
     def segments(self) -> DataFrame:
         """Encoded turns laid out for example generation."""
-        return (with_segments(self.turns.select("conv_id", "turn", "ids"),
-                              self.config.max_hist)
-                .repartition("conv_id", "segment"))
+        rows = self.turns.select(
+            "conv_id", "turn", F.size("ids").alias("n_ids"),
+            F.slice("ids", 1, self.config.max_len).alias("ids"))
+        return with_segments(rows, self.config.max_hist)
 
     def index(self) -> DataFrame:
         sizes = self.turns.select("conv_id", "turn", F.size("ids").alias("n_ids"))
@@ -62,14 +63,15 @@ def text_examples(turns: DataFrame, config: CorpusConfig) -> DataFrame:
     """Examples straight from text with a vocabulary of its own."""
     vocab = build_vocab(turns)
     return build_examples(
-        encoded_segments(turns, vocab, config.max_hist), vocab.ids, config)
+        encoded_segments(turns, vocab, config.max_hist, config.max_len),
+        vocab.ids, config)
 
 
 def text_batches(turns: DataFrame, config: CorpusConfig) -> tuple[DataFrame, SpecialIds]:
     """Batch rows straight from text, ready for a collation layout."""
     vocab = build_vocab(turns)
     plan = batch_plan(text_index(turns, config), turns, config)
-    encoded = encoded_segments(turns, vocab, config.max_hist)
+    encoded = encoded_segments(turns, vocab, config.max_hist, config.max_len)
     return batch_rows(plan, encoded, vocab.ids, config), vocab.ids
 
 

@@ -361,8 +361,7 @@ def target_sequence(spark, sf_dir):
 
 @query
 def build_examples(spark, sf_dir):
-    encoded, vocab = _encoded(spark, sf_dir)
-    rows = X.build_examples(encoded, vocab.ids, CONFIG)
+    rows = corpus.text_examples(conversations(spark, sf_dir), CONFIG)
     return rows.select(*KEYS, "example_len", *[
         ids_text(F.col(c)).alias(c) for c in ("input_ids", "token_type_ids", "target_ids")])
 

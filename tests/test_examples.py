@@ -18,7 +18,8 @@ F1 = [[1, 2], [3], [4, 5, 6]]
 
 def id_table(spark, dialogs):
     rows = [(c, t, ids) for c, turns in dialogs.items() for t, ids in enumerate(turns)]
-    return spark.createDataFrame(rows, "conv_id bigint, turn bigint, ids array<int>")
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, ids array<int>")
+    return table.withColumn("n_ids", F.size("ids"))
 
 
 def brute_examples(dialog, max_hist, max_len):
@@ -75,7 +76,7 @@ def test_any_segment_size_gives_the_same_examples(spark, monkeypatch, max_hist,
             for k, v in brute_examples(d, max_hist, 4).items()}
     assert got == want and len(rows) == len(want)
 
-    sizes = table.select("conv_id", "turn", F.size("ids").alias("n_ids"))
+    sizes = table.select("conv_id", "turn", "n_ids")
     index = {(r.conv_id, r.begin_idx, r.end_idx):
              (r.example_len, r.input_len, r.target_len)
              for r in X.example_index(sizes, config).collect()}
