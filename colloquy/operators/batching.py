@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from colloquy.config import CorpusConfig
 from colloquy.functions.hashing import key_bin, shuffle_key
 from colloquy.functions.numbers import whole_part
-from colloquy.operators.ranking import ranked, total_before
+from colloquy.operators.ranking import counted_out, ranked, total_before
 from colloquy.operators.turns import (
-    dialog_sizes, examples_before, examples_of, segment_of)
+    dialog_sizes, examples_before, examples_of, per_segment, segment_of)
 from colloquy.session import durable
 
 SHARD = ["split", "shard"]
@@ -54,21 +54,25 @@ def dialog_layout(turns: DataFrame, config: CorpusConfig) -> DataFrame:
         "shard_examples": F.sum("n_examples").over(shard)}))
 
 
+def with_shards(turns: DataFrame, layout: DataFrame) -> DataFrame:
+    """Add ``split`` and ``shard`` to turns, joined by segment."""
+    shards = per_segment(layout).select("conv_id", "segment", *SHARD)
+    rows = turns.drop("split").withColumn("segment", segment_of(F.col("turn")))
+    return rows.join(shards, ["conv_id", "segment"]).drop("segment")
+
+
 def placed(index: DataFrame, layout: DataFrame, config: CorpusConfig) -> DataFrame:
     """Add ``split``, ``shard``, ``shard_examples`` and ``ordinal`` to index rows.
 
     Layout rows are repeated per segment to join on ``(conv_id, segment)``,
     the partitioning that the index already has.
     """
-    per_segment = (layout
-                   .select("conv_id", *SHARD, "first_ordinal", "shard_examples",
-                           F.explode(F.sequence(
-                               F.lit(0).cast("bigint"),
-                               segment_of(F.col("n_turns") - 1))).alias("segment")))
+    shards = per_segment(layout).select(
+        "conv_id", "segment", *SHARD, "first_ordinal", "shard_examples")
     inside = (examples_before(F.col("end_idx"), config.max_hist)
               + F.col("begin_idx")
               - F.greatest(F.col("end_idx") - config.max_hist, F.lit(0)))
-    return (index.join(per_segment, ["conv_id", "segment"])
+    return (index.join(shards, ["conv_id", "segment"])
             .withColumn("ordinal", F.col("first_ordinal") + inside)
             .drop("first_ordinal", "segment"))
 
@@ -107,20 +111,13 @@ def bucket_starts(shard_sizes: DataFrame, config: CorpusConfig) -> DataFrame:
     Takes ``(split, shard, n_examples)``.
     """
     size = config.bucket_size
-    block = 4096
     last = chunk_of(F.col("n_examples") - 1, size)
     key = shuffle_key(F.lit(config.seed), F.lit(config.epoch), *map(F.col, SHARD),
                       F.col("bucket"))
-    buckets = (shard_sizes.where("n_examples > 0")
-               .withColumn("_block", F.explode(F.sequence(
-                   F.lit(0).cast("bigint"), chunk_of(last, block))))
-               .withColumn("bucket", F.explode(F.sequence(
-                   F.col("_block") * block,
-                   F.least(last, F.col("_block") * block + block - 1))))
-               .withColumns({
-                   "n_rows": F.least(F.lit(size),
-                                     F.col("n_examples") - F.col("bucket") * size),
-                   "_key": key, "_bin": key_bin(key)}))
+    buckets = counted_out(
+        shard_sizes.where("n_examples > 0"), last, "bucket").withColumns({
+            "n_rows": F.least(F.lit(size), F.col("n_examples") - F.col("bucket") * size),
+            "_key": key, "_bin": key_bin(key)})
     return total_before(buckets, SHARD, ["_bin"], [F.col("_key"), F.col("bucket")],
                         "start", weight="n_rows").select(*SHARD, "bucket", "n_rows", "start")
 

@@ -8,7 +8,7 @@ from colloquy.config import SP1, SP2, CorpusConfig
 from colloquy.functions.text import prompt_of, reply_of, words
 from colloquy.operators.examples import each_history
 from colloquy.operators.turns import (
-    contexts, dialog_sizes, segment_of, with_segments, with_split)
+    contexts, dialog_sizes, per_segment, segment_of, with_segments, with_split)
 
 EXAMPLE = ["conv_id", "begin_idx", "end_idx"]
 
@@ -63,9 +63,7 @@ def word_vocab(turns: DataFrame, config: CorpusConfig) -> DataFrame:
         "conv_id", F.col("turn").cast("bigint").alias("turn"),
         segment_of(F.col("turn")).alias("segment"),
         F.slice(words(F.col("text")), 1, config.max_len).alias("words"))
-    sizes = dialog_sizes(turns).select(
-        "split", "conv_id", "n_turns", F.explode(F.sequence(
-            F.lit(0).cast("bigint"), segment_of(F.col("n_turns") - 1))).alias("segment"))
+    sizes = per_segment(dialog_sizes(turns))
     split = F.col("split")
     shown = (F.col("turn") < F.col("n_turns") - 1) & split.isin("train", "test")
     replied = (F.col("turn") > 0) & (split == "test")

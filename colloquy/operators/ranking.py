@@ -4,11 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from colloquy.functions.numbers import whole_part
 from colloquy.session import durable
 
 BROADCAST_PARTS = 100_000
 
 
+# Longest sequence that is spelled out within one row.
+BLOCK = 4096
+
+
+def counted_out(df: DataFrame, last: Column, name: str) -> DataFrame:
+    """One row for each number from 0 to ``last``, block by block, so that a
+    large ``last`` does not become one large array."""
+    blocks = F.sequence(F.lit(0).cast("bigint"), whole_part(last, BLOCK))
+    start = F.col("_block") * BLOCK
+    return (df.withColumn("_block", F.explode(blocks))
+            .withColumn(name, F.explode(F.sequence(
+                start, F.least(last, start + (BLOCK - 1)))))
+            .drop("_block"))
+
+
+def _bin_starts(totals: DataFrame, group: list[str], bins: list[str]) -> DataFrame:
+    """Add ``_start``, the total of all earlier bins of the group, to rows of
+    ``(group, bins, _total)``.
+
+    The last bin column is summed up within the others, and those in turn, so
+    a window sees the values of one column only.
+    """
+    inside = Window.partitionBy(*group, *bins[:-1]).orderBy(bins[-1]).rowsBetween(
+        Window.unboundedPreceding, -1)
+    rows = totals.withColumn("_start", F.coalesce(F.sum("_total").over(inside), F.lit(0)))
+    if len(bins) == 1:
+        return rows.drop("_total")
+    outer_keys = group + bins[:-1]
+    outer = _bin_starts(totals.groupBy(*outer_keys).agg(F.sum("_total").alias("_total")),
+                        group, bins[:-1]).withColumnRenamed("_start", "_outer")
+    return (rows.join(outer, outer_keys)
+            .select(*group, *bins, (F.col("_start") + F.col("_outer")).alias("_start")))
+
+
 def total_before(df: DataFrame, group: list[str], bins: list[str],
                  order: list[Column], name: str, weight: str | None = None) -> DataFrame:
     """Add ``name``: the sum of ``weight`` (or the count) over the rows that come
@@ -19,10 +54,7 @@ def total_before(df: DataFrame, group: list[str], bins: list[str],
     """
     amount = F.col(weight) if weight else F.lit(1)
     keys = group + bins
-    earlier_bins = Window.partitionBy(*group).orderBy(*bins).rowsBetween(
-        Window.unboundedPreceding, -1)
-    starts = df.groupBy(*keys).agg(F.sum(amount).alias("_total")).select(
-        *keys, F.coalesce(F.sum("_total").over(earlier_bins), F.lit(0)).alias("_start"))
+    totals = df.groupBy(*keys).agg(F.sum(amount).alias("_total"))
     earlier_rows = Window.partitionBy(*keys).orderBy(*order)
     if weight:
         inside = F.coalesce(F.sum(amount).over(
@@ -30,7 +62,7 @@ def total_before(df: DataFrame, group: list[str], bins: list[str],
     else:
         inside = F.row_number().over(earlier_rows).cast("bigint") - 1
     return (df.withColumn("_inside", inside)
-            .join(starts, keys)
+            .join(_bin_starts(totals, group, bins), keys)
             .withColumn(name, (F.col("_start") + F.col("_inside")).cast("bigint"))
             .drop("_start", "_inside"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.config import SEGMENT_TURNS
 from colloquy.functions.numbers import whole_part
+from colloquy.operators.ranking import BLOCK, counted_out, total_before
 
 
 def split_of(conv_id: Column) -> Column:
@@ -40,10 +41,10 @@ def renumbered(turns: DataFrame) -> DataFrame:
     """
     keys = ["conv_id", "_piece"]
     pieces = turns.withColumn("_piece", segment_of(F.col("turn")))
-    before = Window.partitionBy("conv_id").orderBy("_piece").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = pieces.groupBy(*keys).count().select(
-        *keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    counts = (pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_block", whole_part(F.col("_piece"), BLOCK)))
+    offsets = total_before(counts, ["conv_id"], ["_block"], [F.col("_piece")],
+                           "_offset", weight="_n").select(*keys, "_offset")
     own = Window.partitionBy(*keys).orderBy("turn")
     return (pieces.withColumn("_row", F.row_number().over(own).cast("bigint") - 1)
             .join(offsets, keys)
@@ -51,6 +52,12 @@ def renumbered(turns: DataFrame) -> DataFrame:
             .drop("_piece", "_offset", "_row"))
 
 
+def per_segment(dialogs: DataFrame) -> DataFrame:
+    """Repeat conversation rows for each ``segment`` of their ``n_turns`` turns,
+    to join them with turns on ``(conv_id, segment)``."""
+    return counted_out(dialogs, segment_of(F.col("n_turns") - 1), "segment")
+
+
 def with_segments(turns: DataFrame, reach: int) -> DataFrame:
     """Add ``segment``; a turn also goes to each later segment that starts
     within ``reach`` turns after it."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from colloquy.config import CorpusConfig, SpecialIds
 from colloquy.functions.hashing import config_fingerprint
 from colloquy.functions.text import words
-from colloquy.operators.batching import batch_plan
+from colloquy.operators.batching import batch_plan, dialog_layout, with_shards
 from colloquy.operators.collation import batch_rows, collate
 from colloquy.operators.examples import build_examples, example_index
 from colloquy.operators.splits import split_manifest
@@ -18,6 +18,7 @@ from colloquy.operators.turns import with_segments, with_split
 from colloquy.operators.vocabulary import (
     Vocabulary, build_vocab, encode, encoded_segments, stored_vocab)
 from colloquy.sources.readers import read_source
+from colloquy.sources.writers import write_shards
 
 
 @dataclass(frozen=True)
@@ -110,8 +111,9 @@ def prepare_corpus(spark: SparkSession, source: str | DataFrame, path: str,
         raw = spark.read.parquet(raw_path)
         build_vocab(raw).table.write.mode("overwrite").parquet(vocab_path)
         vocab = stored_vocab(spark.read.parquet(vocab_path))
-        encode(raw, vocab, ["split", "conv_id", "turn"]).write.mode(
-            "overwrite").partitionBy("split").parquet(turns_path)
+        encoded = encode(raw, vocab, ["conv_id", "turn"])
+        write_shards(with_shards(encoded, dialog_layout(raw, config)),
+                     turns_path, config.file_size)
         split_manifest(spark.read.parquet(turns_path), config).coalesce(1).write.mode(
             "overwrite").parquet(manifest_path)
     return Corpus(spark.read.parquet(turns_path),

@@ -103,13 +103,9 @@ def src_blankline_text(spark, sf_dir):
 @query
 def scan_split(spark, sf_dir):
     path = staging_path(spark, "splits")
-    layout = B.dialog_layout(conversations(spark, sf_dir), CONFIG)
-    per_segment = layout.select("split", "shard", "conv_id", F.explode(F.sequence(
-        F.lit(0).cast("bigint"), T.segment_of(F.col("n_turns") - 1))).alias("segment"))
-    rows = (conversations(spark, sf_dir)
-            .withColumn("segment", T.segment_of(F.col("turn")))
-            .join(per_segment, ["conv_id", "segment"]).drop("segment"))
-    writers.write_shards(rows, path, 1000)
+    rows = conversations(spark, sf_dir)
+    sharded = B.with_shards(rows, B.dialog_layout(rows, CONFIG))
+    writers.write_shards(sharded, path, 1000)
     return readers.scan_split(spark, path, "valid").select(
         "split", "shard", "conv_id", "turn", "text")
 

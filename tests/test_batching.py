@@ -10,7 +10,7 @@ from colloquy.config import CorpusConfig, SpecialIds
 from colloquy.functions import padding as P
 from colloquy.operators import batching as B
 from colloquy.operators import collation as C
-from colloquy.operators.ranking import ranked, total_before
+from colloquy.operators.ranking import counted_out, ranked, total_before
 from colloquy.plans import corpus
 from colloquy.plans.tables import conversations
 
@@ -44,6 +44,17 @@ def test_ranks_with_a_hot_group_and_hot_key(spark):
         assert r.n == sum(before)
 
 
+def test_counting_out_crosses_blocks(spark):
+    rows = spark.createDataFrame([("a", 0), ("b", 4095), ("c", 4096), ("d", 9000)],
+                                 "k string, last bigint")
+    got = counted_out(rows, F.col("last"), "i").groupBy("k").agg(
+        F.count("i").alias("n"), F.countDistinct("i").alias("d"),
+        F.min("i").alias("low"), F.max("i").alias("high")).collect()
+    assert {r.k: (r.n, r.d, r.low, r.high) for r in got} == {
+        "a": (1, 1, 0, 0), "b": (4096, 4096, 0, 4095), "c": (4097, 4097, 0, 4096),
+        "d": (9001, 9001, 0, 9000)}
+
+
 def test_each_example_is_in_one_batch(plan):
     keys = [(r.conv_id, r.begin_idx, r.end_idx) for r in plan]
     assert len(keys) == len(set(keys)) == 114

@@ -9,6 +9,7 @@ from colloquy.functions import text as X
 from colloquy.functions.hashing import config_fingerprint
 from colloquy.operators import evaluation as E
 from colloquy.operators import vocabulary as V
+from colloquy.plans.evaluation import evaluate, export_lines
 from colloquy.plans.tables import conversations
 
 
@@ -81,3 +82,24 @@ def test_file_stem(spark):
     row = spark.range(1).select(*[X.file_stem(F.lit(p)) for p in (
         "file:/x/train.json", "/a.b/valid.txt", "test")]).first()
     assert list(row) == ["train", "valid", "test"]
+
+
+def test_evaluation_exports_aligned_lines(spark, sf_dir, tmp_path):
+    turns = conversations(spark, sf_dir)
+    config = CorpusConfig(max_len=9)
+    keys = ["conv_id", "begin_idx", "end_idx"]
+    examples = E.normalized_examples(E.rendered_examples(turns, config))
+    said = examples.select(*keys, F.concat(F.lit("Re: "), F.trim("target")).alias("response"))
+    result = evaluate(turns, said, config)
+    export_lines(result, str(tmp_path / "out"))
+
+    def lines(name):
+        return {p.name.split("-")[1]: p.read_text().split("\n")[:-1]
+                for p in (tmp_path / "out" / name).glob("part-*")}
+    targets, responses = lines("test_target"), lines("test_response")
+    assert sum(map(len, targets.values())) == result.table.count() > 0
+    for part, rows in targets.items():
+        assert ["re: " + t.strip() for t in rows] == responses[part]
+    got = {r.metric for r in result.summary.collect()}
+    assert got == {"length", "distinct_1", "distinct_2"}
+    assert result.train_inputs.count() == examples.where("split = 'train'").count()
