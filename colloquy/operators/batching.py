@@ -40,18 +40,15 @@ def assign_shards(dialogs: DataFrame, file_size: int) -> DataFrame:
 
 
 def dialog_layout(turns: DataFrame, config: CorpusConfig) -> DataFrame:
-    """Per conversation its shard and the ordinal of its first example.
-
-    Written once: small next to the turns, and read by several later steps.
-    """
+    """Per conversation its shard and the ordinal of its first example."""
     dialogs = dialog_sizes(turns).withColumn(
         "n_examples", examples_of(F.col("n_turns"), config.max_hist))
     # a shard holds at most file_size conversations, so these windows are bounded
     shard = Window.partitionBy(*SHARD)
     earlier = shard.orderBy("shard_pos").rowsBetween(Window.unboundedPreceding, -1)
-    return durable(assign_shards(dialogs, config.file_size).withColumns({
+    return assign_shards(dialogs, config.file_size).withColumns({
         "first_ordinal": F.coalesce(F.sum("n_examples").over(earlier), F.lit(0)),
-        "shard_examples": F.sum("n_examples").over(shard)}))
+        "shard_examples": F.sum("n_examples").over(shard)})
 
 
 def with_shards(turns: DataFrame, layout: DataFrame) -> DataFrame:
@@ -65,16 +62,18 @@ def placed(index: DataFrame, layout: DataFrame, config: CorpusConfig) -> DataFra
     """Add ``split``, ``shard``, ``shard_examples`` and ``ordinal`` to index rows.
 
     Layout rows are repeated per segment to join on ``(conv_id, segment)``,
-    the partitioning that the index already has.
+    the partitioning that the index already has. The result, a few numbers per
+    example, is written once: ordering reads it several times, and the text is
+    scanned for lengths only once.
     """
     shards = per_segment(layout).select(
         "conv_id", "segment", *SHARD, "first_ordinal", "shard_examples")
     inside = (examples_before(F.col("end_idx"), config.max_hist)
               + F.col("begin_idx")
               - F.greatest(F.col("end_idx") - config.max_hist, F.lit(0)))
-    return (index.join(shards, ["conv_id", "segment"])
-            .withColumn("ordinal", F.col("first_ordinal") + inside)
-            .drop("first_ordinal", "segment"))
+    return durable(index.join(shards, ["conv_id", "segment"])
+                   .withColumn("ordinal", F.col("first_ordinal") + inside)
+                   .drop("first_ordinal", "segment"))
 
 
 def rank_share(rows: DataFrame, world_size: int) -> DataFrame:

@@ -51,6 +51,8 @@ def total_before(df: DataFrame, group: list[str], bins: list[str],
 
     Rows are numbered within a bin; the bins' totals, one small row per bin,
     carry the sum from bin to bin. A large group thus spreads over its bins.
+    ``df`` is read once for its rows and once per bin column for the totals, so
+    give it a table that is cheap to read.
     """
     amount = F.col(weight) if weight else F.lit(1)
     keys = group + bins

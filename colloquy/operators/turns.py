@@ -113,7 +113,8 @@ def rolling_context(turns: DataFrame, max_hist: int) -> DataFrame:
     return (rows
             .select("conv_id", "segment", "turn",
                     checked_turn(max_hist - 1).alias("position"),
-                    F.collect_list("text").over(frame).alias("context"))
+                    F.collect_list(F.coalesce("text", F.lit(""))).over(frame)
+                    .alias("context"))
             .where(is_own() & (F.col("position") >= 0))
             .select("conv_id", F.col("position").alias("turn"), "context"))
 

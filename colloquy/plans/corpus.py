@@ -33,13 +33,12 @@ class Corpus:
     def segments(self) -> DataFrame:
         """Encoded turns laid out for example generation."""
         rows = self.turns.select(
-            "conv_id", "turn", F.size("ids").alias("n_ids"),
+            "conv_id", "turn", "n_ids",
             F.slice("ids", 1, self.config.max_len).alias("ids"))
         return with_segments(rows, self.config.max_hist)
 
     def index(self) -> DataFrame:
-        sizes = self.turns.select("conv_id", "turn", F.size("ids").alias("n_ids"))
-        return example_index(sizes, self.config)
+        return example_index(self.turns.select("conv_id", "turn", "n_ids"), self.config)
 
     def examples(self) -> DataFrame:
         return build_examples(self.segments(), self.vocab.ids, self.config)
@@ -111,7 +110,8 @@ def prepare_corpus(spark: SparkSession, source: str | DataFrame, path: str,
         raw = spark.read.parquet(raw_path)
         build_vocab(raw).table.write.mode("overwrite").parquet(vocab_path)
         vocab = stored_vocab(spark.read.parquet(vocab_path))
-        encoded = encode(raw, vocab, ["conv_id", "turn"])
+        encoded = encode(raw, vocab, ["conv_id", "turn"]).withColumn(
+            "n_ids", F.size("ids"))
         write_shards(with_shards(encoded, dialog_layout(raw, config)),
                      turns_path, config.file_size)
         split_manifest(spark.read.parquet(turns_path), config).coalesce(1).write.mode(
