@@ -481,8 +481,8 @@ ORACLES: dict[str, str] = {
         , per_rank as (select run_id, epoch, split, rank,
             cast(epoch_ms(date_trunc('hour', ts)) // 1000 as bigint) as step,
             avg(loss) as loss, avg(acc) as acc from good group by all)
-        select run_id, epoch, split, step, round(sum(loss) / 4, 6) as loss,
-          round(sum(acc) / 4, 6) as acc from per_rank group by all""",
+        select run_id, epoch, split, step, round(sum(loss) / 4, 9) as loss,
+          round(sum(acc) / 4, 9) as acc from per_rank group by all""",
     "best_epoch": _STOP + """
         select f.run_id, max(f.epoch) as best_epoch,
           round(arg_max(valid_loss, f.epoch), 6) as best_valid_loss
