@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from colloquy.plans.oracle import ORACLES
+from colloquy.plans.queries import QUERIES
 from scripts.check import TABLES, compare
 
 
@@ -15,9 +17,9 @@ def con(sf_dir):
     return connection
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, sf_dir, name):
-    line, ok = compare(spark, con, name, sf_dir, entry_module.oracle_sql()[name])
+    line, ok = compare(spark, con, name, sf_dir, ORACLES[name])
     assert ok, line
 
 
