@@ -61,6 +61,15 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars,
 from measured
 """
 
+EXACT_DEDUP = """
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+       doc_id = max(doc_id) over same as kept,
+       sha256(coalesce(text, '')) as text_sha256
+from documents
+window same as (partition by coalesce(text, ''))
+"""
+
 ORACLES = {
+    "op6_exact_dedup": EXACT_DEDUP,
     "op10_quality": QUALITY,
 }

@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import quality as quality_rules
+from colloquy.llm import exact_dedup, quality as quality_rules, simhash
 from colloquy.llm.common import documents
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return exact_dedup.duplicates(documents(spark, sf_dir), keep="largest").select(
+        "doc_id", "keep_id", "group_size", "kept",
+        F.substring("digest", 1, 64).alias("text_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality_rules.quality(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op6_exact_dedup": op6_exact_dedup,
     "op10_quality": op10_quality,
 }
