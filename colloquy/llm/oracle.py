@@ -69,7 +69,59 @@ from documents
 window same as (partition by coalesce(text, ''))
 """
 
+MIXING = rf"""
+with docs as (
+  select row_number() over () as r, doc_id, source, len({WORDS})::bigint as size,
+         (('0x' || substr(md5(coalesce(doc_id::varchar, 'null|' || coalesce(text, ''))),
+                          1, 13))::bigint + 0.5::double) / 4503599627370496.0::double as draw
+  from documents),
+leaning as (
+  select *, 1000 * size // (size + 200) as lean from docs),
+sources as (
+  select source, sum(size)::bigint as source_size, sum(lean * size)::bigint as leaning,
+         [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
+  from leaning group by source),
+levels as (
+  select *, (sum(source_size) over () - coalesce(sum(3 * source_size) over before, 0))::double
+            / (sum(weight) over () - coalesce(sum(weight) over before, 0))::double as level
+  from sources
+  window before as (order by 3.0 * source_size / weight, source nulls last
+                    rows between unbounded preceding and 1 preceding)),
+level as (
+  select max(level) as level from levels where level * weight <= 3 * source_size),
+targets as (
+  select source, source_size, leaning,
+         case when weight * level > 3 * source_size then (3 * source_size)::double
+              else weight * level end as target
+  from sources, level),
+rates as (
+  select *, case when source_size > 0 then target / source_size else 0 end as rate,
+         case when source_size > 0 then leaning::double / source_size::double / 1000.0::double
+              else 0 end as mean
+  from targets),
+parts as (
+  select *, floor(rate)::bigint as copies, rate - floor(rate) as f,
+         target - floor(rate) * source_size as filled
+  from rates),
+chances as (
+  select r, doc_id, size, parts.source, source_size, target, copies, f, filled, draw,
+         f + f * (1 - f) * (lean::double / 1000.0::double - mean) as chance
+  from leaning join parts on parts.source is not distinct from leaning.source),
+places as (
+  select *, case when f > 0 then (draw / (1 - draw)) / (chance / (1 - chance)) end as odds
+  from chances),
+ordered as (
+  select *, coalesce(sum(size) over (partition by source order by odds / (1 + odds), r
+                     rows between unbounded preceding and 1 preceding), 0) as before
+  from places)
+select doc_id, size, source_size, target,
+       (size * (copies + case when f > 0 and before + size / 2.0 <= filled
+                              then 1 else 0 end))::bigint as taken
+from ordered
+"""
+
 ORACLES = {
+    "op5_mixing": MIXING,
     "op6_exact_dedup": EXACT_DEDUP,
     "op10_quality": QUALITY,
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import exact_dedup, quality as quality_rules, simhash
-from colloquy.llm.common import documents
+from colloquy.llm import bpe, exact_dedup, mixing, quality as quality_rules, simhash
+from colloquy.llm.common import documents, text_digest
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +14,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix by weights 5, 2, 1 takes of every document."""
+    return mixing.mixture(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
     return exact_dedup.duplicates(documents(spark, sf_dir), keep="largest").select(
@@ -20,6 +26,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring("digest", 1, 64).alias("text_sha256"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.encode(documents(spark, sf_dir), path, "doc_id", decoded=True)
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+        .alias("ids_sha256"),
+        text_digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality_rules.quality(documents(spark, sf_dir))
@@ -27,6 +44,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_bpe": op8_bpe,
     "op10_quality": op10_quality,
 }

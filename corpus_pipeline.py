@@ -2,21 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import quality
+from colloquy.llm import bpe, exact_dedup, mixing, quality, simhash
 from colloquy.session import staged
 
+VOCABULARY = "byte_bpe_50k.json"
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules of their own and of their host."""
     return quality.keep_good(docs)
 
 
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates the one with the smallest id."""
+    return simhash.drop_near_copies(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document; ``intact`` says that they decode to its text."""
+    coded = bpe.encode(docs, public_tokenizers.path(VOCABULARY), "doc_id", "source", "text",
+                       decoded=True)
+    return coded.select("doc_id", "source", "ids",
+                        F.size("ids").cast("bigint").alias("n_tokens"),
+                        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("intact"))
+
+
 STAGES = [
     ("quality", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("tokens", tokens_stage),
 ]
 
+# Fingerprints and merges of symbols have no SQL; the tests compare the rows of
+# run() with a plain Python version.
 ORACLE_SQL = None
 
 
