@@ -46,7 +46,7 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.encode(text_of(text), "UTF-8"), 256)
 
 
-def fits_broadcast(df: DataFrame) -> bool:
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` is within the bounds of what may be broadcast."""
     size = F.lit(0)
     for name, kind in df.dtypes:
@@ -54,7 +54,7 @@ def fits_broadcast(df: DataFrame) -> bool:
                        if kind in ("string", "binary") else F.lit(8))
     row = df.agg(F.count(F.lit(1)).alias("n"),
                  F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
-    return row["n"] <= BROADCAST_ROWS and row["size"] <= BROADCAST_BYTES
+    return row["n"] <= rows and row["size"] <= BROADCAST_BYTES
 
 
 def small_side(df: DataFrame) -> DataFrame:

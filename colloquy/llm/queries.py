@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import bpe, exact_dedup, mixing, quality as quality_rules, simhash
+from colloquy.llm import bpe, exact_dedup, mixing, quality as quality_rules, simhash, substring_dedup
 from colloquy.llm.common import documents, text_digest
 
 
@@ -26,6 +26,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring("digest", 1, 64).alias("text_sha256"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that an earlier one has in a passage."""
+    return substring_dedup.substring_dedup(documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +51,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_bpe": op8_bpe,
     "op10_quality": op10_quality,
 }
