@@ -5,15 +5,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import bpe, exact_dedup, mixing, quality as quality_rules, simhash, substring_dedup
+from colloquy.llm import (bpe, exact_dedup, language, mixing, quality as quality_rules, simhash,
+                          substring_dedup, toxicity)
 from colloquy.llm.common import documents, text_digest
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document."""
+    return toxicity.toxicity(documents(spark, sf_dir),
+                             spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of every document."""
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.identify(documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix by weights 5, 2, 1 takes of every document."""
     return mixing.mixture(documents(spark, sf_dir))
@@ -48,7 +60,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
+    "op3_language": op3_language,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_substring_dedup": op7_substring_dedup,
