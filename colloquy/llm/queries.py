@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import (bpe, exact_dedup, language, mixing, quality as quality_rules, simhash,
-                          substring_dedup, toxicity)
+from colloquy.llm import (bpe, chat_format, exact_dedup, language, mixing,
+                          quality as quality_rules, simhash, substring_dedup,
+                          token_counts, toxicity)
 from colloquy.llm.common import documents, text_digest
 
 
@@ -26,6 +27,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a part of the repaired and rendered conversation."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return chat_format.repaired(turns).drop("place")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix by weights 5, 2, 1 takes of every document."""
     return mixing.mixture(documents(spark, sf_dir))
@@ -54,6 +61,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         text_digest(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of every document, in the section where they begin."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.section_tokens(documents(spark, sf_dir), path, "doc_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality_rules.quality(documents(spark, sf_dir))
@@ -63,9 +76,11 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
+    "op4_chat_format": op4_chat_format,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_bpe": op8_bpe,
+    "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }

@@ -36,7 +36,8 @@ MIXER = np.uint64(0x9E3779B97F4A7C15)
 # one odd word does not decide on a short text.
 NEUTRAL = 20
 SAMPLE_ROWS = 6000
-EPOCHS = 14
+# Batches that are trained on, the sample taken again and again.
+STEPS = 1300
 BATCH = 64
 RATE = 0.5
 SEED = 11
@@ -126,7 +127,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Mode
     seen = np.full(ROWS, 1e-8, np.float32)
     seen_weights = np.full_like(weights, 1e-8)
     seen_offset = np.full_like(offset, 1e-8)
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // len(bags))):
         order = random.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             chosen = order[at:at + BATCH]
