@@ -26,7 +26,7 @@ from colloquy.plans import corpus
 from colloquy.plans.tables import conversations, logit_table, step_log
 from colloquy.session import staging_path
 from colloquy.sources import readers, writers
-from colloquy.streaming.context import stream_context as rolling_stream
+from colloquy.streaming.context import check_nothing_waits, stream_context as rolling_stream
 from colloquy.streaming.metrics import latest, stream_epoch_means
 from colloquy.streaming.runner import drain_append, drain_update, read_table_stream
 
@@ -636,7 +636,8 @@ def metric_summary(spark, sf_dir):
 @query
 def stream_context(spark, sf_dir):
     turns = read_table_stream(spark, sf_dir, "conversations")
-    done = drain_append(rolling_stream(turns, CONFIG.max_hist), "stream-context")
+    done = drain_append(rolling_stream(turns, CONFIG.max_hist), "stream-context",
+                        check_nothing_waits)
     return done.select("conv_id", "turn", F.array_join("context", " | ").alias("context"))
 
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def stream_epoch_means(steps: DataFrame, delay: str = "1 day") -> DataFrame:
+def stream_epoch_means(steps: DataFrame, delay: str | None = None) -> DataFrame:
     """Mean loss per run and day of ``ts``, updated as steps arrive.
 
-    An epoch is a day here; its state is dropped once the watermark passes it.
+    An epoch is a day here. Steps may come in any order; without ``delay`` the sums
+    of all epochs are kept, one small row each. With it, an epoch's state is
+    dropped once the watermark passes it, and ``drain_update`` raises if a
+    step came too late for that.
     """
-    return (steps.withWatermark("ts", delay)
-            .groupBy("run_id", F.window("ts", "1 day").alias("day"))
+    rows = steps.withWatermark("ts", delay) if delay else steps
+    return (rows.groupBy("run_id", F.window("ts", "1 day").alias("day"))
             .agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("n_steps")))
 
 

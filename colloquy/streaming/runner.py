@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from colloquy.session import staging_path
 
@@ -20,44 +20,50 @@ def read_table_stream(spark: SparkSession, sf_dir: str, table: str,
             .parquet(f"{sf_dir}/{table}.parque[t]"))
 
 
-@contextmanager
-def _without_idle_batches(spark: SparkSession) -> Iterator[None]:
-    """State with a processing-time limit asks for one more batch for ever; a
-    run that ends with its input must not wait for that."""
-    key = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def drain_append(stream: DataFrame, name: str,
+                 check: Callable[[SparkSession, str], None] | None = None) -> DataFrame:
+    """Run an append-mode stream until its input is used up, into Parquet.
 
-
-def drain_append(stream: DataFrame, name: str) -> DataFrame:
-    """Run an append-mode stream until its input is used up, into Parquet."""
+    ``check`` gets the session and the folder of the stream's state at the end.
+    """
     spark = stream.sparkSession
     path = staging_path(spark, name)
-    with _without_idle_batches(spark):
-        query = (stream.writeStream.format("parquet").outputMode("append")
-                 .option("checkpointLocation", f"{path}-state")
-                 .trigger(availableNow=True).start(path))
-        query.awaitTermination()
+    query = (stream.writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", f"{path}-state")
+             .trigger(availableNow=True).start(path))
+    query.awaitTermination()
+    if check and spark.read.format("binaryFile").load(f"{path}-state/offsets").count():
+        check(spark, f"{path}-state")
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _raise_on_dropped(query: StreamingQuery) -> None:
+    """Raise if the watermark has dropped rows in one of the last batches."""
+    for progress in query.recentProgress:
+        for operator in progress["stateOperators"]:
+            if operator.get("numRowsDroppedByWatermark", 0):
+                raise ValueError(f"rows later than the watermark in batch "
+                                 f"{progress['batchId']}; choose a longer delay")
+
+
 def drain_update(stream: DataFrame, name: str) -> DataFrame:
     """Run an update-mode stream likewise; every row carries its ``batch``.
 
-    A batch overwrites its own folder, so a repeated batch counts once.
+    A batch overwrites its own folder, so a repeated batch counts once. Rows that
+    come too late for the watermark fail the run.
     """
     spark = stream.sparkSession
     path = staging_path(spark, name)
+    running: list[StreamingQuery] = []
 
     def write(rows: DataFrame, batch: int) -> None:
+        for query in running:
+            _raise_on_dropped(query)
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    query = (stream.writeStream.foreachBatch(write).outputMode("update")
-             .option("checkpointLocation", f"{path}-state")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    running.append(stream.writeStream.foreachBatch(write).outputMode("update")
+                   .option("checkpointLocation", f"{path}-state")
+                   .trigger(availableNow=True).start())
+    running[0].awaitTermination()
+    _raise_on_dropped(running[0])
     return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("bigint"))

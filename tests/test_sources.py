@@ -14,8 +14,6 @@ from colloquy.operators import turns as T
 from colloquy.plans import corpus
 from colloquy.plans.tables import conversations
 from colloquy.sources import SOURCES, read_source, readers, register_source, writers
-from colloquy.streaming.context import stream_context
-from colloquy.streaming.runner import drain_append
 
 
 def dialogs(turns):
@@ -163,22 +161,6 @@ def test_corpus_from_files_keeps_their_splits(spark, tmp_path):
     assert {r.split for r in batch} == {"train", "valid", "test"} and len(batch) == 12
 
 
-def test_stream_matches_batch_over_many_micro_batches(spark, tmp_path, monkeypatch):
-    n = 40
-    turns = spark.range(n).select(
-        F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
-        F.concat(F.lit("t"), "id").alias("text"))
-    for part in range(4):
-        turns.where(F.floor(F.col("turn") / 10) == part).coalesce(1).write.mode(
-            "append").parquet(str(tmp_path / "in"))
-    stream = (spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1)
-              .parquet(str(tmp_path / "in")))
-    got = {r.turn: list(r.context)
-           for r in drain_append(stream_context(stream, 3), "test").collect()}
-    want = {r.turn: list(r.context) for r in T.rolling_context(turns, 3).collect()}
-    assert got == want and len(want) == n
-
-
 def test_shared_folder_comes_from_the_session(spark, monkeypatch):
     folder = session.shared_dir(spark)
     assert session.staging_path(spark, "x").startswith(folder)
