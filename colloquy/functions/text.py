@@ -28,6 +28,16 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
+def split_of_path(path: Column) -> Column:
+    """The split that a file belongs to: the folder it lies in, if that is named
+    ``train``, ``valid`` or ``test`` (or ``split=train`` and so on), or else the
+    name up to the first character that is no letter. Anything else fails."""
+    folder = F.regexp_extract(path, r"(?:^|/)(?:split=)?(train|valid|test)/[^/]*$", 1)
+    name = F.regexp_extract(path, r"(?:^|/)(train|valid|test)(?![A-Za-z])[^/]*$", 1)
+    return (F.when(folder != "", folder).when(name != "", name).otherwise(F.raise_error(
+        F.concat(F.lit("no split in the name of "), path))))
+
+
 def prompt_of(rendered: Column) -> Column:
     """The prompt part of a rendered example: all before the last ``<sp1>``,
     speaker marks replaced by spaces, stripped."""

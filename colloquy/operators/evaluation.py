@@ -8,7 +8,7 @@ from colloquy.config import SP1, SP2, CorpusConfig
 from colloquy.functions.text import prompt_of, reply_of, words
 from colloquy.operators.examples import each_history
 from colloquy.operators.turns import (
-    contexts, dialog_sizes, per_segment, segment_of, with_segments, with_split)
+    checked, contexts, dialog_sizes, per_segment, with_segments, with_split)
 
 EXAMPLE = ["conv_id", "begin_idx", "end_idx"]
 
@@ -59,10 +59,9 @@ def word_vocab(turns: DataFrame, config: CorpusConfig) -> DataFrame:
     history, with one word less than a reply keeps; each but the first is a
     reply. The examples, which repeat turns, are not built.
     """
-    rows = turns.select(
+    rows = checked(turns.select(
         "conv_id", F.col("turn").cast("bigint").alias("turn"),
-        segment_of(F.col("turn")).alias("segment"),
-        F.slice(words(F.col("text")), 1, config.max_len).alias("words"))
+        F.slice(words(F.col("text")), 1, config.max_len).alias("words")))
     sizes = per_segment(dialog_sizes(turns))
     split = F.col("split")
     shown = (F.col("turn") < F.col("n_turns") - 1) & split.isin("train", "test")

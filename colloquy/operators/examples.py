@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from colloquy.config import CorpusConfig, SpecialIds
 from colloquy.functions import sequences as S
-from colloquy.operators.turns import checked_turn, contexts, is_own, with_segments
+from colloquy.operators.turns import checked, checked_turn, contexts, is_own, with_segments
 
 
 def example_index(sizes: DataFrame, config: CorpusConfig) -> DataFrame:
@@ -50,8 +50,9 @@ def running_example_len(sizes: DataFrame, config: CorpusConfig) -> DataFrame:
     before = F.sum(F.col("n_ids") + 1).over(order.rowsBetween(-config.max_hist, -1))
     rows = with_segments(sizes, config.max_hist)
     return (rows.withColumn("example_len", before + F.col("n_ids") + 1)
-            .where(is_own() & (F.col("turn") >= 1))
-            .select("conv_id", F.col("turn").alias("end_idx"),
+            .withColumn("end_idx", checked_turn(config.max_hist))
+            .where(is_own() & (F.col("end_idx") >= 1))
+            .select("conv_id", "end_idx",
                     F.col("example_len").cast("bigint").alias("example_len")))
 
 
@@ -126,6 +127,7 @@ def history_band_join(turns: DataFrame, max_hist: int) -> DataFrame:
     The band is a set of ``max_hist`` fixed distances, so it becomes an
     equality on ``(conv_id, turn)`` that produces no pair to discard.
     """
+    turns = checked(turns.select("conv_id", "turn"))
     reach = F.sequence(F.col("turn") + 1, F.col("turn") + max_hist)
     shifted = turns.select("conv_id", F.col("turn").alias("begin_idx"),
                            F.explode(reach).alias("end_idx"))

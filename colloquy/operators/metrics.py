@@ -49,21 +49,37 @@ def epoch_metrics(steps: DataFrame) -> DataFrame:
         *[F.avg(m).alias(m) for m in METRICS])
 
 
-def rank_mean(steps: DataFrame, world_size: int) -> DataFrame:
-    """Per step the mean over the ranks: their sum over the world size."""
+def rank_mean(steps: DataFrame, world_size: int, partial: bool = False) -> DataFrame:
+    """Per step the mean over the ranks.
+
+    A step that some rank has not reported, or twice, fails the job; with
+    ``partial`` the mean is over the reports that there are.
+    """
+    whole = (F.count(F.lit(1)) == world_size) & (F.count_distinct("rank") == world_size)
+    count = F.count(F.lit(1)) if partial else F.when(whole, F.lit(world_size)).otherwise(
+        F.raise_error(F.lit("a step without a report of each rank")).cast("int"))
     return steps.groupBy("run_id", "epoch", "split", "step").agg(
-        (F.sum("loss") / world_size).alias("loss"),
-        (F.sum("acc") / world_size).alias("acc"))
+        (F.sum("loss") / count).alias("loss"), (F.sum("acc") / count).alias("acc"))
 
 
-def history(epochs: DataFrame) -> DataFrame:
-    """One row per run and epoch, training and validation side by side.
+def whole_steps(steps: DataFrame, world_size: int) -> DataFrame:
+    """Number each rank's steps within its epoch and split, and leave out the last
+    ones that some rank has not reached."""
+    group = ["run_id", "epoch", "split"]
+    numbered = steps.withColumn("step", F.row_number().over(
+        Window.partitionBy(*group, "rank").orderBy("step")).cast("bigint") - 1)
+    ranks = F.count(F.lit(1)).over(Window.partitionBy(*group, "step"))
+    return (numbered.withColumn("_ranks", ranks)
+            .where(F.col("_ranks") == world_size).drop("_ranks"))
 
-    A split without any step counts as 0.0.
-    """
-    values = [F.coalesce(F.max(F.when(F.col("split") == s, F.col(m))), F.lit(0.0))
-              .alias(f"{s}_{m}") for s in ("train", "valid") for m in METRICS]
-    return epochs.groupBy("run_id", "epoch").agg(*values)
+
+def history(steps: DataFrame) -> DataFrame:
+    """One row per run and epoch: means of training and validation side by side, and
+    ``n_steps``, the training steps. A split without any step is null."""
+    means = [F.avg(F.when(F.col("split") == s, F.col(m))).alias(f"{s}_{m}")
+             for s in ("train", "valid") for m in METRICS]
+    return steps.groupBy("run_id", "epoch").agg(
+        *means, F.count_if(F.col("split") == "train").alias("n_steps"))
 
 
 def history_columnar(wide: DataFrame) -> DataFrame:
@@ -87,14 +103,16 @@ def metric_events(steps: DataFrame) -> DataFrame:
 
 
 def with_best(wide: DataFrame) -> DataFrame:
-    """Add ``best_before`` and ``improved``: strictly below all earlier epochs."""
+    """Add ``best_before`` and ``improved``: validated, and strictly below all
+    earlier epochs."""
     # one row per epoch: a run's window is as short as its history
     earlier = Window.partitionBy("run_id").orderBy("epoch").rowsBetween(
         Window.unboundedPreceding, -1)
     return (wide
             .withColumn("best_before", F.coalesce(
                 F.min("valid_loss").over(earlier), F.lit(float("inf"))))
-            .withColumn("improved", F.col("valid_loss") < F.col("best_before")))
+            .withColumn("improved", F.coalesce(
+                F.col("valid_loss") < F.col("best_before"), F.lit(False))))
 
 
 def best_epoch(wide: DataFrame) -> DataFrame:
@@ -108,35 +126,39 @@ def early_stop(wide: DataFrame, patience: int,
                total_steps: int | None = None) -> DataFrame:
     """Per run the last epoch that runs, and why it is the last.
 
-    Stops when ``patience`` epochs in a row fail to improve, or after the
-    first epoch that ends with exactly ``total_steps`` steps, counted in the
-    column ``n_steps``. A patience of zero never stops.
+    Stops when ``patience`` validated epochs in a row fail to improve, or after
+    the first epoch that ends with exactly ``total_steps`` steps, counted in the
+    column ``n_steps``. An epoch without validation neither improves nor counts as a
+    failure. A patience of zero never stops. One shuffle, by run.
     """
-    by_epoch = Window.partitionBy("run_id").orderBy("epoch")
-    up_to_here = by_epoch.rowsBetween(Window.unboundedPreceding, 0)
-    streak = Window.partitionBy("run_id", "_streak").orderBy("epoch")
-    rows = (with_best(wide)
-            .withColumn("_streak", F.sum(F.col("improved").cast("int")).over(up_to_here))
-            .withColumn("waited", F.row_number().over(streak)
-                        - F.when(F.col("_streak") > 0, 1).otherwise(0)))
+    run = Window.partitionBy("run_id")
+    so_far = run.orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
+    failed = (F.col("valid_loss").isNotNull() & ~F.col("improved")).cast("int")
+    rows = with_best(wide).withColumn("_failed", F.sum(failed).over(so_far))
+    # the count of failures only grows, so its largest value at an improvement
+    # is the one at the last of them
+    waited = F.col("_failed") - F.coalesce(
+        F.max(F.when(F.col("improved"), F.col("_failed"))).over(so_far), F.lit(0))
+    rows = rows.withColumn("_waited", waited)
     spent = F.lit(False)
     if total_steps is not None:
-        rows = rows.withColumn("_steps", F.sum("n_steps").over(up_to_here))
+        rows = rows.withColumn("_steps", F.sum("n_steps").over(so_far))
         spent = F.col("_steps") == total_steps
-    out_of_patience = F.col("waited") == (patience if patience > 0 else -1)
-    stops = (rows.groupBy("run_id")
-             .agg(F.min(F.when(out_of_patience, F.col("epoch"))).alias("_patience"),
-                  F.min(F.when(spent, F.col("epoch"))).alias("_budget"),
-                  F.max("epoch").alias("_end"))
-             .withColumn("last_epoch", F.coalesce(F.least("_patience", "_budget"), "_end"))
-             .withColumn("reason", F.when(
-                 F.col("_patience") <= F.coalesce("_budget", "_patience"), "patience")
-                 .when(F.col("_budget").isNotNull(), "budget").otherwise("finished")))
-    best = (rows.join(stops, "run_id")
-            .where(F.col("improved") & (F.col("epoch") <= F.col("last_epoch")))
-            .groupBy("run_id").agg(F.max("epoch").alias("best_epoch")))
-    return stops.join(best, "run_id", "left").select(
-        "run_id", "last_epoch", "best_epoch", "reason")
+    # an epoch without validation does not run out of patience again
+    out_of_patience = (F.col("_waited") == (patience if patience > 0 else -1)) & (failed == 1)
+    rows = rows.withColumns({
+        "_patience": F.min(F.when(out_of_patience, F.col("epoch"))).over(run),
+        "_budget": F.min(F.when(spent, F.col("epoch"))).over(run),
+        "_end": F.max("epoch").over(run)})
+    last = F.coalesce(F.least("_patience", "_budget"), "_end")
+    reason = (F.when(F.col("_patience") <= F.coalesce("_budget", "_patience"), "patience")
+              .when(F.col("_budget").isNotNull(), "budget").otherwise("finished"))
+    return (rows.withColumns({"last_epoch": last, "reason": reason})
+            .groupBy("run_id").agg(
+                F.first("last_epoch").alias("last_epoch"),
+                F.max(F.when(F.col("improved") & (F.col("epoch") <= F.col("last_epoch")),
+                             F.col("epoch"))).alias("best_epoch"),
+                F.first("reason").alias("reason")))
 
 
 def metric_summary(values: DataFrame, names: list[str]) -> DataFrame:

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.config import SPLITS, CorpusConfig
 from colloquy.functions.hashing import config_fingerprint
-from colloquy.operators.turns import segment_of, with_split
+from colloquy.operators.turns import checked, segment_of, with_split
 
 
 def split_manifest(turns: DataFrame, config: CorpusConfig) -> DataFrame:
-    """Counts per split. A turn at position t ends min(t, max_hist) examples,
-    so one partial aggregation over single rows gives all counts."""
-    counted = with_split(turns).groupBy("split").agg(
+    """Counts per split. A turn at position t ends min(t, max_hist) examples, so
+    a partial aggregation over single rows gives all counts, once the numbering
+    is checked."""
+    rows = checked(with_split(turns).select("split", "conv_id", "turn"))
+    counted = rows.groupBy("split").agg(
         F.count_if(F.col("turn") == 0).alias("n_dialogs"),
         F.sum(F.least(F.col("turn"), F.lit(config.max_hist)))
         .cast("bigint").alias("n_examples"))

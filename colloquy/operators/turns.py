@@ -83,6 +83,16 @@ def checked_turn(reach: int) -> Column:
             F.col("conv_id").cast("string"), F.lit("; use renumbered()"))))
 
 
+def checked(turns: DataFrame) -> DataFrame:
+    """``turns`` with ``segment``, failing the job where the numbering has a gap, a
+    repeat or a late start. Each segment sees the last turn before it."""
+    others = [c for c in turns.columns if c != "turn"]
+    return (with_segments(turns, 1)
+            .select(*others, "segment", checked_turn(1).alias("turn"))
+            .where(F.col("segment") == segment_of(F.col("turn")))
+            .select(*turns.columns, "segment"))
+
+
 def contexts(segmented: DataFrame, value: str, max_hist: int,
              *keep: str) -> DataFrame:
     """Each turn but the first with the up to ``max_hist`` turns before it.
@@ -119,12 +129,17 @@ def rolling_context(turns: DataFrame, max_hist: int) -> DataFrame:
             .select("conv_id", F.col("position").alias("turn"), "context"))
 
 
-def assembled(turns: DataFrame) -> DataFrame:
-    """Ordered utterance lists, one per conversation and segment."""
+def assembled(turns: DataFrame, *more: Column) -> DataFrame:
+    """Ordered utterance lists of pieces of conversations: ``conv_id, segment``, the
+    piece's ``first_turn``, ``utterances``, and the aggregates ``more``.
+
+    A conversation is one piece unless it is longer than a segment.
+    """
     ordered = F.sort_array(F.collect_list(F.struct("turn", "text")))
     return (turns.withColumn("segment", segment_of(F.col("turn")))
             .groupBy("conv_id", "segment")
-            .agg(ordered["text"].alias("utterances")))
+            .agg(ordered["text"].alias("utterances"),
+                 F.min("turn").cast("bigint").alias("first_turn"), *more))
 
 
 def dialog_sizes(turns: DataFrame) -> DataFrame:

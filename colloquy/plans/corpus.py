@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -81,41 +82,90 @@ def fingerprint(spark: SparkSession, config: CorpusConfig) -> str:
     return row.first()["f"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def source_identity(spark: SparkSession, source: str | DataFrame, path: str) -> str:
+    """What tells sources apart: for files the reader, the path and each file's
+    name, size and time; for a table its rows in any order."""
+    if isinstance(source, DataFrame):
+        found, label = source, "table"
+        columns = sorted(source.columns)
+    else:
+        found = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                 .load(path).select("path", "modificationTime", "length"))
+        label, columns = f"{source} {path.rstrip('/')}", found.columns
+    sums = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)"))
+            .cast("string") for seed in (1, 2)]
+    return found.agg(F.sha2(F.concat_ws(
+        " ", F.lit(label), F.lit(" ".join(columns)), F.count(F.lit(1)).cast("string"),
+        *sums), 256).alias("d")).first()["d"]
+
+
+def _manifests(spark: SparkSession, root: str) -> DataFrame | None:
+    """The manifests of complete builds, or None if there is none."""
     try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+        return spark.read.option("basePath", root).parquet(f"{root}/build=*/manifest")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _built_files(spark: SparkSession, turns_path: str) -> DataFrame:
+    """``(split, file, n_rows)`` of a stored turn table."""
+    return (spark.read.parquet(turns_path)
+            .groupBy("split", F.col("_metadata.file_name").alias("file"))
+            .agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+def _build(spark: SparkSession, source: str | DataFrame, path: str, folder: str,
+           identity: str, config: CorpusConfig) -> None:
+    turns = source if isinstance(source, DataFrame) else read_source(spark, source, path)
+    # readers number dialogues per read: write once, then go on from there
+    with_split(turns).select("split", "conv_id", "turn", "text").write.parquet(
+        f"{folder}/raw")
+    raw = spark.read.parquet(f"{folder}/raw")
+    build_vocab(raw).table.write.parquet(f"{folder}/vocab")
+    vocab = stored_vocab(spark.read.parquet(f"{folder}/vocab"))
+    encoded = encode(raw, vocab, ["conv_id", "turn"]).withColumn("n_ids", F.size("ids"))
+    write_shards(with_shards(encoded, dialog_layout(raw, config)), f"{folder}/turns",
+                 config.file_size)
+    _built_files(spark, f"{folder}/turns").write.parquet(f"{folder}/files")
+    (split_manifest(spark.read.parquet(f"{folder}/turns"), config)
+     .withColumns({"identity": F.lit(identity), "built": F.current_timestamp()})
+     .coalesce(1).write.parquet(f"{folder}/manifest"))
+
+
+def check_files(spark: SparkSession, folder: str) -> None:
+    """Raise if a stored turn table is not the one that was written."""
+    keys = ["split", "file", "n_rows"]
+    listed = spark.read.parquet(f"{folder}/files").select(*keys)
+    there = _built_files(spark, f"{folder}/turns").select(*keys)
+    odd = listed.exceptAll(there).unionByName(there.exceptAll(listed)).first()
+    if odd:
+        raise ValueError(f"{folder}/turns differs from its list of files: {odd}")
 
 
 def prepare_corpus(spark: SparkSession, source: str | DataFrame, path: str,
                    data_dir: str, config: CorpusConfig = CorpusConfig(),
-                   force_rebuild: bool = False) -> Corpus:
+                   force_rebuild: bool = False, name: str = "corpus") -> Corpus:
     """Ingest, encode and store a corpus, or reopen it if it is there.
 
     ``source`` is a reader's name, read from ``path``, or a turn table. The
-    corpus lies under ``data_dir`` and the settings' fingerprint. The manifest
-    is written last, so a corpus that has one is complete.
+    corpus lies under ``data_dir``, its ``name``, the settings' fingerprint and the
+    source's identity, so sources never meet; changed files are another source.
+    Each build has a folder of its own, and its manifest is written last: a
+    build that fails leaves the earlier one in place, and the last complete one counts.
     """
-    root = f"{data_dir.rstrip('/')}/{fingerprint(spark, config)}"
-    turns_path, vocab_path = f"{root}/turns", f"{root}/vocab"
-    raw_path, manifest_path = f"{root}/raw", f"{root}/manifest"
-    if force_rebuild or not _exists(spark, manifest_path):
-        turns = source if isinstance(source, DataFrame) else read_source(
-            spark, source, path)
-        # readers number dialogues per read: write once, then go on from there
-        with_split(turns).select("split", "conv_id", "turn", "text").write.mode(
-            "overwrite").parquet(raw_path)
-        raw = spark.read.parquet(raw_path)
-        build_vocab(raw).table.write.mode("overwrite").parquet(vocab_path)
-        vocab = stored_vocab(spark.read.parquet(vocab_path))
-        encoded = encode(raw, vocab, ["conv_id", "turn"]).withColumn(
-            "n_ids", F.size("ids"))
-        write_shards(with_shards(encoded, dialog_layout(raw, config)),
-                     turns_path, config.file_size)
-        split_manifest(spark.read.parquet(turns_path), config).coalesce(1).write.mode(
-            "overwrite").parquet(manifest_path)
-    return Corpus(spark.read.parquet(turns_path),
-                  stored_vocab(spark.read.parquet(vocab_path)),
-                  spark.read.parquet(manifest_path), config)
+    identity = source_identity(spark, source, path)
+    root = f"{data_dir.rstrip('/')}/{name}/{fingerprint(spark, config)}-{identity[:16]}"
+    manifests = None if force_rebuild else _manifests(spark, root)
+    if manifests is None:
+        _build(spark, source, path, f"{root}/build={uuid.uuid4().hex}", identity, config)
+        manifests = _manifests(spark, root)
+    last = manifests.orderBy(F.desc("built")).select("build", "identity").first()
+    if last["identity"] != identity:
+        raise ValueError(f"{root} holds another source")
+    folder = f"{root}/build={last['build']}"
+    check_files(spark, folder)
+    return Corpus(spark.read.parquet(f"{folder}/turns"),
+                  stored_vocab(spark.read.parquet(f"{folder}/vocab")),
+                  spark.read.parquet(f"{folder}/manifest"), config)

@@ -141,7 +141,7 @@ kept as (select * from massed where before <= 0.9)"""
 
 STEPS = """
 steps as (select user_id as run_id,
-            cast(date_diff('day', date '2024-01-01', cast(ts as date)) as integer) as epoch,
+            cast(date_diff('day', date '2024-01-01', cast(ts as date)) // 5 as integer) as epoch,
             case when event_id % 5 = 0 then 'valid' else 'train' end as split,
             cast(event_id % 4 as integer) as rank, event_id as step, ts,
             case when event_type = 'error' and event_id % 5 <> 0
@@ -156,12 +156,12 @@ EPOCHS = """
 epochs as (select run_id, epoch, split, avg(loss) as loss, avg(acc) as acc, avg(ppl) as ppl
            from good group by all),
 history as (select run_id, epoch,
-              coalesce(max(loss) filter (split = 'train'), 0) as train_loss,
-              coalesce(max(acc) filter (split = 'train'), 0) as train_acc,
-              coalesce(max(ppl) filter (split = 'train'), 0) as train_ppl,
-              coalesce(max(loss) filter (split = 'valid'), 0) as valid_loss,
-              coalesce(max(acc) filter (split = 'valid'), 0) as valid_acc,
-              coalesce(max(ppl) filter (split = 'valid'), 0) as valid_ppl
+              max(loss) filter (split = 'train') as train_loss,
+              max(acc) filter (split = 'train') as train_acc,
+              max(ppl) filter (split = 'train') as train_ppl,
+              max(loss) filter (split = 'valid') as valid_loss,
+              max(acc) filter (split = 'valid') as valid_acc,
+              max(ppl) filter (split = 'valid') as valid_ppl
             from epochs group by run_id, epoch)"""
 
 HISTORY = ("train_loss", "train_acc", "train_ppl", "valid_loss", "valid_acc", "valid_ppl")
@@ -175,8 +175,8 @@ def _text(*lists: str) -> str:
     return ", ".join(f"array_to_string({x}, ' ') as {x}" for x in lists)
 
 
-def _round(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) as {n}" for n in names)
+def _round(*names: str, places: int = 6) -> str:
+    return ", ".join(f"round({n}, {places}) as {n}" for n in names)
 
 
 KEYS = "conv_id, begin_idx, end_idx"
@@ -186,7 +186,8 @@ _ORD = _with(TOKS, INDEX, LAYOUT, ORDERED)
 _PLAN = _with(TOKS, INDEX, LAYOUT, ORDERED, DRAWN)
 _REN = _with(TOKS, INDEX, RENDERED)
 _HIST = _with(STEPS, EPOCHS)
-_TURNS = "select conv_id, turn, turn % 512 as place, text from conversations"
+_TURNS = f"""select {SPLIT.format(c='conv_id')} as split, conv_id, turn, turn as place, text
+  from conversations"""
 
 _COLLATED = _with(TOKS, VOCAB, INDEX, EXAMPLES, LAYOUT, ORDERED, DRAWN, """
 rows as (select x.*, p.split, p.shard, p.batch, p.max_seq as m, p.max_target as mt,
@@ -216,36 +217,39 @@ summary as (select metric, avg(v) as mean, stddev_samp(v) as std,
             from measured where v is not null group by metric)"""
 
 _STOP = _HIST.rstrip() + """,
-spent as (select run_id, epoch, count(*) filter (split = 'train') as n_steps
-          from good group by all),
-flagged as (select h.run_id, h.epoch, valid_loss < coalesce(min(valid_loss) over (
-              partition by h.run_id order by h.epoch
-              rows between unbounded preceding and 1 preceding),
-              cast('inf' as double)) as improved,
-              sum(n_steps) over (partition by h.run_id order by h.epoch) as done
-            from history h join spent using (run_id, epoch)),
-ages as (select *, max(case when improved then epoch end) over (
-           partition by run_id order by epoch) as last_best,
-           row_number() over (partition by run_id order by epoch) as rn from flagged),
-waits as (select a.*, a.rn - coalesce(b.rn, 0) as waited from ages a left join ages b
-            on b.run_id = a.run_id and b.epoch = a.last_best),
-stops as (select run_id, min(epoch) filter (waited = 5) as hit,
-            min(epoch) filter (done = 20) as budget, max(epoch) as last from waits group by run_id)
+spent as (select run_id, epoch, sum(count(*) filter (split = 'train')) over (
+            partition by run_id order by epoch) as done from good group by run_id, epoch),
+validated as (select run_id, epoch, valid_loss, row_number() over (
+                partition by run_id order by epoch) as place
+              from history where valid_loss is not null),
+better as (select v.* from validated v where not exists (
+             select 1 from validated e where e.run_id = v.run_id and e.epoch < v.epoch
+               and e.valid_loss <= v.valid_loss)),
+hits as (select v.run_id, min(v.epoch) as hit from validated v
+         where v.place - 3 = coalesce((select max(b.place) from better b
+           where b.run_id = v.run_id and b.place <= v.place), 0) group by v.run_id),
+stops as (select h.run_id, any_value(hit) as hit, max(h.epoch) as last,
+            (select min(epoch) from spent s where s.run_id = h.run_id and done = 25) as budget
+          from history h left join hits using (run_id) group by h.run_id)
 """
 
 ORACLES: dict[str, str] = {
     # sources
     "src_jsonl": _TURNS,
-    "src_nested_json": _TURNS,
+    "src_nested_json": f"""
+        with t as ({_TURNS})
+        select case split when 'test' then 'train' else split end as split,
+          conv_id, turn, place, text from t
+        union all select 'test', conv_id, turn, place, text from t where split = 'valid'""",
     "src_map_json": _TURNS,
-    "src_blankline_text": r"""
-        select conv_id, turn, turn % 512 as place,
+    "src_blankline_text": rf"""
+        select {SPLIT.format(c='conv_id')} as split, conv_id, turn, turn as place,
           regexp_replace(regexp_replace(text, '[\r\n]', ' ', 'g'), '\s+$', '') as text
         from conversations""",
     "scan_split": _with(LAYOUT) + """
         select split, shard, conv_id, turn, text from conversations
         join shards using (conv_id) where split = 'valid'""",
-    "read_history": _HIST + f"select run_id, epoch, {_round(*HISTORY)} from history",
+    "read_history": _HIST + f"select run_id, epoch, {_round(*HISTORY, places=9)} from history",
     "read_metric_text": _with(TOKS, INDEX, RENDERED, _SHARES) + f"""
         select metric, {_round('mean', 'std', 'confidence')} from summary""",
     # splits and sinks
@@ -278,18 +282,18 @@ ORACLES: dict[str, str] = {
                 unnest([loss, acc, ppl]) as value from good)""",
     "history_columnar": _HIST + "select run_id, string_agg(epoch, ' ' order by epoch) as epoch, "
         + ", ".join(
-            f"string_agg(case when isinf({h}) then 'inf' "
+            f"string_agg(case when {h} is null then 'none' when isinf({h}) then 'inf' "
             f"else cast(cast(round({h} * 1e6) as hugeint) as varchar) end, "
             f"' ' order by epoch) as {h}" for h in HISTORY) + " from history group by run_id",
     # turns
     "dialog_assemble": """
-        select conv_id, turn // 512 as segment, cast(count(*) as integer) as n_turns,
+        select conv_id, min(turn) as first_turn, cast(count(*) as integer) as n_turns,
           string_agg(text, ' | ' order by turn) as utterances
-        from conversations group by conv_id, turn // 512""",
+        from conversations group by conv_id""",
     "dense_turns": """
-        select conv_id, turn as source_turn,
+        select conv_id, turn * 7 + conv_id % 5 as source_turn,
           row_number() over (partition by conv_id order by turn) - 1 as turn
-        from conversations where role <> 'system'""",
+        from conversations""",
     "eligible_dialogs": """
         select conv_id, count(*) as n_turns from conversations
         group by conv_id having count(*) >= 2""",
@@ -302,8 +306,8 @@ ORACLES: dict[str, str] = {
           and b.turn < e.turn and b.turn >= e.turn - {H}""",
     "merge_precedence": """
         select conv_id, turn, text,
-          case when conv_id % 2 = 0 then 'freq' else 'rare' end as source
-        from conversations where conv_id % 3 <> 0 or conv_id % 2 = 0""",
+          case when conv_id % 2 = 0 or conv_id % 3 = 0 then 'freq' else 'rare' end as source
+        from conversations""",
     "split_overlap": f"""
         with turns as (select {SPLIT.format(c='conv_id')} as split, * from conversations),
         items as (
@@ -362,14 +366,14 @@ ORACLES: dict[str, str] = {
     "build_examples": _EX + f"""
         select {KEYS}, example_len, {_text('input_ids', 'token_type_ids', 'target_ids')}
         from examples join idx using ({KEYS})""",
-    "truncate_at_eos": _with(TOKS, VOCAB) + """
+    "truncate_at_eos": _with(TOKS, VOCAB) + f"""
         select conv_id, turn, array_to_string(
-          ids[1:least(20, coalesce(list_position(ids, 4), 1000000) - 1)], ' ') as ids from enc""",
+          ids[1:least({L}, coalesce(list_position(ids, 4), 1000000) - 1)], ' ') as ids from enc""",
     "extend_inputs": _EX + f"""
         select {KEYS},
-          array_to_string(list_concat(prompt, target[1:10], [3]), ' ') as input_ids,
+          array_to_string(list_concat(prompt, target, [3]), ' ') as input_ids,
           repeat(sp.hst || ' ', len(prompt) - 1)
-            || array_to_string(list_resize(cast([] as integer[]), 2 + len(target[1:10]), sp.rsp), ' ')
+            || array_to_string(list_resize(cast([] as integer[]), 2 + len(target), sp.rsp), ' ')
             as token_type_ids
         from seqs, sp""",
     # batches
@@ -472,28 +476,27 @@ ORACLES: dict[str, str] = {
         select run_id, epoch, count(*) filter (not isnan(loss)) as n_steps,
           count(*) filter (isnan(loss)) as n_skipped from steps group by run_id, epoch""",
     "epoch_metrics": _with(STEPS, EPOCHS) + """
-        select run_id, epoch, split, round(loss, 6) as loss, round(acc, 6) as acc,
-          round(case when isinf(ppl) then 1e30 else ppl end, 6) as ppl from epochs""",
+        select run_id, epoch, split, round(loss, 9) as loss, round(acc, 9) as acc,
+          case when isinf(ppl) then 1e30 else round(ppl, 9) end as ppl from epochs""",
     "inf_clamp": _with(STEPS) + """
-        select run_id, step, round(case when isinf(ppl) then 1e30 else ppl end, 6) as ppl
-        from good where split = 'valid'""",
+        select run_id, split, step,
+          round(case when isinf(ppl) then 1e30 else ppl end, 6) as ppl from good""",
     "rank_mean": _with(STEPS) + """
-        , per_rank as (select run_id, epoch, split, rank,
-            cast(epoch_ms(date_trunc('hour', ts)) // 1000 as bigint) as step,
-            avg(loss) as loss, avg(acc) as acc from good group by all)
+        , numbered as (select run_id, epoch, split, loss, acc, row_number() over (
+              partition by run_id, epoch, split, rank order by step) - 1 as step from good)
         select run_id, epoch, split, step, round(sum(loss) / 4, 9) as loss,
-          round(sum(acc) / 4, 9) as acc from per_rank group by all""",
+          round(sum(acc) / 4, 9) as acc from numbered group by all having count(*) = 4""",
     "best_epoch": _STOP + """
-        select f.run_id, max(f.epoch) as best_epoch,
-          round(arg_max(valid_loss, f.epoch), 6) as best_valid_loss
-        from flagged f join history h using (run_id, epoch) where improved group by f.run_id""",
+        select run_id, max(epoch) as best_epoch,
+          round(arg_max(valid_loss, epoch), 6) as best_valid_loss
+        from better group by run_id""",
     "early_stop": _STOP + """
-        select s.run_id, coalesce(least(hit, budget), any_value(last)) as last_epoch,
-          max(w.epoch) filter (improved and w.epoch <= coalesce(least(hit, budget), last))
-            as best_epoch,
+        select run_id, coalesce(least(hit, budget), last) as last_epoch,
+          (select max(epoch) from better b where b.run_id = s.run_id
+             and b.epoch <= coalesce(least(s.hit, s.budget), s.last)) as best_epoch,
           case when hit is not null and (budget is null or hit <= budget) then 'patience'
             when budget is not null then 'budget' else 'finished' end as reason
-        from stops s join waits w using (run_id) group by s.run_id, hit, budget""",
+        from stops s""",
     "metric_summary": _with(TOKS, INDEX, RENDERED, _SHARES) + f"""
         select metric, {_round('mean', 'std', 'confidence')} from summary""",
     # the streams' results once all input is in

@@ -46,24 +46,22 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def _rounded(*names: str) -> list[Column]:
-    return [F.round(n, 6).alias(n) for n in names]
+def _rounded(*names: str, places: int = 6) -> list[Column]:
+    return [F.round(n, places).alias(n) for n in names]
 
 
 # -- sources ----------------------------------------------------------------
 
 def _round_trip(spark: SparkSession, sf_dir: str, name: str, write,
                 text: str = "text") -> DataFrame:
-    """Write the conversations in a layout and read them back. The layouts
-    have no ids, so each text is led by its own."""
-    rows = conversations(spark, sf_dir)
+    """Write the conversations in a layout and read them back. Each text is led by
+    its own conversation and turn; ``place`` is the turn that the reader gives."""
+    rows = T.with_split(conversations(spark, sf_dir))
     path = staging_path(spark, name)
     write(rows.withColumn("text", F.concat_ws(" ", "conv_id", "turn", F.expr(text))), path)
-    back = readers.read_source(spark, name, path)
-    if name == "nested_json":
-        back = back.where("split = 'train'")
     pattern = r"(?s)^(\d+) (\d+) (.*)$"
-    return back.select(
+    return readers.read_source(spark, name, path).select(
+        "split",
         F.regexp_extract("text", pattern, 1).cast("bigint").alias("conv_id"),
         F.regexp_extract("text", pattern, 2).cast("bigint").alias("turn"),
         F.col("turn").alias("place"),
@@ -77,21 +75,13 @@ def src_jsonl(spark, sf_dir):
 
 @query
 def src_nested_json(spark, sf_dir):
+    """The layout has no test part: validation dialogues come back twice."""
     return _round_trip(spark, sf_dir, "nested_json", writers.write_nested_json)
 
 
 @query
 def src_map_json(spark, sf_dir):
-    rows = conversations(spark, sf_dir)
-    path = staging_path(spark, "map_json")
-    marked = rows.withColumn("text", F.concat_ws(" ", "conv_id", "turn", "text"))
-    writers.write_map_json(marked, path)
-    pattern = r"(?s)^(\d+) (\d+) (.*)$"
-    return readers.read_map_json(spark, path).select(
-        F.regexp_extract("text", pattern, 1).cast("bigint").alias("conv_id"),
-        F.regexp_extract("text", pattern, 2).cast("bigint").alias("turn"),
-        F.col("turn").alias("place"),
-        F.regexp_extract("text", pattern, 3).alias("text"))
+    return _round_trip(spark, sf_dir, "map_json", writers.write_map_json)
 
 
 @query
@@ -115,7 +105,7 @@ def read_history(spark, sf_dir):
     path = staging_path(spark, "history")
     writers.write_history(_history(spark, sf_dir), path)
     return readers.read_history(spark, path).select(
-        "run_id", "epoch", *_rounded(*M.HISTORY[1:]))
+        "run_id", "epoch", *_rounded(*M.HISTORY[1:], places=9))
 
 
 @query
@@ -173,7 +163,7 @@ def metric_events(spark, sf_dir):
 def history_columnar(spark, sf_dir):
     rows = M.history_columnar(_history(spark, sf_dir))
     millionths = lambda v: F.when(
-        v == float("inf"), "inf").otherwise(
+        v.isNull(), "none").when(v == float("inf"), "inf").otherwise(
             F.round(v * 1e6).cast("decimal(38,0)").cast("string"))
     lists = [F.array_join(F.transform(c, millionths), " ").alias(c)
              for c in M.HISTORY[1:]]
@@ -184,16 +174,19 @@ def history_columnar(spark, sf_dir):
 
 @query
 def dialog_assemble(spark, sf_dir):
+    """Pieces of conversations as lists; a long conversation has several."""
     return T.assembled(conversations(spark, sf_dir)).select(
-        "conv_id", "segment", F.size("utterances").alias("n_turns"),
+        "conv_id", "first_turn", F.size("utterances").alias("n_turns"),
         F.array_join("utterances", " | ").alias("utterances"))
 
 
 @query
 def dense_turns(spark, sf_dir):
-    """Positions of the turns that a speaker filter leaves."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role <> 'system'")
-    numbered = T.renumbered(rows.select("conv_id", "turn", F.col("turn").alias("source_turn")))
+    """Positions of turns whose numbers have gaps and do not begin at 0."""
+    source = F.col("turn") * 7 + F.col("conv_id") % 5
+    rows = conversations(spark, sf_dir).select(
+        "conv_id", source.alias("turn"), source.alias("source_turn"))
+    numbered = T.renumbered(rows)
     return numbered.select("conv_id", "source_turn", "turn")
 
 
@@ -222,7 +215,8 @@ def history_band_join(spark, sf_dir):
 def merge_precedence(spark, sf_dir):
     rows = conversations(spark, sf_dir)
     rare = rows.where("conv_id % 3 <> 0").withColumn("source", F.lit("rare"))
-    freq = rows.where("conv_id % 2 = 0").withColumn("source", F.lit("freq"))
+    freq = (rows.where("conv_id % 2 = 0 or conv_id % 3 = 0")
+            .withColumn("source", F.lit("freq")))
     return P.merge_precedence(rare, freq)
 
 
@@ -366,19 +360,18 @@ def build_examples(spark, sf_dir):
 def truncate_at_eos(spark, sf_dir):
     """Turns as generated ids, the most frequent word as their end token."""
     encoded, _ = _encoded(spark, sf_dir)
-    kept = S.truncate_at_eos(F.col("ids"), 4, 20)
+    kept = S.truncate_at_eos(F.col("ids"), 4, CONFIG.max_len)
     return encoded.where(T.is_own()).select(
         "conv_id", "turn", ids_text(kept).alias("ids"))
 
 
 @query
 def extend_inputs(spark, sf_dir):
-    """Prompts extended by the first ten ids of their responses."""
+    """Prompts extended by the ids of their responses."""
     rows, ids = _histories(spark, sf_dir)
     turns = S.truncated_turns(F.col("history"), ids, CONFIG.max_len)
-    predicted = F.slice("target", 1, 10)
     prompt = rows.select(*KEYS, S.input_sequence(turns, ids).alias("prompt"),
-                         predicted.alias("predicted"))
+                         F.col("target").alias("predicted"))
     types = S.token_types(F.col("prompt"), ids)
     return prompt.select(
         *KEYS,
@@ -570,7 +563,7 @@ def _trained(spark, sf_dir) -> DataFrame:
 
 
 def _history(spark, sf_dir) -> DataFrame:
-    return M.history(M.epoch_metrics(_trained(spark, sf_dir)))
+    return M.history(_trained(spark, sf_dir))
 
 
 @query
@@ -581,25 +574,22 @@ def nan_skip(spark, sf_dir):
 @query
 def epoch_metrics(spark, sf_dir):
     return M.epoch_metrics(_trained(spark, sf_dir)).select(
-        "run_id", "epoch", "split", *_rounded("loss", "acc"),
-        F.round(M.clamped(F.col("ppl")), 6).alias("ppl"))
+        "run_id", "epoch", "split", *_rounded("loss", "acc", places=9),
+        M.clamped(F.round("ppl", 9)).alias("ppl"))
 
 
 @query
 def inf_clamp(spark, sf_dir):
-    rows = _trained(spark, sf_dir).where("split = 'valid'")
-    return rows.select("run_id", "step", F.round(M.clamped(F.col("ppl")), 6).alias("ppl"))
+    rows = _trained(spark, sf_dir)
+    return rows.select("run_id", "split", "step", F.round(M.clamped(F.col("ppl")), 6).alias("ppl"))
 
 
 @query
 def rank_mean(spark, sf_dir):
-    """Four ranks; a step is an hour of the run."""
-    hour = F.date_trunc("hour", F.col("ts"))
-    rows = (_trained(spark, sf_dir).withColumn("step", F.unix_seconds(hour))
-            .groupBy("run_id", "epoch", "split", "step", "rank")
-            .agg(F.avg("loss").alias("loss"), F.avg("acc").alias("acc")))
+    """Four ranks; a step is the same number of reports by each of them."""
+    rows = M.whole_steps(_trained(spark, sf_dir), 4)
     # means of few hundredths often end in a 5 at the seventh place, where
-    # engines round differently: compare at the ninth
+    # engines round differently: compare such means at the ninth
     return M.rank_mean(rows, 4).select(
         "run_id", "epoch", "split", "step",
         F.round("loss", 9).alias("loss"), F.round("acc", 9).alias("acc"))
@@ -613,10 +603,7 @@ def best_epoch(spark, sf_dir):
 
 @query
 def early_stop(spark, sf_dir):
-    steps = (_trained(spark, sf_dir).groupBy("run_id", "epoch")
-             .agg(F.count_if(F.col("split") == "train").alias("n_steps")))
-    wide = _history(spark, sf_dir).join(steps, ["run_id", "epoch"])
-    return M.early_stop(wide, patience=5, total_steps=20)
+    return M.early_stop(_history(spark, sf_dir), patience=3, total_steps=25)
 
 
 def _summary(spark, sf_dir) -> DataFrame:

@@ -16,7 +16,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as training steps: a run per user, an epoch per day, a batch loss
+    """Events as training steps: a run per user, an epoch per five days, a batch loss
     per value. Training losses of error events are NaN; perplexities of large
     losses are infinite, as an overflow leaves them."""
     valid = F.col("event_id") % 5 == 0
@@ -24,8 +24,9 @@ def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = (F.col("event_type") == "error") & ~valid
     return (table(spark, sf_dir, "events")
             .select(F.col("user_id").alias("run_id"),
-                    F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
-                    .alias("epoch"),
+                    whole_part(F.datediff(F.col("ts").cast("date"),
+                                          F.lit("2024-01-01").cast("date")), 5)
+                    .cast("int").alias("epoch"),
                     F.when(valid, "valid").otherwise("train").alias("split"),
                     (F.col("event_id") % 4).cast("int").alias("rank"),
                     F.col("event_id").alias("step"),

@@ -1,7 +1,13 @@
 """Dialogue layouts, all read into ``(split, conv_id, turn, text)``.
 
-``conv_id`` is unique within one read; layouts have no ids of their own. Write
-the result as Parquet once and work from there (``plans.corpus`` does).
+A split may be any number of files: the folder or the beginning of the file's name
+says ``train``, ``valid`` or ``test``. Input that cannot be parsed fails the read.
+
+``conv_id`` is unique within one read. Layouts have no ids of their own, but files
+from our writers may say that a dialogue is a piece of conversation ``conv_id``
+that begins at turn ``first_turn``; then these are taken, and the pieces are one
+conversation again. A source either has them throughout or not at all. Write the
+result as Parquet once and work from there (``plans.corpus`` does).
 """
 
 from __future__ import annotations
@@ -10,81 +16,111 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from colloquy.functions.text import file_stem, strip
+from colloquy.functions.text import file_stem, split_of_path, strip
+from colloquy.operators.ranking import ranked
 
 Reader = Callable[[SparkSession, str], DataFrame]
 
-JSONL_SCHEMA = "dialogue array<struct<text string>>"
+PIECE = "conv_id bigint, first_turn bigint"
+BROKEN = "_corrupt_record"
+JSONL_SCHEMA = f"dialogue array<struct<text string>>, {PIECE}, {BROKEN} string"
 NESTED_SCHEMA = ", ".join(
     f"{s} array<struct<utterances array<struct<"
-    "history array<string>, candidates array<string>>>>>" for s in ("train", "valid"))
-MAP_SCHEMA = "map<string, struct<content array<struct<message string>>>>"
+    f"history array<string>, candidates array<string>>>, {PIECE}>>"
+    for s in ("train", "valid")) + f", {BROKEN} string"
+MAP_SCHEMA = f"map<string, struct<content array<struct<message string>>, {PIECE}>>"
 
 
 def _split() -> Column:
-    return file_stem(F.col("_metadata.file_path")).alias("split")
+    return split_of_path(F.col("_metadata.file_path")).alias("split")
+
+
+def _needed(value: Column, fine: Column, what: str) -> Column:
+    """``value``, failing the read where ``fine`` does not hold."""
+    return F.when(F.coalesce(fine, F.lit(False)), value).otherwise(F.raise_error(
+        F.concat(F.lit(f"{what} in "), F.col("_file"))))
 
 
 def _as_turns(dialogs: DataFrame) -> DataFrame:
-    """``(split, utterances)`` to one row per utterance."""
-    return (dialogs.withColumn("conv_id", F.monotonically_increasing_id())
-            .select("split", "conv_id", F.posexplode("utterances").alias("turn", "text"))
-            .withColumn("turn", F.col("turn").cast("bigint")))
+    """``(split, conv_id, first_turn, utterances)`` to one row per utterance."""
+    numbered = dialogs.withColumn("conv_id", F.coalesce(
+        "conv_id", F.monotonically_increasing_id()))
+    return (numbered.select("split", "conv_id", "first_turn",
+                            F.posexplode("utterances").alias("turn", "text"))
+            .select("split", "conv_id",
+                    (F.coalesce("first_turn", F.lit(0)) + F.col("turn")).alias("turn"),
+                    "text"))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One object per line with a ``dialogue`` list of ``{text}``; the split is
-    the file's stem. Only ``text`` is parsed."""
-    lines = spark.read.schema(JSONL_SCHEMA).json(path)
-    return _as_turns(lines.where("dialogue is not null").select(
-        _split(), F.col("dialogue.text").alias("utterances")))
+    """One object per line with a ``dialogue`` list of ``{text}``. Only ``text``
+    is parsed; a line that is no such object fails the read."""
+    lines = spark.read.schema(JSONL_SCHEMA).option(
+        "columnNameOfCorruptRecord", BROKEN).json(path).select(
+        "dialogue", "conv_id", "first_turn", BROKEN,
+        F.col("_metadata.file_path").alias("_file"), _split())
+    fine = F.col(BROKEN).isNull() & F.col("dialogue").isNotNull()
+    return _as_turns(lines.select("split", "conv_id", "first_turn", _needed(
+        F.col("dialogue.text"), fine, "a line without a dialogue").alias("utterances")))
 
 
 def read_nested_json(spark: SparkSession, path: str) -> DataFrame:
     """Documents ``{train: [...], valid: [...]}``. A dialogue is the last entry
     of ``utterances``: its history and the last candidate. There is no test
-    data in this layout; the validation dialogues serve as test as well.
+    data in this layout; the validation dialogues serve as test as well, under
+    ids of their own below zero where ids are given.
 
     A document is parsed by one task; cut large corpora into several files.
     """
-    docs = spark.read.schema(NESTED_SCHEMA).option("multiLine", True).json(path)
-    parts = F.array(*[F.struct(F.lit(name).alias("split"), F.col(source).alias("dialogs"))
-                      for name, source in (("train", "train"), ("valid", "valid"),
-                                           ("test", "valid"))])
-    last = F.try_element_at("utterances", F.lit(-1))
+    docs = (spark.read.schema(NESTED_SCHEMA).option("multiLine", True)
+            .option("columnNameOfCorruptRecord", BROKEN).json(path)
+            .select("*", F.col("_metadata.file_path").alias("_file")))
+    whole = F.col(BROKEN).isNull() & F.col("train").isNotNull() & F.col("valid").isNotNull()
+    parts = F.array(*[F.struct(F.lit(name).alias("split"), _needed(
+        F.col(source), whole, "no document of dialogues").alias("dialogs"))
+        for name, source in (("train", "train"), ("valid", "valid"), ("test", "valid"))])
+    last = F.try_element_at("dialog.utterances", F.lit(-1))
     reply = F.try_element_at(F.col("last.candidates"), F.lit(-1))
+    fine = F.col("last.history").isNotNull() & reply.isNotNull()
+    own_id = F.when(F.col("split") == "test", -1 - F.col("dialog.conv_id")).otherwise(
+        F.col("dialog.conv_id"))
     return _as_turns(
-        docs.select(F.inline(parts))
-        .select("split", F.explode("dialogs").alias("dialog"))
-        .select("split", F.col("dialog.utterances").alias("utterances"))
-        .select("split", last.alias("last"))
-        .where("last is not null")
-        .select("split", F.concat("last.history", F.array(reply)).alias("utterances")))
+        docs.select("_file", F.inline(parts))
+        .select("_file", "split", F.explode("dialogs").alias("dialog"))
+        .select("_file", "split", own_id.alias("conv_id"), "dialog.first_turn",
+                last.alias("last"))
+        .select("split", "conv_id", "first_turn", _needed(
+            F.concat("last.history", F.array(reply)), fine,
+            "a dialogue without history or candidates").alias("utterances")))
 
 
 def read_map_json(spark: SparkSession, path: str) -> DataFrame:
     """Documents ``{id: {content: [{message}]}}`` in files named by split, with
     an optional ``_rare`` or ``_freq`` part. Where both parts of a split hold
-    an id, the frequent one wins.
+    an id, the frequent one wins. Dialogues without an id of their own are numbered
+    by split and key, so the numbers are the same in each read.
 
     A document is parsed by one task; cut large corpora into several files.
     """
-    docs = spark.read.text(path, wholetext=True)
-    name = file_stem(F.col("_metadata.file_path"))
+    docs = spark.read.text(path, wholetext=True).select(
+        "value", F.col("_metadata.file_path").alias("_file"), _split())
     dialogs = (docs
-               .select(name.alias("name"), F.from_json("value", MAP_SCHEMA).alias("doc"))
-               .select("name", F.explode("doc").alias("key", "dialog"))
-               .select(F.regexp_extract("name", "^(train|valid|test)", 1).alias("split"),
-                       F.col("name").contains("_freq").cast("int").alias("rank"),
-                       "key", F.col("dialog.content.message").alias("utterances")))
-    merged = dialogs.groupBy("split", "key").agg(
-        F.max_by("utterances", "rank").alias("utterances"))
-    return _as_turns(merged.where("utterances is not null").select("split", "utterances"))
+               .select("_file", "split", F.explode(F.from_json(
+                   "value", MAP_SCHEMA, {"mode": "FAILFAST"})).alias("key", "dialog"))
+               .select("split", file_stem(F.col("_file")).contains("_freq").cast("int")
+                       .alias("rank"), "key", F.struct(
+                   "dialog.conv_id", "dialog.first_turn", _needed(
+                       F.col("dialog.content.message"), F.col("dialog.content").isNotNull(),
+                       "a dialogue without content").alias("utterances")).alias("dialog")))
+    merged = dialogs.groupBy("split", "key").agg(F.max_by("dialog", "rank").alias("dialog"))
+    numbered = ranked(merged.select("split", "key", "dialog.*"), [],
+                      [F.col("split"), F.col("key")], "number")
+    return _as_turns(numbered.withColumn("conv_id", F.coalesce("conv_id", "number")))
 
 
 def read_blankline_text(spark: SparkSession, path: str) -> DataFrame:
-    """One utterance per line, a blank line between dialogues; the split is the
-    file's stem. The last dialogue counts with or without a blank line after it.
+    """One utterance per line, a blank line between dialogues. The last dialogue
+    counts with or without a blank line after it.
 
     Files are split at empty lines, so one file is read by many tasks. Blank
     lines that hold spaces are found within the pieces.
@@ -92,10 +128,12 @@ def read_blankline_text(spark: SparkSession, path: str) -> DataFrame:
     pieces = spark.read.text(path, lineSep="\n\n")
     newlines = F.regexp_replace("value", "\r\n?", "\n")
     lines = F.transform(F.split(F.col("dialog"), "\n"), strip)
+    none = F.lit(None).cast("bigint")
     return _as_turns(
         pieces.select(_split(), F.explode(
             F.split(newlines, r"\n(?:(?U)[\s\x1c-\x1f])*\n")).alias("dialog"))
-        .select("split", F.filter(lines, lambda t: t != "").alias("utterances"))
+        .select("split", F.filter(lines, lambda t: t != "").alias("utterances"),
+                none.alias("conv_id"), none.alias("first_turn"))
         .where(F.size("utterances") > 0))
 
 
@@ -108,7 +146,6 @@ SOURCES: dict[str, Reader] = {
     "dailydialog": read_jsonl,
     "personachat": read_nested_json,
     "topicalchat": read_map_json,
-    "custom_dataset": read_blankline_text,
 }
 
 

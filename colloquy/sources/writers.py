@@ -1,12 +1,14 @@
 """Writers, and exports of a turn table to the layouts the readers know.
 
-A layout holds a dialogue in one value, so exports cut conversations into
-segments of bounded length, each a dialogue of its own.
+A JSON layout holds a dialogue in one value, so exports cut conversations into pieces
+of bounded length. Each says of which conversation it is and where it begins, in
+fields that other readers ignore and ours put together again. The text
+layout has no place for that and is written line by line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from colloquy.functions.numbers import whole_part
 from colloquy.operators.metrics import history_columnar
@@ -52,47 +54,84 @@ def write_metric_text(summary: DataFrame, path: str) -> None:
      .write.mode("overwrite").text(path))
 
 
+def _pieces(turns: DataFrame) -> DataFrame:
+    """Pieces of conversations with their ``split``, if there is one."""
+    split = [F.first("split").alias("split")] if "split" in turns.columns else []
+    return assembled(turns, *split)
+
+
+def _with_split_folders(rows: DataFrame, split: bool):
+    writer = rows.write.mode("overwrite")
+    return writer.partitionBy("split") if split else writer
+
+
 def write_jsonl(turns: DataFrame, path: str) -> None:
-    """One JSON object per line."""
+    """One JSON object per line; a folder per split if there is a ``split``."""
+    split = "split" in turns.columns
     texts = F.transform("utterances", lambda t: F.struct(t.alias("text")))
-    assembled(turns).select(texts.alias("dialogue")).write.mode("overwrite").json(path)
+    rows = _pieces(turns).select(*["split"] * split, texts.alias("dialogue"), "conv_id",
+                                 "first_turn")
+    _with_split_folders(rows, split).json(path)
 
 
-DIALOGS_PER_DOCUMENT = 1000
+# A document is parsed as a whole, so it gets about this many bytes of text.
+DOCUMENT_BYTES = 16 << 20
 
 
-def _document_key() -> Column:
-    """Conversations share a document in id order, segment by segment, so a
-    document holds at most DIALOGS_PER_DOCUMENT segments."""
-    return F.concat_ws("-", whole_part(F.col("conv_id"), DIALOGS_PER_DOCUMENT).cast("string"),
-                       F.col("segment").cast("string"))
+def _documents(pieces: DataFrame) -> DataFrame:
+    """Number the pieces by the document they go to: ``document`` counts the bytes
+    before them within their range of conversations."""
+    size = F.aggregate("utterances", F.lit(0).cast("bigint"),
+                       lambda n, t: n + F.octet_length(t) + 16)
+    before = Window.partitionBy("_part").orderBy("conv_id", "segment").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return (pieces.repartitionByRange("conv_id", "segment")
+            .withColumn("_part", F.spark_partition_id())
+            .withColumn("document", F.struct("_part", whole_part(
+                F.coalesce(F.sum(size).over(before), F.lit(0)), DOCUMENT_BYTES))))
 
 
 def write_nested_json(turns: DataFrame, path: str) -> None:
-    """Documents of training dialogues, each its history and last candidate."""
+    """Documents of dialogues, each its history and last candidate. Conversations
+    of split ``valid`` are the document's ``valid`` part, all others ``train``."""
     size = F.size("utterances")
     entry = F.struct(
         F.slice("utterances", F.lit(1), size - 1).alias("history"),
         F.array(F.element_at("utterances", -1)).alias("candidates"))
-    dialog = F.struct(F.array(entry).alias("utterances"))
-    (assembled(turns).groupBy(_document_key().alias("doc"))
-     .agg(F.collect_list(dialog).alias("train"))
-     .select("train", F.array().cast("array<string>").alias("valid"))
+    dialog = F.struct(F.array(entry).alias("utterances"), "conv_id", "first_turn")
+    valid = (F.coalesce(F.col("split") == "valid", F.lit(False)) if "split" in turns.columns
+             else F.lit(False))
+    (_documents(_pieces(turns)).groupBy("document")
+     .agg(F.collect_list(F.when(~valid, dialog)).alias("train"),
+          F.collect_list(F.when(valid, dialog)).alias("valid"))
+     .select("train", "valid")
      .write.mode("overwrite").option("maxRecordsPerFile", 1).json(path))
 
 
 def write_map_json(turns: DataFrame, path: str) -> None:
-    """Documents of dialogues keyed by conversation and segment."""
+    """Documents of dialogues keyed by conversation and segment; a folder per
+    split if there is a ``split``."""
+    split = "split" in turns.columns
     messages = F.transform("utterances", lambda t: F.struct(t.alias("message")))
     entry = F.struct(F.concat_ws("-", "conv_id", "segment").alias("key"),
-                     F.struct(messages.alias("content")).alias("value"))
+                     F.struct(messages.alias("content"), "conv_id", "first_turn")
+                     .alias("value"))
     doc = F.map_from_entries(F.collect_list(entry))
-    (assembled(turns).groupBy(_document_key().alias("key")).agg(doc.alias("doc"))
-     .select(F.to_json("doc").alias("value"))
-     .write.mode("overwrite").option("maxRecordsPerFile", 1).text(path))
+    rows = (_documents(_pieces(turns)).groupBy("document", *["split"] * split)
+            .agg(doc.alias("doc")).select(*["split"] * split, F.to_json("doc").alias("value")))
+    _with_split_folders(rows, split).option("maxRecordsPerFile", 1).text(path)
 
 
 def write_blankline_text(turns: DataFrame, path: str) -> None:
-    """One line per utterance, a blank line after each dialogue."""
-    lines = F.concat(F.array_join("utterances", "\n"), F.lit("\n"))
-    assembled(turns).select(lines.alias("value")).write.mode("overwrite").text(path)
+    """One line per utterance, a blank line after each dialogue; a folder per split
+    if there is a ``split``.
+
+    A dialogue's lines must follow each other in one file, so one task writes a
+    conversation, row by row.
+    """
+    split = "split" in turns.columns
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    last = F.lead("turn").over(order).isNull()
+    rows = turns.select(*["split"] * split, F.when(last, F.concat("text", F.lit("\n")))
+                        .otherwise(F.col("text")).alias("value"))
+    _with_split_folders(rows, split).text(path)

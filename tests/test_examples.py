@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from colloquy.config import CorpusConfig, SpecialIds
 from colloquy.functions import sequences as S
+from colloquy.operators import evaluation as E
 from colloquy.operators import examples as X
+from colloquy.operators import splits as P
 from colloquy.operators import turns as T
 from colloquy.plans import corpus
 
@@ -107,6 +109,26 @@ def test_gaps_fail_instead_of_giving_wrong_histories(spark, numbers):
         T.rolling_context(rows, 2).collect()
 
 
+@pytest.mark.parametrize("numbers", [[0, 2, 3], [0, 1, 1, 2], [3, 4], [*range(512), 513]])
+@pytest.mark.parametrize("operator", [
+    lambda rows, config: P.split_manifest(rows, config),
+    lambda rows, config: E.word_vocab(T.with_split(rows), config),
+    lambda rows, config: X.history_band_join(rows, config.max_hist),
+    lambda rows, config: X.running_example_len(corpus.token_counts(rows), config),
+    lambda rows, config: corpus.text_index(rows, config)])
+def test_every_turn_operator_refuses_gaps(spark, operator, numbers):
+    rows = spark.createDataFrame([(1, n, f"w{n}") for n in numbers],
+                                 "conv_id bigint, turn bigint, text string")
+    with pytest.raises(PySparkException, match="renumbered"):
+        operator(rows, CorpusConfig(max_hist=2)).collect()
+
+
+def test_checked_turns_are_the_turns(spark):
+    rows = spark.range(1100).select(F.lit(1).cast("bigint").alias("conv_id"),
+                                    F.col("id").alias("turn"))
+    assert sorted(r.turn for r in T.checked(rows).collect()) == list(range(1100))
+
+
 def test_renumbering_closes_gaps(spark):
     numbers = [3, 4, 900, 2000, 2001]
     rows = spark.createDataFrame(

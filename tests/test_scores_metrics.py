@@ -97,9 +97,9 @@ def test_epoch_means_and_missing_splits(spark):
     table = steps(spark, [(1, 0, "train", 0, 1.0, 0.0, math.e),
                           (1, 0, "train", 1, 3.0, 1.0, math.e ** 3),
                           (1, 0, "train", 2, float("nan"), 1.0, 1.0)])
-    row = M.history(M.epoch_metrics(M.without_nan(table))).first()
+    row = M.history(M.without_nan(table)).first()
     assert row.train_loss == 2.0 and row.train_ppl == pytest.approx(11.4019, abs=1e-4)
-    assert row.valid_loss == 0.0
+    assert row.valid_loss is None and row.valid_ppl is None and row.n_steps == 2
     skips = M.nan_skips(table, ["run_id"]).first()
     assert (skips.n_steps, skips.n_skipped) == (2, 1)
 
@@ -118,9 +118,9 @@ def wide(spark, losses, n_steps=10):
 def brute_stop(losses, patience, n_steps, total):
     best, waited, best_epoch = INF, 0, None
     for epoch, loss in enumerate(losses):
-        if loss < best:
+        if loss is not None and loss < best:
             best, waited, best_epoch = loss, 0, epoch
-        else:
+        elif loss is not None:
             waited += 1
             if waited == patience:
                 return epoch, best_epoch, "patience"
@@ -130,16 +130,34 @@ def brute_stop(losses, patience, n_steps, total):
 
 
 @pytest.mark.parametrize("losses", [
-    [3, 2, 2, 2.5, 1], [3, 2, 1], [float("nan"), 5, 6, 7, 8], [INF, INF, 3], [1, 2, 3, 0, 4, 5, 6]])
+    [3, 2, 2, 2.5, 1], [3, 2, 1], [float("nan"), 5, 6, 7, 8], [INF, INF, 3], [1, 2, 3, 0, 4, 5, 6],
+    [None, 2, None, 3, None, None, 4, 1], [None, None]])
 @pytest.mark.parametrize("patience", [0, 1, 2, 3])
 @pytest.mark.parametrize("total", [None, 30])
 def test_early_stop(spark, losses, patience, total):
-    losses = [float(x) for x in losses]
+    losses = [None if x is None else float(x) for x in losses]
     row = M.early_stop(wide(spark, losses), patience, total).first()
     assert (row.last_epoch, row.best_epoch, row.reason) == brute_stop(
         losses, patience, 10, total)
 
 
+def test_early_stop_shuffles_once(spark):
+    plan = M.early_stop(wide(spark, [1.0, 2.0]), 1, 10)._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_rank_mean_wants_every_rank(spark):
+    ddl = "run_id int, epoch int, split string, step bigint, rank int, loss double, acc double"
+    rows = [(1, 0, "train", s, r, float(s + r), 0.5) for s in range(3) for r in range(2)]
+    table = spark.createDataFrame(rows + [(1, 0, "train", 3, 0, 9.0, 0.5)], ddl)
+    with pytest.raises(Exception, match="each rank"):
+        M.rank_mean(table, 2).collect()
+    got = {r.step: r.loss for r in M.rank_mean(table, 2, partial=True).collect()}
+    assert got == {0: 0.5, 1: 1.5, 2: 2.5, 3: 9.0}
+    whole = M.rank_mean(M.whole_steps(table, 2), 2)
+    assert {r.step: r.loss for r in whole.collect()} == {0: 0.5, 1: 1.5, 2: 2.5}
+
+
 def test_summary(spark):
     table = spark.createDataFrame([(1, 2.0), (3, None), (5, 4.0)], "a int, b double")
     got = {r.metric: r for r in M.metric_summary(table, ["a", "b"]).collect()}

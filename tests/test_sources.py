@@ -49,6 +49,53 @@ def test_nested_json(spark, tmp_path):
                    "test": [["v", "w"]]}
 
 
+@pytest.mark.parametrize("source,name,text", [
+    ("jsonl", "train.json", '{"dialogue": [{"text": "a"}]}\n{"dialogue": [{"te'),
+    ("jsonl", "train.json", '{"other": 1}\n'),
+    ("jsonl", "other.json", '{"dialogue": [{"text": "a"}]}\n'),
+    ("nested_json", "c.json", '{"train": [{"utterances": [{"history": ["a"], "cand'),
+    ("nested_json", "c.json", '{"train": [{"utterances": [{"history": ["a"], '
+                              '"candidates": []}]}], "valid": []}'),
+    ("map_json", "train.json", '{"a": {"content": [{"mess'),
+    ("map_json", "train.json", '{"a": {"config": 1}}'),
+    ("blankline_text", "trainer.txt", "a\nb\n"),
+])
+def test_broken_input_fails_the_read(spark, tmp_path, source, name, text):
+    (tmp_path / name).write_text(text)
+    with pytest.raises(Exception, match="(?i)no split|dialogue|malformed|no document"):
+        read_source(spark, source, str(tmp_path)).collect()
+
+
+def test_many_files_per_split(spark, tmp_path):
+    line = '{"dialogue": [{"text": "%s"}, {"text": "x"}]}\n'
+    for name, text in {"train-00000.json": "a", "train-00001.json": "b", "valid_0.json": "c",
+                       "test/part-7.json": "d"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(line % text)
+    got = dialogs(readers.read_jsonl(spark.newSession(), f"{tmp_path}/*"))
+    assert got == {"train": [["a", "x"], ["b", "x"]], "valid": [["c", "x"]],
+                   "test": [["d", "x"]]}
+
+
+@pytest.mark.parametrize("name,write", [
+    ("jsonl", writers.write_jsonl), ("nested_json", writers.write_nested_json),
+    ("map_json", writers.write_map_json), ("blankline_text", writers.write_blankline_text)])
+def test_a_long_conversation_comes_back_whole(spark, turn_table, tmp_path, name, write):
+    long = [f"t{i}" for i in range(600)]
+    turns = turn_table({10: long, 21: ["a", "b"]}).withColumn("split", F.lit("train"))
+    write(turns, str(tmp_path / "out"))
+    got = dialogs(read_source(spark, name, str(tmp_path / "out")))
+    assert got == {"train": sorted([long, ["a", "b"]])}
+
+
+def test_keyed_dialogues_have_the_same_ids_in_each_read(spark, tmp_path):
+    doc = {f"k{i}": {"content": [{"message": f"m{i}"}]} for i in range(50)}
+    (tmp_path / "train.json").write_text(json.dumps(doc))
+    read = lambda: sorted(
+        (r.conv_id, r.text) for r in readers.read_map_json(spark, str(tmp_path)).collect())
+    assert read() == read() and len({c for c, _ in read()}) == 50
+
+
 def test_map_json_prefers_frequent(spark, tmp_path):
     def doc(**kv):
         return json.dumps({k: {"config": "A", "content": [{"message": m, "agent": "x"}
@@ -145,8 +192,36 @@ def test_corpus_is_built_once(spark, sf_dir, tmp_path, monkeypatch):
     again = corpus.prepare_corpus(spark, turns, "", str(tmp_path), config)
     assert again.index().count() == len(want) == 114
     assert again.batches("causal").count() == 114
+    # a rebuild that fails leaves the corpus as it was
     with pytest.raises(AssertionError, match="rebuilt"):
         corpus.prepare_corpus(spark, turns, "", str(tmp_path), config, force_rebuild=True)
+    left = corpus.prepare_corpus(spark, turns, "", str(tmp_path), config)
+    assert sorted(map(tuple, left.examples().collect())) == want
+
+
+def test_sources_never_meet_in_one_folder(spark, turn_table, tmp_path):
+    made = {}
+    for word in ("alpha", "beta"):
+        table = turn_table({1: [f"{word}{i}" for i in range(3)]})
+        made[word] = corpus.prepare_corpus(spark, table, "", str(tmp_path / "data"))
+    for word, found in made.items():
+        words = {r.token for r in found.vocab.table.collect()}
+        assert {f"{word}{i}" for i in range(3)} <= words
+        assert not any(w.startswith("alpha" if word == "beta" else "beta") for w in words)
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for text in ("one\ntwo\n", "three\nfour\nfive\n"):
+        (raw / "train.txt").write_text(text)
+        found = corpus.prepare_corpus(spark, "blankline_text", str(raw), str(tmp_path / "data"))
+        assert found.turns.count() == text.count("\n")
+
+
+def test_a_lost_file_is_noticed(spark, turn_table, tmp_path):
+    table = turn_table({1: ["a", "b"], 9: ["c", "d"]})
+    corpus.prepare_corpus(spark, table, "", str(tmp_path))
+    next(tmp_path.rglob("turns/split=test/*.parquet")).unlink()
+    with pytest.raises(ValueError, match="list of files"):
+        corpus.prepare_corpus(spark, table, "", str(tmp_path))
 
 
 def test_corpus_from_files_keeps_their_splits(spark, tmp_path):
