@@ -27,6 +27,10 @@ SEGMENT_TURNS = 512
 # what lies beyond goes through a shuffled join.
 BROADCAST_TOKENS = 1 << 18
 BROADCAST_TOKEN_BYTES = 128
+# Ids follow frequency: a token with over a thousandth of all has an id below this,
+# and is broadcast up to a larger size.
+HOT_TOKENS = 1 << 10
+HOT_TOKEN_BYTES = 1 << 14
 
 
 @dataclass(frozen=True)

@@ -19,9 +19,6 @@ from colloquy.session import durable
 SHARD = ["split", "shard"]
 BATCH = ["split", "shard", "batch"]
 
-# Rows of a bin when a shard's examples are ordered: one task's share.
-ORDINALS_PER_BIN = 1 << 20
-
 
 def chunk_of(rank: Column, size: int) -> Column:
     """Fixed-size chunks of a 0-based rank."""
@@ -93,10 +90,11 @@ def rank_share(rows: DataFrame, world_size: int) -> DataFrame:
 
 
 def length_order(rows: DataFrame, group: list[str] = SHARD) -> DataFrame:
-    """Add ``position``: the 0-based place in a stable sort by length."""
-    binned = rows.withColumn("_bin", chunk_of(F.col("ordinal"), ORDINALS_PER_BIN))
-    return total_before(binned, group, ["example_len", "_bin"],
-                        [F.col("ordinal")], "position").drop("_bin")
+    """Add ``position``: the 0-based place in a stable sort by length.
+
+    One range shuffle on the whole order, which cuts a hot length as well.
+    """
+    return ranked(rows, group, [F.col("example_len"), F.col("ordinal")], "position")
 
 
 def with_buckets(ordered: DataFrame, bucket_size: int) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from colloquy.config import CorpusConfig, SpecialIds
 from colloquy.functions import padding as P
 from colloquy.operators.batching import BATCH
-from colloquy.operators.examples import cut_history, with_marked_turns, with_sequences
+from colloquy.operators.examples import (
+    by_segment, cut_history, with_marked_turns, with_sequences)
 from colloquy.operators.turns import contexts
 
 KEYS = ["conv_id", "begin_idx", "end_idx"]
@@ -17,17 +18,15 @@ def batch_rows(plan: DataFrame, encoded: DataFrame, ids: SpecialIds,
                config: CorpusConfig) -> DataFrame:
     """Join the batch plan with the encoded turns and build the sequences.
 
-    A response turn's up to ``max_hist`` examples travel as one row, and the
-    batch sizes come with the plan, so ids are not shuffled once more by batch.
+    The plan's rows of a segment, a few numbers each and at most ``max_hist`` per
+    turn, travel as one row to the segment's turns, which are where the encoding
+    has put them: the text is not shuffled again.
     """
     slot = ["begin_idx", *BATCH, "draw", "max_seq", "max_target",
             "input_len", "target_len"]
-    slots = plan.groupBy("conv_id", "end_idx").agg(
-        F.collect_list(F.struct(*slot)).alias("_slots"))
-    turns = contexts(encoded, "ids", config.max_hist).drop("segment")
-    rows = (with_marked_turns(turns, ids, config.max_len)
-            .join(slots, ["conv_id", "end_idx"])
-            .select("conv_id", "end_idx", "history", "target", F.inline("_slots")))
+    turns = with_marked_turns(contexts(encoded, "ids", config.max_hist), ids, config.max_len)
+    rows = by_segment(plan, turns, slot).select(
+        "conv_id", "end_idx", "begin_idx", "history", "target", *slot[1:])
     return with_sequences(cut_history(rows), ids)
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from colloquy.config import CorpusConfig, SpecialIds
 from colloquy.functions import sequences as S
-from colloquy.operators.turns import checked, checked_turn, contexts, is_own, with_segments
+from colloquy.operators.turns import (
+    checked, checked_turn, contexts, is_own, segment_of, with_segments)
 
 
 def example_index(sizes: DataFrame, config: CorpusConfig) -> DataFrame:
@@ -110,15 +111,30 @@ def build_examples(encoded: DataFrame, ids: SpecialIds,
         "input_ids", "token_type_ids", "target_ids")
 
 
+def by_segment(index: DataFrame, turns: DataFrame, columns: list[str]) -> DataFrame:
+    """Join response turns with the index rows that point at them: one row for each
+    index row, with ``columns`` of it.
+
+    ``turns`` stay partitioned by ``(conv_id, segment)``; the index rows of a segment
+    come as one row, and each turn picks its own.
+    """
+    slots = (index.withColumn("segment", segment_of(F.col("end_idx")))
+             .groupBy("conv_id", "segment")
+             .agg(F.collect_list(F.struct("end_idx", *columns)).alias("_slots")))
+    own = F.filter("_slots", lambda slot: slot["end_idx"] == F.col("end_idx"))
+    names = [c for c in turns.columns if c != "segment"]
+    return (turns.join(slots, ["conv_id", "segment"])
+            .select(*names, F.explode(own).alias("_slot"))
+            .select(*names, *[F.col("_slot")[c].alias(c) for c in columns]))
+
+
 def example_lookup(index: DataFrame, encoded: DataFrame, max_hist: int) -> DataFrame:
     """Join index rows with the turns they point at.
 
-    The join key is the response turn, so the rows of one long conversation
-    spread over all tasks.
+    The join is by segment, so the rows of one long conversation spread over many
+    tasks and the text is not shuffled again.
     """
-    rows = contexts(encoded, "ids", max_hist).select(
-        "conv_id", "end_idx", "history", "target")
-    return cut_history(index.join(rows, ["conv_id", "end_idx"]))
+    return cut_history(by_segment(index, contexts(encoded, "ids", max_hist), ["begin_idx"]))
 
 
 def history_band_join(turns: DataFrame, max_hist: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.config import (
     ADDED_SPECIALS, BASE_SPECIALS, BOS, BROADCAST_TOKENS, BROADCAST_TOKEN_BYTES,
-    EOS, HST, MASK, PAD, RSP, SP1, SP2, SPECIALS, UNK, SpecialIds)
+    EOS, HOT_TOKENS, HOT_TOKEN_BYTES, HST, MASK, PAD, RSP, SP1, SP2, SPECIALS, UNK, SpecialIds)
 from colloquy.functions.text import words
 from colloquy.operators.ranking import BROADCAST_PARTS, range_placed, with_rank
 from colloquy.operators.turns import with_segments
@@ -72,9 +72,12 @@ def stored_vocab(table: DataFrame) -> Vocabulary:
 
 def _frequent() -> Column:
     """The part of a vocabulary that may be broadcast: ids below a fixed bound
-    and the specials, no long tokens."""
+    and the specials, of bounded length. The bound is larger for the few that can
+    have over a thousandth of all tokens, such as separator lines."""
+    size = F.octet_length("token")
     return (((F.col("id") < BROADCAST_TOKENS) | (F.col("n") == 0))
-            & (F.octet_length("token") <= BROADCAST_TOKEN_BYTES))
+            & ((size <= BROADCAST_TOKEN_BYTES)
+               | ((F.col("id") < HOT_TOKENS) & (size <= HOT_TOKEN_BYTES))))
 
 
 def _mapped(rows: DataFrame, vocab: Vocabulary, key: str, value: str) -> DataFrame:

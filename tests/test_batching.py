@@ -1,6 +1,7 @@
 """Shards, order, buckets, batches and padding against plain Python."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -11,6 +12,7 @@ from colloquy.functions import padding as P
 from colloquy.operators import batching as B
 from colloquy.operators import collation as C
 from colloquy.operators.ranking import counted_out, ranked, total_before
+from colloquy.operators.vocabulary import build_vocab, encoded_segments
 from colloquy.plans import corpus
 from colloquy.plans.tables import conversations
 
@@ -193,3 +195,35 @@ def test_padded_sizes_are_equal_within_a_batch(spark, sf_dir):
         sizes[r.split, r.shard, r.batch].add(
             (len(r.input_ids), len(r.token_type_ids), len(r.labels), len(r.attention_mask)))
     assert all(len(s) == 1 for s in sizes.values())
+
+
+def exchanges(df):
+    """The columns of each shuffle in a plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [re.sub(r"#\d+L?", "", keys)
+            for keys in re.findall(r"Exchange hashpartitioning\((.*), \d+\)", plan)]
+
+
+def test_collation_shuffles_the_text_once(spark, sf_dir):
+    turns = conversations(spark, sf_dir)
+    vocab = build_vocab(turns)
+    rows = B.batch_plan(corpus.text_index(turns, CONFIG), turns, CONFIG).checkpoint()
+    encoded = encoded_segments(turns, vocab, CONFIG.max_hist, CONFIG.max_len)
+    found = exchanges(C.batch_rows(rows, encoded, vocab.ids, CONFIG))
+    # one for the text, one for the plan's slots
+    assert [keys for keys in found if "conv_id" in keys] == ["conv_id, segment"] * 2
+
+
+def test_length_order_cuts_a_hot_length(spark):
+    rows = spark.range(5000).select(
+        F.lit("train").alias("split"), F.lit(0).cast("bigint").alias("shard"),
+        F.lit(9).alias("example_len"), F.col("id").alias("ordinal"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = B.length_order(rows)
+        parts = got.select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert parts > 1 and all(r.position == r.ordinal for r in got.collect())
+    # after the range shuffle only offsets move, a row per range
+    assert len(exchanges(B.length_order(rows))) <= 2

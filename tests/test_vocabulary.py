@@ -36,6 +36,7 @@ def test_vocabulary_beyond_the_broadcast_bound(spark, sf_dir, monkeypatch):
     want = sorted(map(tuple, V.encode(rows, vocab, keys).collect()))
     monkeypatch.setattr(V, "BROADCAST_TOKENS", 50)
     monkeypatch.setattr(V, "BROADCAST_TOKEN_BYTES", 5)
+    monkeypatch.setattr(V, "HOT_TOKENS", 0)
     assert not vocab.small
     encoded = V.encode(rows, vocab, keys)
     assert sorted(map(tuple, encoded.collect())) == want
@@ -45,6 +46,17 @@ def test_vocabulary_beyond_the_broadcast_bound(spark, sf_dir, monkeypatch):
         assert back[r.conv_id, r.turn] == " ".join(r.text.split())
 
 
+def test_a_hot_long_token_is_not_shuffled(spark, turn_table):
+    line = "=" * 200
+    rows = turn_table({1: [f"a{i} {line} b{i}" for i in range(90)]})
+    vocab = V.build_vocab(rows)
+    assert not vocab.small
+    hot = vocab.table.where(V._frequent()).where(F.col("token") == line)
+    assert hot.count() == 1
+    got = V.encode(rows, vocab, ["conv_id", "turn"]).collect()
+    assert all(len(r.ids) == 3 and r.ids[1] == 4 for r in got)
+
+
 def test_counts_match_python(spark, sf_dir):
     rows = conversations(spark, sf_dir)
     want = Counter(w for r in rows.collect() for w in r.text.split())
