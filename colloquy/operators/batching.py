@@ -149,11 +149,20 @@ def with_batch_sizes(batched: DataFrame) -> DataFrame:
                                 "max_target": F.max("target_len").over(same)})
 
 
-def batch_plan(index: DataFrame, turns: DataFrame, config: CorpusConfig) -> DataFrame:
-    """The whole chain from index rows to batches for one rank."""
+def batch_plan(index: DataFrame, turns: DataFrame, config: CorpusConfig,
+               rank: int | None = None) -> DataFrame:
+    """The whole chain from index rows to batches; given ``rank``, those of one of
+    ``config.world_size`` ranks, which all get equally many."""
     layout = dialog_layout(turns, config)
     sizes = layout.groupBy(*SHARD).agg(F.sum("n_examples").alias("n_examples"))
-    ordered = length_order(placed(index, layout, config))
+    rows = placed(index, layout, config)
+    if rank is not None:
+        if not 0 <= rank < config.world_size:
+            raise ValueError(f"rank must be below {config.world_size}, got {rank}")
+        rows = rank_share(rows, config.world_size).where(F.col("rank") == rank)
+        sizes = sizes.withColumn("n_examples", chunk_of(
+            F.col("n_examples") + (config.world_size - 1), config.world_size))
+    ordered = length_order(rows)
     drawn = shuffled(with_buckets(ordered, config.bucket_size),
                      bucket_starts(sizes, config), config)
     return with_batch_sizes(with_batches(drawn, config.batch_size))

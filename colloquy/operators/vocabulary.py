@@ -37,13 +37,18 @@ def _special_ids(words_seen: int) -> SpecialIds:
                       rsp=at[RSP], pad=at[PAD], unk=at[UNK], mask=at[MASK])
 
 
+def words_of(rows: DataFrame) -> Column:
+    """The words of each row: its column ``words``, or else those of ``text``."""
+    return F.col("words") if "words" in rows.columns else words(F.col("text"))
+
+
 def build_vocab(texts: DataFrame) -> Vocabulary:
-    """Number the words of a ``text`` column.
+    """Number the words of a ``text`` column, or those in ``words``.
 
     Base specials take the first ids, then the corpus words by falling count
     and rising spelling, then the added specials.
     """
-    counted = (texts.select(F.explode(words(F.col("text"))).alias("token"))
+    counted = (texts.select(F.explode(words_of(texts)).alias("token"))
                .where(~F.col("token").isin(*SPECIALS))
                .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     placed = range_placed(counted, [], [F.col("n").desc(), F.col("token")])
@@ -126,8 +131,7 @@ def encoded_segments(turns: DataFrame, vocab: Vocabulary, reach: int,
     Sequences show at most ``max_len`` ids of a turn; given it, only those are
     shuffled and looked up, while ``n_ids`` counts the whole turn.
     """
-    tokens = words(F.col("text"))
-    rows = turns.select("conv_id", "turn", tokens.alias("words")).withColumn(
+    rows = turns.select("conv_id", "turn", words_of(turns).alias("words")).withColumn(
         "n_ids", F.size("words"))
     if max_len is not None:
         rows = rows.withColumn("words", F.slice("words", 1, max_len))

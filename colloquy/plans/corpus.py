@@ -12,12 +12,14 @@ from colloquy.config import CorpusConfig, SpecialIds
 from colloquy.functions.hashing import config_fingerprint
 from colloquy.functions.text import words
 from colloquy.operators.batching import batch_plan, dialog_layout, with_shards
-from colloquy.operators.collation import batch_rows, collate
+from colloquy.operators.collation import (
+    batch_rows, collate, with_eval_masks, with_train_masks)
 from colloquy.operators.examples import build_examples, example_index
 from colloquy.operators.splits import split_manifest
 from colloquy.operators.turns import with_segments, with_split
 from colloquy.operators.vocabulary import (
-    Vocabulary, build_vocab, encode, encoded_segments, stored_vocab)
+    Vocabulary, build_vocab, encode, encoded_segments, stored_vocab, words_of)
+from colloquy.session import staged
 from colloquy.sources.readers import read_source
 from colloquy.sources.writers import write_shards
 
@@ -44,15 +46,30 @@ class Corpus:
     def examples(self) -> DataFrame:
         return build_examples(self.segments(), self.vocab.ids, self.config)
 
-    def batches(self, layout: str = "causal", training: bool = True) -> DataFrame:
-        plan = batch_plan(self.index(), self.turns, self.config)
-        rows = batch_rows(plan, self.segments(), self.vocab.ids, self.config)
-        return collate(rows, layout, self.vocab.ids.pad, training)
+    def batches(self, layout: str = "causal", training: bool = True,
+                rank: int | None = None, masks: bool = False) -> DataFrame:
+        """Padded batches; of one rank if ``rank`` is given. ``masks`` adds the
+        permuted layout's masks, quadratic in the batch length."""
+        if masks and layout != "permuted":
+            raise ValueError("only the permuted layout has masks")
+        plan = batch_plan(self.index(), self.turns, self.config, rank)
+        rows = collate(batch_rows(plan, self.segments(), self.vocab.ids, self.config),
+                       layout, self.vocab.ids.pad, training)
+        if not masks:
+            return rows
+        return with_train_masks(rows) if training else with_eval_masks(rows)
+
+
+def word_table(turns: DataFrame) -> DataFrame:
+    """``(conv_id, turn, words)`` stored as Parquet, so that vocabulary, lengths and
+    encoding share one pass over the text."""
+    return staged(turns.select("conv_id", "turn", words(F.col("text")).alias("words")),
+                  "words")
 
 
 def token_counts(turns: DataFrame) -> DataFrame:
     """``(conv_id, turn, n_ids)``: lengths of the encoded turns before encoding."""
-    return turns.select("conv_id", "turn", F.size(words(F.col("text"))).alias("n_ids"))
+    return turns.select("conv_id", "turn", F.size(words_of(turns)).alias("n_ids"))
 
 
 def text_index(turns: DataFrame, config: CorpusConfig) -> DataFrame:
@@ -62,6 +79,7 @@ def text_index(turns: DataFrame, config: CorpusConfig) -> DataFrame:
 
 def text_examples(turns: DataFrame, config: CorpusConfig) -> DataFrame:
     """Examples straight from text with a vocabulary of its own."""
+    turns = word_table(turns)
     vocab = build_vocab(turns)
     return build_examples(
         encoded_segments(turns, vocab, config.max_hist, config.max_len),
@@ -70,6 +88,7 @@ def text_examples(turns: DataFrame, config: CorpusConfig) -> DataFrame:
 
 def text_batches(turns: DataFrame, config: CorpusConfig) -> tuple[DataFrame, SpecialIds]:
     """Batch rows straight from text, ready for a collation layout."""
+    turns = word_table(turns)
     vocab = build_vocab(turns)
     plan = batch_plan(text_index(turns, config), turns, config)
     encoded = encoded_segments(turns, vocab, config.max_hist, config.max_len)

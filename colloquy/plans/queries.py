@@ -156,7 +156,9 @@ def eval_table(spark, sf_dir):
 @query
 def metric_events(spark, sf_dir):
     steps = M.without_nan(step_log(spark, sf_dir))
-    return M.metric_events(steps).withColumn("value", F.round("value", 6))
+    path = staging_path(spark, "events")
+    writers.append_events(M.metric_events(steps), path)
+    return spark.read.parquet(path).withColumn("value", F.round("value", 6))
 
 
 @query

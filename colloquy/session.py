@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Paths handed out by staging_path, by application.
+_STAGED: dict[str, list[str]] = {}
+
+
 def build_session(master: str | None = None, name: str = "colloquy",
                   **settings: str) -> SparkSession:
     """A session with adaptive execution and UTC timestamps."""
@@ -49,7 +53,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -58,6 +64,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove_staged(spark: SparkSession) -> int:
+    """Delete the tables that this application has staged so far, and say how many.
+    Results that read them are gone with them."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    jvm = spark._jvm
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     path = staging_path(df.sparkSession, name)

@@ -236,6 +236,32 @@ def test_corpus_from_files_keeps_their_splits(spark, tmp_path):
     assert {r.split for r in batch} == {"train", "valid", "test"} and len(batch) == 12
 
 
+def test_ranks_and_masks_of_a_corpus(spark, sf_dir, tmp_path):
+    turns = conversations(spark, sf_dir)
+    made = corpus.prepare_corpus(spark, turns, "", str(tmp_path),
+                                 CorpusConfig(batch_size=4, world_size=2, max_len=6))
+    key = lambda r: (r.conv_id, r.begin_idx, r.end_idx)
+    everything = {key(r) for r in made.batches().collect()}
+    parts = [made.batches("permuted", rank=r, masks=True).collect() for r in range(2)]
+    assert len(parts[0]) == len(parts[1])
+    assert {key(r) for part in parts for r in part} == everything
+    row = parts[0][0]
+    assert len(row.perm_mask) == row.max_seq and len(row.target_map) == row.max_target
+    with pytest.raises(ValueError, match="rank"):
+        made.batches(rank=2)
+    with pytest.raises(ValueError, match="masks"):
+        made.batches("causal", masks=True)
+
+
+def test_staged_tables_can_be_removed(spark):
+    path = session.staging_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert session.remove_staged(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    assert session.remove_staged(spark) == 0
+
+
 def test_shared_folder_comes_from_the_session(spark, monkeypatch):
     folder = session.shared_dir(spark)
     assert session.staging_path(spark, "x").startswith(folder)
