@@ -39,13 +39,15 @@ def merge_precedence(low: DataFrame, high: DataFrame) -> DataFrame:
 
 
 def dialog_digest(turns: DataFrame) -> DataFrame:
-    """An order-aware content digest per conversation from mergeable sums."""
+    """An order-aware content digest per conversation from mergeable sums; a
+    ``split`` of the source's own is kept."""
     digest = F.md5(F.concat_ws(":", F.col("turn").cast("string"), F.col("text")))
     piece = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint")
              for i in range(4)]
     sums = [F.sum(p.cast("decimal(38,0)")).cast("string") for p in piece]
+    split = [F.first("split").alias("split")] if "split" in turns.columns else []
     return (turns.groupBy("conv_id")
-            .agg(F.concat_ws("-", F.count(F.lit(1)).cast("string"), *sums).alias("digest")))
+            .agg(*split, F.concat_ws("-", F.count(F.lit(1)).cast("string"), *sums).alias("digest")))
 
 
 def split_overlap(items: DataFrame, key: Column) -> DataFrame:

@@ -109,7 +109,8 @@ def encode(rows: DataFrame, vocab: Vocabulary, keys: list[str]) -> DataFrame:
 
 
 def encode_words(rows: DataFrame, vocab: Vocabulary, keys: list[str]) -> DataFrame:
-    """Replace the array ``words`` by ``ids``, per ``keys``.
+    """Replace the array ``words`` by ``ids``, per ``keys``. Two rows with the same
+    keys fail the job instead of being mixed.
 
     If ``rows`` is already partitioned by some of ``keys`` and the vocabulary
     is small, this adds no shuffle.
@@ -117,10 +118,15 @@ def encode_words(rows: DataFrame, vocab: Vocabulary, keys: list[str]) -> DataFra
     tokens = rows.select(*keys, F.posexplode_outer("words").alias("pos", "token"))
     entry = F.when(F.col("token").isNotNull(), F.struct(
         "pos", F.coalesce("id", F.lit(vocab.ids.unk)).cast("int").alias("id")))
+    one_row = F.col("_count") == F.coalesce(F.col("_last") + 1, F.lit(1))
     return (_mapped(tokens, vocab, "token", "id")
             .groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
-            .select(*keys, F.col("_entries.id").alias("ids")))
+            .agg(F.sort_array(F.collect_list(entry)).alias("_entries"),
+                 F.count(F.lit(1)).alias("_count"), F.max("pos").alias("_last"))
+            .select(*keys, F.when(one_row, F.col("_entries.id")).otherwise(F.raise_error(
+                F.concat_ws(" ", F.lit("several rows to encode with"), *[
+                    F.concat_ws("=", F.lit(k), F.col(k).cast("string")) for k in keys])))
+                .alias("ids")))
 
 
 def encoded_segments(turns: DataFrame, vocab: Vocabulary, reach: int,

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from colloquy.config import CorpusConfig
@@ -29,6 +31,16 @@ def test_words_and_unknowns(spark, turn_table):
     assert got == {0: [4, 0, 5, known.ids.sp2], 1: [], 2: []}
 
 
+def test_repeated_keys_are_refused(spark):
+    rows = spark.createDataFrame([(1, 0, "a b"), (1, 0, "c"), (2, 0, ""), (3, 0, "")],
+                                 "conv_id bigint, turn bigint, text string")
+    vocab = V.build_vocab(rows)
+    with pytest.raises(PySparkException, match="several rows"):
+        V.encode(rows, vocab, ["conv_id", "turn"]).collect()
+    fine = V.encode(rows.where("text <> 'c'"), vocab, ["conv_id", "turn"]).collect()
+    assert {r.conv_id: len(r.ids) for r in fine} == {1: 2, 2: 0, 3: 0}
+
+
 def test_vocabulary_beyond_the_broadcast_bound(spark, sf_dir, monkeypatch):
     rows = conversations(spark, sf_dir)
     keys = ["conv_id", "turn"]
