@@ -129,9 +129,10 @@ def _manifests(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def _built_files(spark: SparkSession, turns_path: str) -> DataFrame:
-    """``(split, file, n_rows)`` of a stored turn table."""
+    """``(split, shard, file, n_rows)`` of a stored turn table."""
     return (spark.read.parquet(turns_path)
-            .groupBy("split", F.col("_metadata.file_name").alias("file"))
+            .groupBy("split", F.col("shard").cast("bigint").alias("shard"),
+                     F.col("_metadata.file_name").alias("file"))
             .agg(F.count(F.lit(1)).alias("n_rows")))
 
 
@@ -145,8 +146,7 @@ def _build(spark: SparkSession, source: str | DataFrame, path: str, folder: str,
     build_vocab(raw).table.write.parquet(f"{folder}/vocab")
     vocab = stored_vocab(spark.read.parquet(f"{folder}/vocab"))
     encoded = encode(raw, vocab, ["conv_id", "turn"]).withColumn("n_ids", F.size("ids"))
-    write_shards(with_shards(encoded, dialog_layout(raw, config)), f"{folder}/turns",
-                 config.file_size)
+    write_shards(with_shards(encoded, dialog_layout(raw, config)), f"{folder}/turns")
     _built_files(spark, f"{folder}/turns").write.parquet(f"{folder}/files")
     (split_manifest(spark.read.parquet(f"{folder}/turns"), config)
      .withColumns({"identity": F.lit(identity), "built": F.current_timestamp()})
@@ -155,7 +155,7 @@ def _build(spark: SparkSession, source: str | DataFrame, path: str, folder: str,
 
 def check_files(spark: SparkSession, folder: str) -> None:
     """Raise if a stored turn table is not the one that was written."""
-    keys = ["split", "file", "n_rows"]
+    keys = ["split", "shard", "file", "n_rows"]
     listed = spark.read.parquet(f"{folder}/files").select(*keys)
     there = _built_files(spark, f"{folder}/turns").select(*keys)
     odd = listed.exceptAll(there).unionByName(there.exceptAll(listed)).first()

@@ -95,7 +95,7 @@ def scan_split(spark, sf_dir):
     path = staging_path(spark, "splits")
     rows = conversations(spark, sf_dir)
     sharded = B.with_shards(rows, B.dialog_layout(rows, CONFIG))
-    writers.write_shards(sharded, path, 1000)
+    writers.write_shards(sharded, path)
     return readers.scan_split(spark, path, "valid").select(
         "split", "shard", "conv_id", "turn", "text")
 

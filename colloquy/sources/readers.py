@@ -161,9 +161,14 @@ def read_source(spark: SparkSession, name: str, path: str) -> DataFrame:
     return SOURCES[name](spark, path)
 
 
-def scan_split(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """One split of a table written with ``partitionBy('split')``."""
-    return spark.read.parquet(path).where(F.col("split") == split)
+def scan_split(spark: SparkSession, path: str, split: str,
+               shard: int | None = None) -> DataFrame:
+    """One split, or one shard of it, of a table that ``write_shards`` has written;
+    only its folder is read."""
+    rows = spark.read.parquet(path).where(F.col("split") == split)
+    if shard is not None:
+        rows = rows.where(F.col("shard") == shard)
+    return rows.withColumn("shard", F.col("shard").cast("bigint"))
 
 
 HISTORY_SCHEMA = "epoch array<int>, " + ", ".join(

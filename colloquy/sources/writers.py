@@ -15,16 +15,16 @@ from colloquy.operators.metrics import history_columnar
 from colloquy.operators.turns import assembled
 
 
-def write_shards(rows: DataFrame, path: str, file_size: int) -> None:
-    """Write rows with ``split``, ``shard``, ``conv_id`` and ``turn`` in shard
-    order, a directory per split.
+def write_shards(rows: DataFrame, path: str) -> None:
+    """Write rows with ``split``, ``shard``, ``conv_id`` and ``turn`` in order, a
+    folder per split and shard. No file has rows of two shards.
 
-    Ranges are cut on the whole order, so a large shard spans several files.
+    A shard is a number of conversations. Ranges are cut on the whole order, so
+    one with long conversations is several files, written by several tasks.
     """
     order = ["split", "shard", "conv_id", "turn"]
     (rows.repartitionByRange(*order).sortWithinPartitions(*order)
-     .write.mode("overwrite").partitionBy("split")
-     .option("maxRecordsPerFile", file_size).parquet(path))
+     .write.mode("overwrite").partitionBy("split", "shard").parquet(path))
 
 
 def append_events(events: DataFrame, path: str) -> None:

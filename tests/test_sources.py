@@ -151,12 +151,14 @@ def test_shards_are_written_in_order(spark, sf_dir, tmp_path):
     layout = B.dialog_layout(turns, CorpusConfig(file_size=6))
     rows = turns.join(layout.select("conv_id", "split", "shard"), "conv_id")
     path = str(tmp_path / "out")
-    writers.write_shards(rows, path, 10)
+    writers.write_shards(rows, path)
     assert sorted(p.name for p in (tmp_path / "out").glob("split=*")) == [
         "split=test", "split=train", "split=valid"]
-    assert max(spark.read.parquet(str(f)).count()
-               for f in (tmp_path / "out").glob("split=*/*.parquet")) <= 10
     assert spark.read.parquet(path).count() == turns.count()
+    # 16 training conversations in shards of 6
+    sizes = [readers.scan_split(spark, path, "train", n).select("conv_id").distinct().count()
+             for n in range(4)]
+    assert sizes == [6, 6, 4, 0]
     plan = readers.scan_split(spark, path, "valid")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(split" in plan
 
@@ -219,7 +221,7 @@ def test_sources_never_meet_in_one_folder(spark, turn_table, tmp_path):
 def test_a_lost_file_is_noticed(spark, turn_table, tmp_path):
     table = turn_table({1: ["a", "b"], 9: ["c", "d"]})
     corpus.prepare_corpus(spark, table, "", str(tmp_path))
-    next(tmp_path.rglob("turns/split=test/*.parquet")).unlink()
+    next(tmp_path.rglob("turns/split=test/shard=0/*.parquet")).unlink()
     with pytest.raises(ValueError, match="list of files"):
         corpus.prepare_corpus(spark, table, "", str(tmp_path))
 
