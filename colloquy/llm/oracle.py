@@ -120,7 +120,30 @@ select doc_id, size, source_size, target,
 from ordered
 """
 
+SUBSTRING_DEDUP = rf"""
+with docs as (
+  select row_number() over () as r, doc_id, {WORDS} as w from documents),
+windows as (
+  select r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h
+  from (select r, doc_id, w, unnest(range(1, len(w) - 48)) as i from docs
+        where len(w) >= 50)),
+firsts as (select h, min(doc_id) as first from windows group by h),
+starts as (
+  select r, i from windows join firsts using (h) where first < doc_id),
+gone as (select distinct r, i + k as place from starts, range(0, 50) as t(k)),
+words as (
+  select r, unnest(w) as word, generate_subscripts(w, 1) as place from docs),
+kept as (
+  select r, string_agg(word, ' ' order by place) as text
+  from words anti join gone using (r, place) group by r),
+lost as (select r, count(*) as n from gone group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(lost.n, 0)::bigint as n_removed,
+       sha256(coalesce(kept.text, '')) as kept_sha256
+from docs left join kept on kept.r = docs.r left join lost on lost.r = docs.r
+"""
+
 ORACLES = {
+    "op7_substring_dedup": SUBSTRING_DEDUP,
     "op5_mixing": MIXING,
     "op6_exact_dedup": EXACT_DEDUP,
     "op10_quality": QUALITY,
