@@ -108,9 +108,10 @@ def host_rates(failed: DataFrame) -> DataFrame:
     how much more the hosts' rates differ than chance would make them differ.
     """
     names = [c for c in failed.columns if c != "host"]
-    hosts = failed.filter(F.col("host").isNotNull()).groupBy("host").agg(
+    # written once: the counts take a pass over all texts
+    hosts = staged(failed.filter(F.col("host").isNotNull()).groupBy("host").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.col(c).cast("bigint")).alias(c) for c in names])
+        *[F.sum(F.col(c).cast("bigint")).alias(c) for c in names]), "hosts")
     n = F.col("n").cast("double")
     stats = hosts.agg(
         F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n"),
@@ -163,7 +164,7 @@ def keep_good(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     shuffled nor stored.
     """
     rows = measured(docs, F.col("text"), F.col("source")).withColumnRenamed("_keep0", "host")
-    bad = small_side(staged(rejected_hosts(failures(rows), max_rate), "hosts"))
+    bad = small_side(rejected_hosts(failures(rows), max_rate))
     # The row number keeps the filter above the projections: below them, the
     # optimizer would put the split into words inside the loop over windows.
     good = (measured(docs, F.col("text"), F.struct("*"))
