@@ -32,7 +32,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 # A document of this many words leans halfway to the most likely.
 LEAN = 200
-BINS = 1 << 14
+BINS = 1 << 12
 MAX_ROUNDS = 1000
 
 
