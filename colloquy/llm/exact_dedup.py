@@ -90,11 +90,11 @@ def digest_runs(rows: DataFrame, slices: int, largest: bool) -> DataFrame:
             run = batch["part"][0].as_py() % slices
             held += [(d, i is not None, i or 0, 1) for d, i in zip(
                 batch["digest"].to_pylist(), batch["id"].to_pylist())]
-            if len(held) >= 4 * RUN_ROWS:
-                held = list(_merged([sorted(held)], largest))
             if len(held) >= 2 * RUN_ROWS:
-                yield from _table(run, None, iter(held), slices).to_batches()
-                held = []
+                held = list(_merged([sorted(held)], largest))
+                if len(held) > RUN_ROWS:
+                    yield from _table(run, None, iter(held), slices).to_batches()
+                    held = []
         if held:
             yield from _table(run, None, _merged([sorted(held)], largest),
                               slices).to_batches()

@@ -39,6 +39,27 @@ def test_many_rounds_give_one_entry_per_digest(spark, monkeypatch):
     assert sum(r.copies for r in got) == 500
 
 
+@pytest.mark.parametrize("keep,best", [("smallest", 0), ("largest", 99_999)])
+def test_hot_digest_leaves_a_run_once(spark, keep, best):
+    """Ten Arrow batches of one text are one entry."""
+    digest = exact_dedup.digest_of(F.lit("hot"))
+    rows = spark.range(0, 100_000, 1, 1).select(
+        F.lit(0).cast("bigint").alias("part"), digest.alias("digest"), "id")
+    got = exact_dedup.digest_runs(rows, 256, keep == "largest").collect()
+    assert [(r.id, r.copies) for r in got] == [(best, 100_000)]
+
+
+def test_hot_digest_among_others_leaves_a_piece_once(spark):
+    text = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string"))
+    rows = spark.range(0, 120_000, 1, 1).select(
+        F.lit(0).cast("bigint").alias("part"),
+        exact_dedup.digest_of(text).alias("digest"), "id")
+    got = exact_dedup.digest_runs(rows, 256, False).collect()
+    hot = [r for r in got if r.copies > 1]
+    assert sum(r.copies for r in got) == 120_000
+    assert len(got) - len(hot) <= 80_000 and len(hot) <= 80_000 // exact_dedup.RUN_ROWS + 1
+
+
 def test_null_ids_and_repeated_rows(docs):
     rows = [(None, "x"), (5, "x"), (None, "y"), (None, "y"), (7, "z"), (7, "z"), (8, "z")]
     got = exact_dedup.duplicates(docs(rows), "smallest").collect()
