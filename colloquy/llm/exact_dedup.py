@@ -5,9 +5,11 @@ with its smallest identifier and its count. Runs are then exchanged in rounds:
 in round r, runs whose numbers agree from digit r on meet, each bringing the
 entries of one slice of the digest range, and a multiway merge makes one run of
 them. Numbers are to base ``FAN``, so after R rounds each of FAN**R slices is
-one run that has seen every partition. All groups of all rounds are of like size,
-because a digest has at most one entry in each run: a text with any number of
-copies shrinks before it travels.
+one run that has seen every piece. A partition's pieces are runs of their own, each
+of at most 3 * ``RUN_ROWS`` entries, and their numbers are spread over all there are.
+So all groups of all rounds are of like size, whatever the number of partitions; a
+digest has at most one entry in each run: a text with any number of copies shrinks
+before it travels.
 
 Digests are SHA-256 with 64 bits of another hash and the length of the text
 behind; entries are merged only if all of it agrees, at every level.
@@ -33,6 +35,8 @@ from colloquy.session import staged
 FAN = 16
 # Rows that one run holds about, which sets the number of runs.
 RUN_ROWS = 1 << 14
+# Multiples of it, without their whole part, are spread evenly over 0 to 1.
+GOLDEN = (5 ** 0.5 - 1) / 2
 
 RUN_SCHEMA = pa.schema([("run", pa.int64()), ("slice", pa.int64()),
                         ("digest", pa.string()), ("id", pa.int64()),
@@ -80,21 +84,22 @@ def _table(run: int, part: int | None, entries: Iterator[tuple], slices: int) ->
 
 def digest_runs(rows: DataFrame, slices: int, largest: bool) -> DataFrame:
     """Each partition's rows ``(part, digest, id)`` as sorted runs of bounded
-    length, numbered below ``slices``."""
+    length, numbered below ``slices`` by partition and piece."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        run = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            run = batch["part"][0].as_py() % slices
-            held += [(d, i is not None, i or 0, 1) for d, i in zip(
-                batch["digest"].to_pylist(), batch["id"].to_pylist())]
-            if len(held) >= 2 * RUN_ROWS:
-                held = list(_merged([sorted(held)], largest))
-                if len(held) > RUN_ROWS:
-                    yield from _table(run, None, iter(held), slices).to_batches()
-                    held = []
+        run = None
+        for whole in batches:
+            for at in range(0, whole.num_rows, RUN_ROWS):
+                batch = whole.slice(at, RUN_ROWS)
+                if run is None:
+                    run = int(batch["part"][0].as_py() * GOLDEN % 1 * slices)
+                held += [(d, i is not None, i or 0, 1) for d, i in zip(
+                    batch["digest"].to_pylist(), batch["id"].to_pylist())]
+                if len(held) >= 2 * RUN_ROWS:
+                    held = list(_merged([sorted(held)], largest))
+                    if len(held) > RUN_ROWS:
+                        yield from _table(run, None, iter(held), slices).to_batches()
+                        held, run = [], (run + 1) % slices
         if held:
             yield from _table(run, None, _merged([sorted(held)], largest),
                               slices).to_batches()
@@ -104,9 +109,9 @@ def digest_runs(rows: DataFrame, slices: int, largest: bool) -> DataFrame:
 
 def merge_round(runs: DataFrame, round_no: int, slices: int, largest: bool) -> DataFrame:
     """Let the runs that differ in digit ``round_no`` of their number exchange
-    the slices of the digest range, and merge what each slice gets."""
-    wide = FAN ** round_no
-    block = slices // wide
+    the slices of the digest range, and merge what each slice gets. Earlier
+    rounds have taken the digits before it off the number."""
+    block = slices // FAN ** round_no
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         run = key[0].as_py()
@@ -114,11 +119,11 @@ def merge_round(runs: DataFrame, round_no: int, slices: int, largest: bool) -> D
         for number, part, entry in zip(table["run"].to_pylist(),
                                        table["slice"].to_pylist(), _entries(table)):
             parted.setdefault((number, part), []).append(entry)
-        # one run of a partition may have come in several sorted pieces
+        # a run may have come in several sorted pieces
         pieces = [sorted(piece) for piece in parted.values()]
         return _table(run, None, _merged(pieces, largest), slices)
 
-    return (runs.withColumn("_run", (F.col("run") / wide).cast("bigint"))
+    return (runs.withColumn("_run", (F.col("run") / FAN).cast("bigint"))
             .withColumn("_block", (F.col("slice") / block).cast("bigint"))
             .groupBy("_run", "_block").applyInArrow(merge, RUN_DDL))
 

@@ -39,6 +39,26 @@ def test_many_rounds_give_one_entry_per_digest(spark, monkeypatch):
     assert sum(r.copies for r in got) == 500
 
 
+@pytest.mark.parametrize("partitions", [1, 9, 40])
+def test_groups_are_of_like_size_in_all_rounds(spark, monkeypatch, partitions):
+    """A group of any round has about what two runs hold."""
+    monkeypatch.setattr(exact_dedup, "FAN", 4)
+    monkeypatch.setattr(exact_dedup, "RUN_ROWS", 16)
+    slices = 4 ** 4
+    rows = spark.range(0, 2000, 1, partitions).select(
+        F.spark_partition_id().cast("bigint").alias("part"),
+        exact_dedup.digest_of(F.col("id").cast("string")).alias("digest"), "id")
+    runs = exact_dedup.digest_runs(rows, slices, False).localCheckpoint()
+    entries = runs.groupBy("run").count().agg(F.max("count")).first()[0]
+    assert entries <= 2 * 3 * 16  # two runs may have one number
+    for round_no in range(1, 5):
+        runs = exact_dedup.merge_round(runs, round_no, slices, False).localCheckpoint()
+        block = (F.col("slice") / (slices // 4 ** round_no)).cast("bigint")
+        sizes = [r["count"] for r in runs.groupBy("run", block.alias("b")).count().collect()]
+        assert sum(sizes) == 2000 and max(sizes) <= 4 * 16
+        assert len(sizes) >= slices / 4
+
+
 @pytest.mark.parametrize("keep,best", [("smallest", 0), ("largest", 99_999)])
 def test_hot_digest_leaves_a_run_once(spark, keep, best):
     """Ten Arrow batches of one text are one entry."""
