@@ -5,6 +5,8 @@ each rule are counted by host (the ``source`` column), each host's rate is drawn
 towards the common rate by a beta prior fitted to all hosts, and a host whose
 drawn rate of any rule is over ``max_rate`` is rejected with all its documents.
 A small host needs more evidence than a large one, a host like the others none.
+With ``joint`` the rate of documents that fail any rule counts as one more rule, so
+that a host does not pass whose documents fail different rules.
 
 Cases: a null text has no words and fails the base rules; a document without a
 host is judged by the base rules alone; repeated rows count each; an empty table
@@ -13,6 +15,9 @@ gives an empty result; other columns pass through untouched.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.llm.common import NOT_BLANK, let, small_side, text_of, words_of
@@ -95,9 +100,13 @@ def rules() -> dict[str, Column]:
     }
 
 
-def failures(rows: DataFrame) -> DataFrame:
-    """Rows ``(host, <rule> ...)`` from measured rows that name their host."""
-    return rows.select("host", *[c.alias(n) for n, c in rules().items()])
+def failures(rows: DataFrame, joint: bool = False) -> DataFrame:
+    """Rows ``(host, <rule> ...)`` from measured rows that name their host; with
+    ``joint`` also ``any``."""
+    failed = rules()
+    if joint:
+        failed["any"] = reduce(or_, failed.values())
+    return rows.select("host", *[c.alias(n) for n, c in failed.items()])
 
 
 def host_rates(failed: DataFrame) -> DataFrame:
@@ -157,14 +166,14 @@ def quality(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
                     (~base_failed() & F.col("_bad").isNull()).alias("kept")))
 
 
-def keep_good(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns.
+def keep_good(docs: DataFrame, max_rate: float = MAX_RATE, joint: bool = False) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns; ``joint`` as above.
 
     Texts are measured twice, once to count and once to filter, and are neither
     shuffled nor stored.
     """
     rows = measured(docs, F.col("text"), F.col("source")).withColumnRenamed("_keep0", "host")
-    bad = small_side(rejected_hosts(failures(rows), max_rate))
+    bad = small_side(rejected_hosts(failures(rows, joint), max_rate))
     # The row number keeps the filter above the projections: below them, the
     # optimizer would put the split into words inside the loop over windows.
     good = (measured(docs, F.col("text"), F.struct("*"))

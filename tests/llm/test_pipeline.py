@@ -51,6 +51,30 @@ def test_stages_keep_the_columns(spark, docs, tmp_path):
     assert {r.doc_id for r in out.collect()} <= {1, None}
 
 
+def test_host_that_fails_different_rules_goes(spark, docs, tmp_path):
+    """Beside clean hosts one with 45 % symbols, 45 % repeated lines, 10 % good."""
+    def text(i):
+        return " ".join(f"word{i}x{k}" for k in range(40))
+
+    def junk(i):
+        if i % 20 < 9:
+            return text(i) + " # $ % & | < > * # $"
+        if i % 20 < 18:
+            return text(i) + "\nsame\nsame\nsame\nsame"
+        return text(i)
+
+    rows = [(1000 * h + i, text(1000 * h + i), "en", f"clean{h}")
+            for h in range(3) for i in range(100)]
+    rows += [(9000 + i, junk(9000 + i), "en", "bad") for i in range(100)]
+    rows += [(9900, text(9900), "en", None)]
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    left = corpus_pipeline.quality_stage(spark, table, str(tmp_path))
+    assert {r.doc_id for r in left.collect()} == {r[0] for r in rows if r[3] != "bad"}
+    sources = {r.source for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert sources and sources <= {"clean0", "clean1", "clean2", None}
+
+
 def test_empty_table(spark, docs, tmp_path):
     docs([]).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
