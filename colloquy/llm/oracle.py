@@ -142,7 +142,51 @@ select doc_id, len(w)::bigint as n_words, coalesce(lost.n, 0)::bigint as n_remov
 from docs left join kept on kept.r = docs.r left join lost on lost.r = docs.r
 """
 
+COLLOCATIONS = r"""
+with docs as (
+  select coalesce(lang, 'und') as lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz') as text
+  from documents),
+pieces as (
+  select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from docs),
+words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+places as (
+  select lang, w, unnest(range(1, len(w) + 1)) as i from words where len(w) > 0),
+grams as materialized (
+  select lang, s, array_to_string(w[i:i + s - 1], ' ') as p, count(*) as n
+  from places, range(1, 4) as t(s) where i + s - 1 <= len(w) group by all),
+totals as (select lang, sum(n) as total from grams where s = 1 group by lang),
+often as materialized (select * from grams where n >= 10),
+candidates as (
+  select lang, s, p, n as a, string_split(p, ' ') as w from often where s >= 2),
+parted as materialized (
+  select lang, s, p, a, k, array_to_string(w[1:k], ' ') as lp,
+         array_to_string(w[k + 1:s], ' ') as rp
+  from (select *, unnest(range(1, s)) as k from candidates)),
+cuts as (
+  select c.*, l.n as l, r.n as r,
+         (1000000::hugeint * c.a * c.a) // (l.n::hugeint * r.n) as score
+  from parted c join often l on l.lang = c.lang and l.p = c.lp
+       join often r on r.lang = c.lang and r.p = c.rp),
+lowest as (
+  select * from cuts qualify row_number() over (partition by lang, p order by score, k) = 1),
+inner_parts as (
+  select lang, array_to_string(w[i:i + 1], ' ') as p, max(a) as longer
+  from candidates, range(1, 3) as t(i) where s = 3 group by all),
+kept as (
+  select lowest.* from lowest left join inner_parts using (lang, p)
+  where coalesce(100 * longer < 50 * a, true)),
+numbered as (
+  select *, row_number() over (partition by lang order by score desc, a desc, p) as rank
+  from kept)
+select lang, rank, p as phrase, a::bigint as a, l::bigint as l, r::bigint as r,
+       total::bigint as n, score::bigint as score
+from numbered join totals using (lang) where rank <= 2000
+"""
+
 ORACLES = {
+    "op11_collocations": COLLOCATIONS,
     "op7_substring_dedup": SUBSTRING_DEDUP,
     "op5_mixing": MIXING,
     "op6_exact_dedup": EXACT_DEDUP,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import (bpe, chat_format, exact_dedup, language, mixing,
+from colloquy.llm import (bpe, chat_format, collocations, exact_dedup, language, mixing,
                           quality as quality_rules, simhash, substring_dedup,
                           token_counts, toxicity)
 from colloquy.llm.common import documents, text_digest
@@ -72,6 +72,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -83,4 +88,5 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
 }
