@@ -185,7 +185,62 @@ select lang, rank, p as phrase, a::bigint as a, l::bigint as l, r::bigint as r,
 from numbered join totals using (lang) where rank <= 2000
 """
 
+PREFIX_TRIE = """
+with crc_table as materialized (
+  select list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) order by n) as tab
+  from range(256) as t(n)),
+convs as materialized (
+  select conv_id, count(*) as own,
+         xor(list_reduce(list_prepend(4294967295::bigint, list_transform(
+           string_split(conv_id::varchar, ''), lambda d: ascii(d)::bigint)),
+           lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295) % 9 as h
+  from conversations, crc_table where conv_id is not null group by conv_id, tab),
+placed as materialized (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first) as place
+  from conversations where conv_id is not null),
+taking as (
+  select c.conv_id, c.h, c.conv_id - c.conv_id % 5 as base, least(c.h, coalesce(b.own, 0)) as taken
+  from convs c left join convs b on b.conv_id = c.conv_id - c.conv_id % 5),
+turns as materialized (
+  select t.conv_id, place as depth, role, text
+  from taking t join placed p on p.conv_id = t.base where place <= taken
+  union all
+  select t.conv_id, place - h + taken, role, text
+  from taking t join placed p using (conv_id) where place > h),
+paths as materialized (
+  select conv_id, 0::bigint as depth, '' as path, 0::bigint as bytes from convs
+  union all
+  select conv_id, depth, string_agg(sha256(concat(length(role), role, text)), '') over (
+           partition by conv_id order by depth), strlen(text)
+  from turns),
+lengths as (select conv_id, max(depth) as n from paths group by conv_id),
+nodes as materialized (
+  select depth, path, min(p.conv_id) as conv_id, count(*) as n_convs, max(bytes) as bytes,
+         string_agg(p.conv_id::varchar, ',' order by p.conv_id)
+           filter (depth = n) as ends
+  from paths p join lengths using (conv_id) group by depth, path),
+children as (
+  select c.depth - 1 as depth, left(c.path, 64 * (c.depth::int - 1)) as path, count(*) as n
+  from nodes c where c.depth > 0 group by all),
+shaped as materialized (
+  select nodes.*, coalesce(children.n, 0) as n_children
+  from nodes left join children using (depth, path)),
+sums as (
+  select p.depth, p.path, count(*) filter (n_children = 0) as n_leaves,
+         sum((s.n_convs - 1) * s.bytes) as saved
+  from shaped s join paths p on p.conv_id = s.conv_id and p.depth <= s.depth
+  group by all)
+select s.conv_id, s.depth::bigint as depth, u.conv_id as parent_conv_id, s.n_convs,
+       s.n_children::bigint as n_children, n_leaves::bigint as n_leaves,
+       saved::bigint as saved_tokens, sha256(coalesce(s.ends, '')) as ends_sha256
+from shaped s join sums using (depth, path)
+     left join nodes u on u.depth = s.depth - 1 and u.path = left(s.path, 64 * u.depth::int)
+"""
+
 ORACLES = {
+    "op12_prefix_trie": PREFIX_TRIE,
     "op11_collocations": COLLOCATIONS,
     "op7_substring_dedup": SUBSTRING_DEDUP,
     "op5_mixing": MIXING,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.llm import (bpe, chat_format, collocations, exact_dedup, language, mixing,
-                          quality as quality_rules, simhash, substring_dedup,
+                          prefix_trie, quality as quality_rules, simhash, substring_dedup,
                           token_counts, toxicity)
 from colloquy.llm.common import documents, text_digest
 
@@ -77,6 +77,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -89,4 +94,5 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
     "op11_collocations": op11_collocations,
+    "op12_prefix_trie": op12_prefix_trie,
 }
