@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import (bpe, chat_format, collocations, exact_dedup, language, mixing,
-                          prefix_trie, quality as quality_rules, simhash, substring_dedup,
+from colloquy.llm import (bpe, chat_format, collocations, exact_dedup, language, lm_scoring,
+                          mixing, prefix_trie, quality as quality_rules, simhash, substring_dedup,
                           token_counts, toxicity)
 from colloquy.llm.common import documents, text_digest
 
@@ -82,6 +82,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document."""
+    return lm_scoring.lm_scores(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -95,4 +100,5 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_collocations": op11_collocations,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_lm_scoring": op13_lm_scoring,
 }

@@ -26,7 +26,7 @@ def test_sql(spark, con, sf_dir, name):
 def test_registered():
     queries = entry_module.queries()
     assert set(QUERIES) | {"pipeline"} <= set(queries)
-    assert {f"op{n}" for n in range(1, 13)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
 
 
 def test_sql_on_awkward_rows(spark, con, docs, tmp_path):
