@@ -9,6 +9,10 @@ like frequency; the other words share slots by their last letters, each with its
 the slot's counts. Words unknown in training count as one more word with no occurrences.
 With all weights zero but the constant row this is the smoothed frequency of words.
 
+Counts of all words come from an exchange of packed words: a shard deals its words to parts by
+a hash, each part counts its words over all shards and gives every shard its own back
+with their counts and slots.
+
 Training reads every token that may be learned from once. The shards are dealt to
 ``ROUNDS`` rounds. In a round each shard starts from the same tables, takes gradient
 steps over batches of its tokens, and gives back how its rows moved. Moves are summed
@@ -24,12 +28,14 @@ unknown and has chance one; other columns are ignored. One text is a unit of wor
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from colloquy.llm import shards
 from colloquy.session import staged
@@ -40,30 +46,48 @@ END = b"\n"
 SMOOTH = 0.1
 FOLDS, FOLD = 10, 0
 
-CLASSES = 64
-SLOTS = 64
+CLASSES = 32
+SLOTS = 32
 # Rows of each hashed table.
 ROWS = 1 << 14
 # Words with a slot of their own are looked for among this many, of this many bytes.
 COMMON = 4096
 COMMON_BYTES = 128
 # The part of all classes that other words may use, at least.
-OPEN_CLASSES = 16
+OPEN_CLASSES = 12
 LETTERS = 2
 
 ROUNDS = 6
-BATCH = 1 << 14
+BATCH = 1 << 13
 RATE = 0.25
 BLOCK_ROWS = 1 << 11
 MIXER = 0x9E3779B97F4A7C15
 FEATURES = 3
 
-SHARD_DDL = ("shard bigint, word binary, local bigint, n bigint, ids array<bigint>, "
-             "learn array<boolean>, sizes array<bigint>, symbols binary")
+# Words are dealt to this many parts, and to one more for each so many shards.
+PARTS, PART_SHARDS = 64, 16
+SHARD_DDL = ("shard bigint, part int, n bigint, words binary, locals binary, counts binary, "
+             "ids array<bigint>, learn array<boolean>, sizes array<bigint>, symbols binary")
+RETURN_DDL = ("owner bigint, n bigint, locals binary, counts binary, slots binary, "
+              "hashes binary, slot int, mass bigint, different bigint")
 READY_DDL = ("shard bigint, ids array<bigint>, learn array<boolean>, sizes array<bigint>, "
              "symbols binary, counts binary, slots binary, hashes binary, words bigint")
 
 
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(),
+             "array<bigint>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    return pa.schema([(name, kinds[kind]) for name, kind in
+                      (column.split() for column in ddl.split(", "))])
+
+
+SHARD_SCHEMA, RETURN_SCHEMA = _schema(SHARD_DDL), _schema(RETURN_DDL)
+
+
+def names_of(ddl: str) -> list[str]:
+    return [column.split()[0] for column in ddl.split(", ")]
+
+
 # --- model -----------------------------------------------------------------------
 
 
@@ -115,42 +139,49 @@ def rows_of(found: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return first, second
 
 
-def softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Chances of each token's classes or slots."""
-    out = table[rows[0]]
+def weights(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Summed weights of each token's classes or slots."""
+    out = table.take(rows[0], axis=0)
     for row in rows[1:]:
-        out += table[row]
-    out -= out.max(axis=1, keepdims=True)
-    np.exp(out, out=out)
-    out /= out.sum(axis=1, keepdims=True)
-    return out
+        out += table.take(row, axis=0)
+    return np.clip(out, -60, 60, out=out)
 
 
 def log_chances(tables: Tables, found: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """Natural logarithm of the chance of each token's slot."""
     classes = slots // SLOTS
-    first, second = rows_of(found, classes)
     at = np.arange(len(slots))
-    return (np.log(softmax(tables.classes, first)[at, classes].astype(np.float64))
-            + np.log(softmax(tables.slots, second)[at, slots % SLOTS].astype(np.float64)))
+    out = np.zeros(len(slots))
+    for table, rows, target in zip((tables.classes, tables.slots), rows_of(found, classes),
+                                   (classes, slots % SLOTS)):
+        summed = weights(table, rows)
+        out += summed[at, target]
+        out -= np.log(np.exp(summed, out=summed).sum(axis=1))
+    return out
 
 
 def _step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One gradient step for a batch, each row at a rate by what it has seen."""
-    wrong = softmax(table, rows)
-    wrong[np.arange(len(target)), target] -= 1
+    wrong = weights(table, rows)
+    np.exp(wrong, out=wrong)
+    wrong /= wrong.sum(axis=1, keepdims=True)
     size = len(target)
+    wrong[np.arange(size), target] -= 1
     place = max(size - 1, 0).bit_length()
     for kind in rows:
-        packed = (kind << place) | np.arange(size)
-        packed.sort()
-        order = packed & ((1 << place) - 1)
-        kind = packed >> place
-        starts = np.flatnonzero(np.diff(kind, prepend=-1))
-        slope = np.add.reduceat(wrong[order], starts, axis=0)
-        used = kind[starts]
+        if kind[0] == kind[-1] and (kind == kind[0]).all():
+            used, slope = kind[:1], wrong.sum(axis=0, keepdims=True)
+        else:
+            packed = (kind << place) | np.arange(size)
+            packed.sort()
+            kind = packed >> place
+            starts = np.flatnonzero(np.diff(kind, prepend=-1))
+            slope = np.add.reduceat(
+                wrong.take(packed & ((1 << place) - 1), axis=0), starts, axis=0)
+            used = kind[starts]
         seen[used] += np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
-        table[used] -= (RATE / np.sqrt(seen[used]))[:, None] * slope
+        slope *= (RATE / np.sqrt(seen[used]))[:, None]
+        table[used] -= slope
 
 
 def train_shard(tables: Tables, found: np.ndarray, slots: np.ndarray) -> None:
@@ -167,41 +198,51 @@ def train_shard(tables: Tables, found: np.ndarray, slots: np.ndarray) -> None:
 # --- shards ----------------------------------------------------------------------
 
 
-def word_shards(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Shards of texts: a row of symbols for each, and a row for each of its words with
-    its count in texts to learn from."""
+def word_shards(docs: DataFrame, parts: int, text: str = "text",
+                doc_id: str = "doc_id") -> DataFrame:
+    """Shards of texts: a row of symbols for each, and a row for each part that some of
+    its words belong to, with their counts in texts to learn from."""
     table = shards.kinds(BLANKS)
     learn = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS != FOLD, F.lit(True))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), learn.alias("learn"),
                        F.col(text).alias("text"))
-    names = [c.split()[0] for c in SHARD_DDL.split(", ")]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        first = TaskContext.get().partitionId() << 32
         for number, block in enumerate(shards.blocks(batches, "text")):
             data, begin = shards.joined(block["text"])
-            words, codes, starts, _ = shards.tokenized(data, table)
+            known, codes, starts, _ = shards.tokenized(data, table)
             # the end of each text has the number after all words
             stops = np.searchsorted(starts, np.append(begin[1:], len(data)))
-            symbols = np.insert(codes.astype(np.int32), stops, len(words))
+            symbols = np.insert(codes.astype(np.int32), stops, len(known))
             sizes = np.diff(stops, prepend=0) + 1
             may = block["learn"].combine_chunks().to_numpy(zero_copy_only=False)
-            counts = np.bincount(symbols[np.repeat(may, sizes)], minlength=len(words) + 1)
-            used = len(words) + 1
+            words = known.to_pylist() + [END]
+            counts = np.bincount(symbols[np.repeat(may, sizes)], minlength=len(words))
+            part = np.array([xxhash.xxh64_intdigest(w) % parts for w in words])
+            order = np.argsort(part, kind="stable")
+            out = [dict(shard=first + number, n=len(symbols), ids=block["id"].to_pylist(),
+                        learn=may, sizes=sizes, symbols=shards.pack(symbols))]
+            for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                out.append(dict(
+                    shard=first + number, part=int(part[own[0]]), n=len(own),
+                    words=packed_words([words[i] for i in own]),
+                    locals=shards.pack(own.astype(np.int32)),
+                    counts=shards.pack(counts[own].astype(np.int64))))
+            yield from pa.Table.from_pylist(out, SHARD_SCHEMA).to_batches()
 
-            def lists(values: pa.Array) -> pa.Array:
-                ends = pa.array([None] * used + [0, len(values)], pa.int32())
-                return pa.ListArray.from_arrays(ends, values)
+    return rows.mapInArrow(make, SHARD_DDL)
 
-            yield pa.RecordBatch.from_arrays([
-                pa.array([(part << 32) + number] * (used + 1), pa.int64()),
-                pa.concat_arrays([words, pa.array([END, None], pa.binary())]),
-                pa.array(np.arange(used + 1)), pa.array(np.append(counts, len(symbols))),
-                lists(block["id"].combine_chunks()), lists(block["learn"].combine_chunks()),
-                lists(pa.array(sizes)),
-                pa.array([None] * used + [shards.pack(symbols)], pa.binary())], names)
 
-    return rows.mapInArrow(make, SHARD_DDL)
+def packed_words(words: list[bytes]) -> bytes:
+    """Words, none of which has a blank but the end of texts, one after another."""
+    data = b" ".join(words)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], size, "zstd", asbytes=True).split(b" ")
 
 
 def common_slots(common: list[tuple[bytes, int]], total: int) -> dict[bytes, int]:
@@ -219,62 +260,110 @@ def common_slots(common: list[tuple[bytes, int]], total: int) -> dict[bytes, int
     return out
 
 
-def open_slots(words: DataFrame, first: int) -> Column:
+def open_slot(word: bytes, first: int) -> int:
     """The slot of a word without one of its own: the class by its last letters, the slot
-    by one letter more and its length."""
-    size = F.octet_length("word")
-    tail = lambda n: F.substring(
-        "word", F.greatest(size - (n - 1), F.lit(1)), F.lit(n))
-    number = F.pmod(F.xxhash64(tail(LETTERS)), F.lit(CLASSES - first)) + first
-    inside = F.pmod(F.xxhash64(tail(LETTERS + 1), F.least(size, F.lit(12))), F.lit(SLOTS))
-    return (number * SLOTS + inside).cast("int")
-
-
-def lexicon(words: DataFrame) -> tuple[DataFrame, dict]:
-    """Words with counts and slots ``(word, c, slot)``, and what is known of all words:
-    ``total``, ``different`` and ``masses``, smoothed counts by slot."""
-    counted = staged(words.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"),
-                     "word-counts")
-    row = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
-                      F.count(F.lit(1)).alias("v")).first()
-    common = [(bytes(r["word"]), r["c"]) for r in
-              counted.filter(F.octet_length("word") <= COMMON_BYTES)
+    by one letter more and its length. Classes from ``first`` on are open."""
+    number = first + zlib.crc32(word[-LETTERS:]) % (CLASSES - first)
+    return number * SLOTS + zlib.crc32(word[-LETTERS - 1:], min(len(word), 12)) % SLOTS
+
+
+def _counted(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of a part, their counts over all shards, and the number of
+    each word that shards have sent, in turn."""
+    sent = [w for data in table["words"].to_pylist() for w in unpacked_words(data)]
+    coded = pa.array(sent, pa.binary()).dictionary_encode()
+    codes = coded.indices.to_numpy()
+    counts = np.concatenate([shards.unpack(c, np.int64, n) for c, n in zip(
+        table["counts"].to_pylist(), table["n"].to_pylist())])
+    total = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(total, codes, counts)
+    return coded.dictionary.to_pylist(), total, codes
+
+
+def common_words(dealt: DataFrame) -> tuple[list[tuple[bytes, int]], int, int]:
+    """The most frequent words with their counts, and how many words there are in texts
+    to learn from, repeated and different ones."""
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        words, total, _ = _counted(table)
+        short = np.array([len(w) <= COMMON_BYTES for w in words])
+        may = np.flatnonzero(short & (total > 0))
+        best = may[np.argsort(-total[may], kind="stable")]
+        if len(best) > COMMON:  # words as frequent as the last one stay in
+            best = best[:int(np.searchsorted(-total[best], -total[best[COMMON - 1]], "right"))]
+        rows = [dict(word=words[i], c=int(total[i])) for i in best]
+        rows.append(dict(c=int(total.sum()), different=int((total > 0).sum())))
+        return pa.Table.from_pylist(rows, pa.schema(
+            [("word", pa.binary()), ("c", pa.int64()), ("different", pa.int64())]))
+
+    found = staged(dealt.select("part", "n", "words", "counts").groupBy("part").applyInArrow(
+        work, "word binary, c bigint, different bigint"), "lm-common")
+    row = found.filter("word is null").agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum("different"), F.lit(0)).alias("v")).first()
+    common = [(bytes(r["word"]), r["c"]) for r in found.filter("word is not null")
               .orderBy(F.col("c").desc(), "word").limit(COMMON).collect()]
-    own = common_slots(common, row["n"])
+    return common, row["n"], row["v"]
+
+
+def returned_words(dealt: DataFrame, own: dict[bytes, int]) -> DataFrame:
+    """For each shard and part its words with counts, slots and hashes; and for each part
+    and slot the counts of its words."""
     first = max(own.values(), default=-1) // SLOTS + 1
-    known = words.sparkSession.createDataFrame(
-        [(bytearray(w), s) for w, s in own.items()], "word binary, own int")
-    listed = (counted.join(F.broadcast(known), "word", "left")
-              .withColumn("slot", F.coalesce("own", open_slots(counted, first))).drop("own"))
-    masses = np.zeros(CLASSES * SLOTS)
-    for r in listed.groupBy("slot").agg(F.sum(F.col("c") + F.lit(SMOOTH)).alias("m")).collect():
-        masses[r["slot"]] = r["m"]
-    masses[-1] += SMOOTH  # unknown words
-    return listed, {"total": row["n"], "different": row["v"],
-                    "masses": masses.reshape(CLASSES, SLOTS)}
-
-
-def ready_shards(texts: DataFrame, words: DataFrame, listed: DataFrame) -> DataFrame:
+
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        words, total, codes = _counted(table)
+        slots = np.array([own[w] if w in own else open_slot(w, first) for w in words], np.int32)
+        slots[total == 0] = CLASSES * SLOTS - 1
+        hashes = np.array([xxhash.xxh64_intdigest(w, 1) for w in words], np.uint64)
+        ends = np.cumsum(table["n"].to_numpy())
+        rows = []
+        for shard, locals_, a, b in zip(table["shard"].to_pylist(), table["locals"].to_pylist(),
+                                        np.append(0, ends), ends):
+            at = codes[a:b]
+            rows.append(dict(owner=shard, n=int(b - a), locals=locals_,
+                             counts=shards.pack(total[at]), slots=shards.pack(slots[at]),
+                             hashes=shards.pack(hashes[at])))
+        known = total > 0
+        masses = np.zeros(CLASSES * SLOTS, np.int64)
+        np.add.at(masses, slots[known], total[known])
+        different = np.bincount(slots[known], minlength=len(masses))
+        rows += [dict(slot=int(s), mass=int(masses[s]), different=int(different[s]))
+                 for s in np.flatnonzero(different)]
+        return pa.Table.from_pylist(rows, RETURN_SCHEMA)
+
+    return dealt.select("shard", "part", "n", "words", "locals", "counts").groupBy(
+        "part").applyInArrow(work, RETURN_DDL)
+
+
+def slot_masses(returned: DataFrame) -> np.ndarray:
+    """Smoothed counts of classes and slots."""
+    out = np.zeros(CLASSES * SLOTS)
+    for r in (returned.filter("slot is not null").groupBy("slot")
+              .agg(F.sum("mass").alias("c"), F.sum("different").alias("v")).collect()):
+        out[r["slot"]] = r["c"] + SMOOTH * r["v"]
+    out[-1] += SMOOTH  # unknown words
+    return out.reshape(CLASSES, SLOTS)
+
+
+def ready_shards(texts: DataFrame, returned: DataFrame) -> DataFrame:
     """Shards with count, slot and hash of each of their words."""
-    numbered = (words.join(listed, "word", "left")
-                .select(F.col("shard").alias("owner"), "local", F.coalesce("c", F.lit(0)).alias("c"),
-                        F.coalesce("slot", F.lit(CLASSES * SLOTS - 1)).alias("slot"),
-                        F.xxhash64("word").alias("hash")))
-    names = [c.split()[0] for c in READY_DDL.split(", ")]
+    kinds = {"counts": np.int64, "slots": np.int32, "hashes": np.uint64}
 
     def make(key: tuple, text: pa.Table, words: pa.Table) -> pa.Table:
-        if not text.num_rows:
-            return pa.Table.from_pylist([], text.schema)
-        order = np.argsort(words["local"].to_numpy())
-        columns = [shards.pack(words[name].to_numpy()[order].astype(kind)) for name, kind in
-                   (("c", np.int64), ("slot", np.int32), ("hash", np.int64))]
         made = {n: text[n] for n in ("shard", "ids", "learn", "sizes", "symbols")}
-        made |= {n: pa.array([c], pa.binary()) for n, c in
-                 zip(("counts", "slots", "hashes"), columns)}
-        made["words"] = pa.array([len(order)], pa.int64())
-        return pa.table({n: made[n] for n in names})
-
-    return (texts.groupBy("shard").cogroup(numbered.groupBy("owner"))
+        sizes = words["n"].to_pylist()
+        places = np.concatenate([shards.unpack(data, np.int32, n) for data, n in
+                                 zip(words["locals"].to_pylist(), sizes)])
+        for name, kind in kinds.items():
+            column = np.empty(len(places), kind)
+            column[places] = np.concatenate([shards.unpack(data, kind, n) for data, n in
+                                             zip(words[name].to_pylist(), sizes)])
+            made[name] = pa.array([shards.pack(column)], pa.binary())
+        made["words"] = pa.array([len(places)], pa.int64())
+        return pa.table({n: made[n] for n in names_of(READY_DDL)})
+
+    words = returned.filter("owner is not null").drop("slot", "mass", "different")
+    return (texts.groupBy("shard").cogroup(words.groupBy("owner"))
             .applyInArrow(make, READY_DDL))
 
 
@@ -287,7 +376,7 @@ def opened(batch: pa.RecordBatch, at: int) -> tuple:
     read = lambda n, kind: shards.unpack(batch[n][at].as_py(), kind, used)
     symbols = shards.unpack(batch["symbols"][at].as_py(), np.int32, int(sizes.sum()))
     return (row["ids"].values, np.asarray(row["learn"].values), sizes, symbols,
-            read("counts", np.int64), read("slots", np.int32), read("hashes", np.int64))
+            read("counts", np.int64), read("slots", np.int32), read("hashes", np.uint64))
 
 
 # --- training and scoring --------------------------------------------------------
@@ -318,7 +407,7 @@ def train_round(ready: DataFrame, tables: Tables) -> None:
                 _, learn, sizes, symbols, _, slots, hashes = opened(batch, at)
                 kept = np.repeat(learn, sizes)
                 begin = np.cumsum(sizes) - sizes
-                found = features(hashes[symbols].view(np.uint64), begin)[:, kept]
+                found = features(hashes[symbols], begin)[:, kept]
                 if not found.shape[1]:
                     continue
                 start = start or _tables(shared)
@@ -382,7 +471,7 @@ def scored(ready: DataFrame, tables: Tables, total: int, different: int) -> Data
             for at in range(batch.num_rows):
                 ids, _, sizes, symbols, counts, slots, hashes = opened(batch, at)
                 begin = np.cumsum(sizes) - sizes
-                found = features(hashes[symbols].view(np.uint64), begin)
+                found = features(hashes[symbols], begin)
                 shares = np.log((counts + SMOOTH) / known.masses.ravel()[slots])
                 bases = np.log10((counts + SMOOTH) / room)
                 chances = shares[symbols]
@@ -405,18 +494,20 @@ def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
               rounds: int = ROUNDS) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score``."""
-    made = staged(word_shards(docs, text, doc_id), "lm-shards")
-    words = made.filter("symbols is null").select("shard", "word", "local", "n")
-    texts = made.filter("symbols is not null").select(
-        "shard", "ids", "learn", "sizes", "symbols")
-    listed, known = lexicon(words)
-    ready = staged(ready_shards(texts, words, listed), "lm-ready")
-    tables = Tables(known["masses"])
-    if known["total"]:
+    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    parts = PARTS + size // (shards.SHARD_BYTES * PART_SHARDS)
+    made = staged(word_shards(docs, parts, text, doc_id), "lm-shards")
+    dealt = made.filter("part is not null")
+    texts = made.filter("part is null").select("shard", "ids", "learn", "sizes", "symbols")
+    common, total, different = common_words(dealt)
+    returned = staged(returned_words(dealt, common_slots(common, total)), "lm-words")
+    ready = staged(ready_shards(texts, returned), "lm-ready")
+    tables = Tables(slot_masses(returned))
+    if total:
         for number in range(rounds):
             train_round(ready.filter(F.pmod(F.xxhash64("shard"), F.lit(rounds)) == number),
                         tables)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == FOLD, F.lit(False))
-    return scored(ready, tables, known["total"], known["different"]).select(
+    return scored(ready, tables, total, different).select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known",
-        F.lit(known["total"]).cast("bigint").alias("train_tokens"), "base_score", "score")
+        F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
