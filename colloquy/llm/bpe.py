@@ -7,8 +7,10 @@ of its symbols has changed since, and is skipped. Decoding puts the vocabulary's
 byte strings one after another.
 
 The vocabulary file is read once by each Python worker; its path is a parameter,
-and every worker must be able to read it. Pieces seen before are looked up: two
-tables of bounded size hold the last ones.
+and every worker must be able to read it. Texts are cut into chunks at blanks, and long
+chunks into pieces; a batch of texts encodes each of its different chunks once, and
+puts ids and decoded bytes of texts together by the numbers of their chunks. Chunks
+and pieces seen before are looked up: two tables of bounded size hold the last ones.
 
 Cases: a null text counts as empty and has no tokens; ids that are null decode to the
 empty text; bytes that are no UTF-8 become replacement characters; repeated
@@ -32,6 +34,10 @@ from pyspark.sql import DataFrame, functions as F
 # Fixed value: the pattern that this kind of vocabulary was made with.
 PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
           r"|\s+(?!\S)|\s+")
+# Marks a chunk that is a special token.
+SPECIAL = "\x00"
+UNEVEN = re.compile(r" (?:\s|$)")
+FIRM = re.compile(r" (?=\S)")
 CACHE_PIECES = 150_000
 CACHE_PIECE_CHARS = 64
 # Rows and bytes of text that are passed on at once.
@@ -74,6 +80,7 @@ class Codec:
             self.merges[vocabulary[left], vocabulary[right]] = (
                 rank, vocabulary[left + right])
         self.pieces = regex.compile(PIECES)
+        self.piece_ids: dict[str, list[int]] = {}
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
@@ -111,58 +118,94 @@ class Codec:
                     heapq.heappush(queue, (found[0], earlier, ids[earlier], new, found[1]))
         return [i for i in ids if i >= 0]
 
-    def _remember(self, key: str, ids: tuple) -> None:
+    def _remember(self, key: str, known: tuple) -> None:
         if len(key) > CACHE_PIECE_CHARS:
             return
         if len(self.young) >= CACHE_PIECES:
             self.old, self.young = self.young, {}
-        self.young[key] = ids
+        self.young[key] = known
 
-    def _chunk(self, chunk: str) -> tuple:
-        """The ids of a part of a text that begins and ends between pieces."""
-        known = self.old.get(chunk)
+    def _known(self, ids: list[int]) -> tuple[np.ndarray, bytes]:
+        strings = self.strings
+        return np.array(ids, np.int32), b"".join([strings[i] for i in ids])
+
+    def chunk(self, chunk: str) -> tuple[np.ndarray, bytes]:
+        """Ids and bytes of a part of a text that begins and ends between pieces."""
+        known = self.young.get(chunk) or self.old.get(chunk)
         if known is None:
-            known = ()
-            pieces = self.pieces.findall(chunk)
-            for piece in pieces:
-                ids = self.young.get(piece) or self.old.get(piece)
-                if ids is None:
-                    ids = tuple(self.merged(piece.encode()))
-                    if len(pieces) > 1:
-                        self._remember(piece, ids)
-                known = known + ids if known else ids
+            ids: list[int] = []
+            for piece in self.pieces.findall(chunk):
+                found = self.piece_ids.get(piece)
+                if found is None:
+                    found = self.merged(piece.encode())
+                    if len(piece) <= CACHE_PIECE_CHARS:
+                        if len(self.piece_ids) >= CACHE_PIECES:
+                            self.piece_ids = {}
+                        self.piece_ids[piece] = found
+                ids.extend(found)
+            known = self._known(ids)
         self._remember(chunk, known)
         return known
 
-    def _plain(self, text: str) -> Iterator[tuple]:
+    def _plain(self, text: str) -> list[str]:
+        """The chunks of a text without special tokens."""
         # A blank before anything but white space begins a piece, whatever stands
         # before it, so the text can be cut there.
-        if re.search(r" (?:\s|$)", text):
-            chunks = re.split(r" (?=\S)", text)
+        if UNEVEN.search(text):
+            chunks = FIRM.split(text)
         else:
             chunks = text.split(" ")
-        if chunks[0]:
-            yield self.young.get(chunks[0]) or self._chunk(chunks[0])
-        young = self.young.get
-        for chunk in chunks[1:]:
-            chunk = " " + chunk
-            yield young(chunk) or self._chunk(chunk)
-            if self.young.get is not young:
-                young = self.young.get
+        first = chunks[0]
+        chunks = [" " + c for c in chunks]
+        chunks[0] = first
+        return chunks if first else chunks[1:]
 
-    def encode(self, text: str | None) -> list[int]:
+    def chunks(self, text: str | None) -> list[str]:
+        """The parts of a text that are encoded one by one. Special tokens are parts of
+        their own."""
         if not text:
             return []
         if self.special_pattern is None or not self.special_pattern.search(text):
-            return list(chain.from_iterable(self._plain(text)))
-        out: list[int] = []
+            return self._plain(text)
+        out: list[str] = []
         for part in self.special_pattern.split(text):
             if part in self.specials:
-                out.append(self.specials[part])
+                out.append(SPECIAL + part)
             elif part:
-                out.extend(chain.from_iterable(self._plain(part)))
+                out.extend(self._plain(part))
         return out
 
+    def coded(self, chunk: str) -> tuple[np.ndarray, bytes]:
+        if chunk.startswith(SPECIAL) and chunk[1:] in self.specials:
+            return self._known([self.specials[chunk[1:]]])
+        return self.chunk(chunk)
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Ids of some texts one after another, the number of each text, and the bytes
+        that each decodes to."""
+        numbers: dict[str, int] = {}
+        number = numbers.setdefault
+        parts, ends = [], []
+        for text in texts:
+            chunks = self.chunks(text)
+            parts.append([number(c, len(numbers)) for c in chunks])
+            ends.append(len(chunks))
+        known = [self.coded(c) for c in numbers]
+        sizes = np.array([len(k[0]) for k in known], np.int64)
+        order = np.fromiter(chain.from_iterable(parts), np.int64, sum(ends))
+        taken = sizes[order]
+        starts = np.concatenate([[0], np.cumsum(sizes)])[order] if len(known) else order
+        # ids of chunk n lie together from starts[n] on
+        into = np.repeat(starts - (np.cumsum(taken) - taken), taken)
+        flat = np.concatenate([k[0] for k in known]) if known else np.empty(0, np.int32)
+        ids = flat[into + np.arange(len(into))]
+        counts = np.concatenate([[0], np.cumsum(taken)])[np.cumsum([0, *ends])]
+        strings = [k[1] for k in known]
+        return ids, np.diff(counts), [b"".join([strings[n] for n in part]) for part in parts]
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_all([text])[0].tolist()
+
     def decode(self, ids) -> str:
         strings = self.strings
         return b"".join([strings[i] for i in ids]).decode("utf-8", "replace")
@@ -197,18 +240,13 @@ def encode(docs: DataFrame, vocabulary: str, *keep: str, text: str = "text",
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(vocabulary)
         for batch in (part for whole in batches for part in _slices(whole, "_text")):
-            found, texts = [], []
-            for value in batch["_text"].to_pylist():
-                ids = known.encode(value)
-                found.append(np.array(ids, np.int32))
-                if decoded:
-                    texts.append(known.decode(ids))
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(
-                pa.array(ends), pa.array(np.concatenate(found)))
+            ids, counts, texts = known.encode_all(batch["_text"].to_pylist())
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
             arrays = [*[batch[name] for name in keep], lists]
             yield pa.RecordBatch.from_arrays(
-                arrays + [pa.array(texts, pa.string())] * decoded,
+                arrays + ([pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())]
+                          if decoded else []),
                 [*keep, "ids"] + ["decoded"] * decoded)
 
     return rows.mapInArrow(make, ddl)

@@ -1,3 +1,5 @@
+import time
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -30,7 +32,26 @@ def test_cache_is_bounded(monkeypatch):
     known = bpe.Codec(PATH)
     text = " ".join(f"word{i}" for i in range(300))
     assert known.decode(known.encode(text)) == text
-    assert len(known.young) <= 10 and len(known.old) <= 10
+    assert len(known.young) <= 10 and len(known.old) <= 10 and len(known.piece_ids) <= 10
+
+
+@pytest.mark.parametrize("between", ["\n", "\t", "", "\n\n", "."])
+def test_time_is_linear_without_blanks(library, between):
+    """Also where nothing but line feeds, or nothing at all, divides the words."""
+    def text(n):
+        letters = "一丁七万三上下不与" if not between else "abcdefghi"
+        return between.join("".join(letters[(i * k) % 9] for k in (1, 2, 5)) for i in range(n))
+
+    def spent(n):
+        known, whole = bpe.Codec(PATH), text(n)
+        start = time.process_time()
+        ids = known.encode(whole)
+        return time.process_time() - start, ids, whole
+
+    few, _, _ = spent(20_000)
+    many, ids, whole = spent(200_000)
+    assert many < 30 * few + 1
+    assert ids == library.encode(whole, add_special_tokens=False).ids
 
 
 def test_parts_of_characters_are_replaced(library):
