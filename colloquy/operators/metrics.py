@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.functions import scores
+from colloquy.operators.ranking import ranked
 
 METRICS = ("loss", "acc", "ppl")
 HISTORY = ("epoch", *[f"{s}_{m}" for s in ("train", "valid") for m in METRICS])
@@ -66,11 +67,20 @@ def whole_steps(steps: DataFrame, world_size: int) -> DataFrame:
     """Number each rank's steps within its epoch and split, and leave out the last
     ones that some rank has not reached."""
     group = ["run_id", "epoch", "split"]
-    numbered = steps.withColumn("step", F.row_number().over(
-        Window.partitionBy(*group, "rank").orderBy("step")).cast("bigint") - 1)
-    ranks = F.count(F.lit(1)).over(Window.partitionBy(*group, "step"))
-    return (numbered.withColumn("_ranks", ranks)
-            .where(F.col("_ranks") == world_size).drop("_ranks"))
+    numbered = ranked(steps, [*group, "rank"], [F.col("step")], "_number")
+    ranks = F.count(F.lit(1)).over(Window.partitionBy(*group, "_number"))
+    return (numbered.withColumn("_ranks", ranks).where(F.col("_ranks") == world_size)
+            .withColumn("step", F.col("_number")).drop("_ranks", "_number"))
+
+
+def dealt_steps(steps: DataFrame, world_size: int) -> DataFrame:
+    """Deal the reports of each run, epoch and split to the ranks in turn, in the order
+    of ``step``: report n goes to rank ``n % world_size`` as its step
+    ``n // world_size``. Only the last step of an epoch can lack ranks."""
+    numbered = ranked(steps.drop("rank"), ["run_id", "epoch", "split"], [F.col("step")],
+                      "_number")
+    return (numbered.withColumn("rank", (F.col("_number") % world_size).cast("int"))
+            .withColumn("step", F.floor(F.col("_number") / world_size)).drop("_number"))
 
 
 def history(steps: DataFrame) -> DataFrame:

@@ -10,6 +10,11 @@ from colloquy.session import durable
 BROADCAST_PARTS = 100_000
 
 
+def small_side(df: DataFrame, rows: int = BROADCAST_PARTS) -> DataFrame:
+    """``df`` marked for broadcast if it has no more than ``rows`` rows of small values."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 # Longest sequence that is spelled out within one row.
 BLOCK = 4096
 

@@ -483,9 +483,10 @@ ORACLES: dict[str, str] = {
           round(case when isinf(ppl) then 1e30 else ppl end, 6) as ppl from good""",
     "rank_mean": _with(STEPS) + """
         , numbered as (select run_id, epoch, split, loss, acc, row_number() over (
-              partition by run_id, epoch, split, rank order by step) - 1 as step from good)
-        select run_id, epoch, split, step, round(sum(loss) / 4, 9) as loss,
-          round(sum(acc) / 4, 9) as acc from numbered group by all having count(*) = 4""",
+              partition by run_id, epoch, split order by step) - 1 as number from good)
+        select run_id, epoch, split, number // 4 as step,
+          round(sum(loss) / count(*), 9) as loss, round(sum(acc) / count(*), 9) as acc
+        from numbered group by all""",
     "best_epoch": _STOP + """
         select run_id, max(epoch) as best_epoch,
           round(arg_max(valid_loss, epoch), 6) as best_valid_loss

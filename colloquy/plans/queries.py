@@ -588,11 +588,11 @@ def inf_clamp(spark, sf_dir):
 
 @query
 def rank_mean(spark, sf_dir):
-    """Four ranks; a step is the same number of reports by each of them."""
-    rows = M.whole_steps(_trained(spark, sf_dir), 4)
+    """Four ranks that take reports in turn; a last step may have fewer reports."""
+    rows = M.dealt_steps(_trained(spark, sf_dir), 4)
     # means of few hundredths often end in a 5 at the seventh place, where
     # engines round differently: compare such means at the ninth
-    return M.rank_mean(rows, 4).select(
+    return M.rank_mean(rows, 4, partial=True).select(
         "run_id", "epoch", "split", "step",
         F.round("loss", 9).alias("loss"), F.round("acc", 9).alias("acc"))
 

@@ -14,21 +14,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from colloquy.functions.text import file_stem, split_of_path, strip
-from colloquy.operators.ranking import ranked
+from colloquy.operators.ranking import ranked, small_side
+from colloquy.sources import json_ranges
 
 Reader = Callable[[SparkSession, str], DataFrame]
 
 PIECE = "conv_id bigint, first_turn bigint"
 BROKEN = "_corrupt_record"
 JSONL_SCHEMA = f"dialogue array<struct<text string>>, {PIECE}, {BROKEN} string"
-NESTED_SCHEMA = ", ".join(
-    f"{s} array<struct<utterances array<struct<"
-    f"history array<string>, candidates array<string>>>, {PIECE}>>"
-    for s in ("train", "valid")) + f", {BROKEN} string"
-MAP_SCHEMA = f"map<string, struct<content array<struct<message string>>, {PIECE}>>"
+NESTED_DIALOG = ("utterances array<struct<history array<string>, candidates array<string>>>, "
+                 + PIECE)
+MAP_DIALOG = f"content array<struct<message string>>, {PIECE}"
+# A JSON string, and what may stand before a dialogue of either layout.
+STRING = r'"(?:[^"\\]|\\.)*"'
+NEXT = r"^\s*,\s*$"
+LIST_OF = rf"({STRING})\s*:\s*\[\s*$"
+ENTRY = rf"^\s*([{{,])\s*({STRING})\s*:\s*$"
 
 
 def _split() -> Column:
@@ -64,34 +68,56 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
         F.col("dialogue.text"), fine, "a line without a dialogue").alias("utterances")))
 
 
+def _parsed(body: Column, schema: str) -> Column:
+    """A dialogue's object; one that cannot be parsed fails the read."""
+    return F.from_json(body, schema, {"mode": "FAILFAST"})
+
+
 def read_nested_json(spark: SparkSession, path: str) -> DataFrame:
     """Documents ``{train: [...], valid: [...]}``. A dialogue is the last entry
     of ``utterances``: its history and the last candidate. There is no test
     data in this layout; the validation dialogues serve as test as well, under
     ids of their own below zero where ids are given.
 
-    A document is parsed by one task; cut large corpora into several files.
+    A document is read by as many tasks as it has ranges (:mod:`json_ranges`).
     """
-    docs = (spark.read.schema(NESTED_SCHEMA).option("multiLine", True)
-            .option("columnNameOfCorruptRecord", BROKEN).json(path)
-            .select("*", F.col("_metadata.file_path").alias("_file")))
-    whole = F.col(BROKEN).isNull() & F.col("train").isNotNull() & F.col("valid").isNotNull()
-    parts = F.array(*[F.struct(F.lit(name).alias("split"), _needed(
-        F.col(source), whole, "no document of dialogues").alias("dialogs"))
-        for name, source in (("train", "train"), ("valid", "valid"), ("test", "valid"))])
+    found = json_ranges.objects(spark, path, 3).withColumnRenamed("file", "_file")
+    name = F.regexp_extract("head", LIST_OF, 1)
+    # objects that follow one another in a list share the name before the first
+    lists = (found.where(~F.col("head").rlike(NEXT))
+             .select("_file", F.col("number").alias("first"), "head", "body", name.alias("name")))
+    lists = lists.withColumn("to", F.lead("first", default=1 << 62).over(
+        Window.partitionBy("_file").orderBy("first")))
+    heads = found.groupBy("_file").agg(*[
+        F.max(F.col("head").rlike(rf'[{{,]\s*"{n}"\s*:\s*\[')).alias(n)
+        for n in ("train", "valid")])
+    whole = heads.select("_file", _needed(
+        F.lit(True), F.col("train") & F.col("valid"), "no document of dialogues").alias("fine"))
+    lists = lists.join(whole, "_file").where("fine")
+    inside = (found.where("body <> ''").alias("o").join(small_side(lists).alias("l"), (
+        F.col("o._file") == F.col("l._file")) & (F.col("number") >= F.col("first"))
+        & (F.col("number") < F.col("to")))
+        .select("o._file", "number", "o.head", "o.body", "name"))
+    split_names = F.when(F.col("name") == '"train"', F.array(F.lit("train"))).when(
+        F.col("name") == '"valid"', F.array(F.lit("valid"), F.lit("test")))
     last = F.try_element_at("dialog.utterances", F.lit(-1))
     reply = F.try_element_at(F.col("last.candidates"), F.lit(-1))
     fine = F.col("last.history").isNotNull() & reply.isNotNull()
     own_id = F.when(F.col("split") == "test", -1 - F.col("dialog.conv_id")).otherwise(
         F.col("dialog.conv_id"))
+    # what other rows hold is not looked at, wherever the optimizer puts the checks
+    used = (F.col("body") != "") & F.col("name").isin('"train"', '"valid"')
+    divided = F.trim("head") != ""
     return _as_turns(
-        docs.select("_file", F.inline(parts))
-        .select("_file", "split", F.explode("dialogs").alias("dialog"))
-        .select("_file", "split", own_id.alias("conv_id"), "dialog.first_turn",
+        inside.select("_file", F.explode(split_names).alias("split"), used.alias("used"),
+                      F.when(used, _parsed(_needed(
+                          F.col("body"), divided, "dialogues without a comma between them"),
+                          NESTED_DIALOG)).alias("dialog"))
+        .select("_file", "split", "used", own_id.alias("conv_id"), "dialog.first_turn",
                 last.alias("last"))
-        .select("split", "conv_id", "first_turn", _needed(
+        .select("split", "conv_id", "first_turn", F.when(F.col("used"), _needed(
             F.concat("last.history", F.array(reply)), fine,
-            "a dialogue without history or candidates").alias("utterances")))
+            "a dialogue without history or candidates")).alias("utterances")))
 
 
 def read_map_json(spark: SparkSession, path: str) -> DataFrame:
@@ -100,18 +126,26 @@ def read_map_json(spark: SparkSession, path: str) -> DataFrame:
     an id, the frequent one wins. Dialogues without an id of their own are numbered
     by split and key, so the numbers are the same in each read.
 
-    A document is parsed by one task; cut large corpora into several files.
+    A document is read by as many tasks as it has ranges (:mod:`json_ranges`).
     """
-    docs = spark.read.text(path, wholetext=True).select(
-        "value", F.col("_metadata.file_path").alias("_file"), _split())
-    dialogs = (docs
-               .select("_file", "split", F.explode(F.from_json(
-                   "value", MAP_SCHEMA, {"mode": "FAILFAST"})).alias("key", "dialog"))
+    found = json_ranges.objects(spark, path, 2).withColumnRenamed("file", "_file")
+    entry = ((F.regexp_extract("head", ENTRY, 1) == F.when(F.col("number") == 0, "{")
+              .otherwise(",")) & (F.regexp_extract("head", ENTRY, 2) != ""))
+    key = _parsed(F.concat(F.lit('{"key":'), F.regexp_extract("head", ENTRY, 2), F.lit("}")),
+                  "key string")["key"]
+    empty = F.col("head").rlike(r"^\s*(\{\s*)?\}?\s*\}?\s*$")
+    rows = found.select("_file", split_of_path(F.col("_file")).alias("split"), "number", "head",
+                        _needed(F.col("body"), F.when(F.col("body") == "", empty)
+                                .otherwise(entry), "no entry of a dialogue").alias("body"))
+    used = F.col("body") != ""
+    dialogs = (rows.where(used)
+               .select("_file", "split", F.when(used, key).alias("key"), used.alias("used"),
+                       F.when(used, _parsed(F.col("body"), MAP_DIALOG)).alias("dialog"))
                .select("split", file_stem(F.col("_file")).contains("_freq").cast("int")
                        .alias("rank"), "key", F.struct(
-                   "dialog.conv_id", "dialog.first_turn", _needed(
+                   "dialog.conv_id", "dialog.first_turn", F.when(F.col("used"), _needed(
                        F.col("dialog.content.message"), F.col("dialog.content").isNotNull(),
-                       "a dialogue without content").alias("utterances")).alias("dialog")))
+                       "a dialogue without content")).alias("utterances")).alias("dialog")))
     merged = dialogs.groupBy("split", "key").agg(F.max_by("dialog", "rank").alias("dialog"))
     numbered = ranked(merged.select("split", "key", "dialog.*"), [],
                       [F.col("split"), F.col("key")], "number")

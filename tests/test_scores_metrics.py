@@ -164,3 +164,16 @@ def test_summary(spark):
     assert got["a"]["mean"] == 3.0 and got["a"]["std"] == 2.0
     assert got["a"].confidence == pytest.approx(1.96 * 2 / math.sqrt(3))
     assert got["b"]["mean"] == 3.0
+
+
+def test_dealt_steps_use_every_report(spark):
+    """Also of one large run, and with fewer reports than ranks."""
+    rows = [(run, 0, "train", run % 4, step, float(step), 0.5, 1.0)
+            for run, n in ((1, 1001), (2, 3), (3, 8)) for step in range(n)]
+    table = spark.createDataFrame(rows, "run_id int, epoch int, split string, rank int, "
+                                        "step bigint, loss double, acc double, ppl double")
+    dealt = M.dealt_steps(table, 4)
+    assert dealt.count() == len(rows)
+    means = {(r.run_id, r.step): r.loss for r in M.rank_mean(dealt, 4, partial=True).collect()}
+    assert means[1, 0] == 1.5 and means[1, 250] == 1000.0 and means[2, 0] == 1.0
+    assert len(means) == 251 + 1 + 2
