@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -38,7 +39,7 @@ PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
 SPECIAL = "\x00"
 UNEVEN = re.compile(r" (?:\s|$)")
 FIRM = re.compile(r" (?=\S)")
-CACHE_PIECES = 150_000
+CACHE_PIECES = 300_000
 CACHE_PIECE_CHARS = 64
 # Rows and bytes of text that are passed on at once.
 OUT_ROWS = 512
@@ -74,13 +75,17 @@ class Codec:
         self.byte_ids = [0] * 256
         for letter, byte in letters.items():
             self.byte_ids[byte] = vocabulary[letter]
-        self.merges = {}
+        # a pair of symbols is one number; ranks lead to what merges into what
+        self.width = 1 + max(self.strings)
+        self.pairs = []
+        self.ranks = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges[vocabulary[left], vocabulary[right]] = (
-                rank, vocabulary[left + right])
+            pair = vocabulary[left], vocabulary[right]
+            self.pairs.append((*pair, vocabulary[left + right]))
+            self.ranks[pair[0] * self.width + pair[1]] = rank
         self.pieces = regex.compile(PIECES)
-        self.piece_ids: dict[str, list[int]] = {}
+        self.piece_ids: dict[str, array] = {}
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
@@ -90,17 +95,19 @@ class Codec:
         size = len(ids)
         if size < 2:
             return ids
-        merges = self.merges
+        rank_of, pairs, width = self.ranks.get, self.pairs, self.width
         after = list(range(1, size + 1))
         before = list(range(-1, size - 1))
+        # an entry is rank and place in one number, as they are to be ordered
         queue = []
         for at in range(size - 1):
-            found = merges.get((ids[at], ids[at + 1]))
-            if found:
-                queue.append((found[0], at, ids[at], ids[at + 1], found[1]))
+            rank = rank_of(ids[at] * width + ids[at + 1])
+            if rank is not None:
+                queue.append(rank * size + at)
         heapq.heapify(queue)
         while queue:
-            _, at, left, right, new = heapq.heappop(queue)
+            rank, at = divmod(heapq.heappop(queue), size)
+            left, right, new = pairs[rank]
             nxt = after[at]
             if ids[at] != left or nxt >= size or ids[nxt] != right:
                 continue  # stale: a symbol has been merged since
@@ -108,14 +115,14 @@ class Codec:
             following = after[at] = after[nxt]
             if following < size:
                 before[following] = at
-                found = merges.get((new, ids[following]))
-                if found:
-                    heapq.heappush(queue, (found[0], at, new, ids[following], found[1]))
+                rank = rank_of(new * width + ids[following])
+                if rank is not None:
+                    heapq.heappush(queue, rank * size + at)
             earlier = before[at]
             if earlier >= 0:
-                found = merges.get((ids[earlier], new))
-                if found:
-                    heapq.heappush(queue, (found[0], earlier, ids[earlier], new, found[1]))
+                rank = rank_of(ids[earlier] * width + new)
+                if rank is not None:
+                    heapq.heappush(queue, rank * size + earlier)
         return [i for i in ids if i >= 0]
 
     def _remember(self, key: str, known: tuple) -> None:
@@ -125,24 +132,33 @@ class Codec:
             self.old, self.young = self.young, {}
         self.young[key] = known
 
-    def _known(self, ids: list[int]) -> tuple[np.ndarray, bytes]:
+    def _known(self, ids: list[int]) -> tuple[bytes, bytes]:
         strings = self.strings
-        return np.array(ids, np.int32), b"".join([strings[i] for i in ids])
-
-    def chunk(self, chunk: str) -> tuple[np.ndarray, bytes]:
-        """Ids and bytes of a part of a text that begins and ends between pieces."""
+        return array("i", ids).tobytes(), b"".join([strings[i] for i in ids])
+
+    def _piece(self, piece: str) -> array:
+        """The ids of one of several pieces of a chunk."""
+        found = self.piece_ids.get(piece)
+        if found is None:
+            whole = self.young.get(piece) or self.old.get(piece)
+            found = array("i", whole[0]) if whole else array("i", self.merged(piece.encode()))
+            if len(piece) <= CACHE_PIECE_CHARS:
+                if len(self.piece_ids) >= CACHE_PIECES:
+                    self.piece_ids = {}
+                self.piece_ids[piece] = found
+        return found
+
+    def chunk(self, chunk: str) -> tuple[bytes, bytes]:
+        """Packed ids and bytes of a part of a text that begins and ends between pieces."""
         known = self.young.get(chunk) or self.old.get(chunk)
         if known is None:
-            ids: list[int] = []
-            for piece in self.pieces.findall(chunk):
-                found = self.piece_ids.get(piece)
-                if found is None:
-                    found = self.merged(piece.encode())
-                    if len(piece) <= CACHE_PIECE_CHARS:
-                        if len(self.piece_ids) >= CACHE_PIECES:
-                            self.piece_ids = {}
-                        self.piece_ids[piece] = found
-                ids.extend(found)
+            pieces = self.pieces.findall(chunk)
+            if len(pieces) == 1:
+                ids = self.merged(chunk.encode())
+            else:
+                ids = []
+                for piece in pieces:
+                    ids.extend(self._piece(piece))
             known = self._known(ids)
         self._remember(chunk, known)
         return known
@@ -175,7 +191,7 @@ class Codec:
                 out.extend(self._plain(part))
         return out
 
-    def coded(self, chunk: str) -> tuple[np.ndarray, bytes]:
+    def coded(self, chunk: str) -> tuple[bytes, bytes]:
         if chunk.startswith(SPECIAL) and chunk[1:] in self.specials:
             return self._known([self.specials[chunk[1:]]])
         return self.chunk(chunk)
@@ -191,13 +207,13 @@ class Codec:
             parts.append([number(c, len(numbers)) for c in chunks])
             ends.append(len(chunks))
         known = [self.coded(c) for c in numbers]
-        sizes = np.array([len(k[0]) for k in known], np.int64)
+        sizes = np.array([len(k[0]) // 4 for k in known], np.int64)
         order = np.fromiter(chain.from_iterable(parts), np.int64, sum(ends))
         taken = sizes[order]
         starts = np.concatenate([[0], np.cumsum(sizes)])[order] if len(known) else order
         # ids of chunk n lie together from starts[n] on
         into = np.repeat(starts - (np.cumsum(taken) - taken), taken)
-        flat = np.concatenate([k[0] for k in known]) if known else np.empty(0, np.int32)
+        flat = np.frombuffer(b"".join([k[0] for k in known]), np.int32)
         ids = flat[into + np.arange(len(into))]
         counts = np.concatenate([[0], np.cumsum(taken)])[np.cumsum([0, *ends])]
         strings = [k[1] for k in known]
