@@ -162,8 +162,9 @@ def quality(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     bad = small_side(rejected_hosts(failures(rows), max_rate)).withColumn(
         "_bad", F.lit(True))
     return (rows.join(bad, "host", "left")
-            .select("doc_id", *MEASURES, base_failed().alias("base_failed"),
-                    (~base_failed() & F.col("_bad").isNull()).alias("kept")))
+            .select("doc_id", *[m for m in MEASURES if m != "n_lines"],
+                    base_failed().alias("base_failed"),
+                    (~base_failed() & F.col("_bad").isNull()).alias("kept"), "n_lines"))
 
 
 def keep_good(docs: DataFrame, max_rate: float = MAX_RATE, joint: bool = False) -> DataFrame:

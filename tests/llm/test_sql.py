@@ -45,5 +45,7 @@ def test_sql_on_awkward_rows(spark, con, docs, tmp_path):
     connection.execute(
         f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
     for name in ORACLES:
+        if name == "op12_prefix_trie":
+            continue  # reads conversations; test_prefix_trie.py has awkward ones
         line, ok = compare(spark, connection, name, str(folder), ORACLES[name])
         assert ok, (name, line)
