@@ -275,6 +275,9 @@ ORACLES: dict[str, str] = {
         select {KEYS}, lower(input) as input, lower(target) as target,
           lower(response) as response
         from normal join predicted using ({KEYS}) where split = 'test'""",
+    "eval_lines": _REN + f"""
+        select lower(input) as input, lower(target) as target, lower(response) as response
+        from normal join predicted using ({KEYS}) where split = 'test'""",
     "metric_events": _with(STEPS) + """
         select run_id, case split when 'valid' then 'val' else split end || '/' || metric as tag,
           step, round(case when value = cast('inf' as double) then 1e30 else value end, 6) as value

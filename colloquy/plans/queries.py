@@ -24,8 +24,9 @@ from colloquy.operators import turns as T
 from colloquy.operators import vocabulary as V
 from colloquy.plans import corpus
 from colloquy.plans.tables import conversations, logit_table, step_log
-from colloquy.session import staging_path
+from colloquy.session import staged, staging_path
 from colloquy.sources import readers, writers
+from colloquy.sources.line_files import zip_lines
 from colloquy.streaming.context import check_nothing_waits, stream_context as rolling_stream
 from colloquy.streaming.metrics import latest, stream_epoch_means
 from colloquy.streaming.runner import drain_append, drain_update, read_table_stream
@@ -153,6 +154,18 @@ def eval_table(spark, sf_dir):
     return E.eval_table(rows, _predictions(rows))
 
 
+@query
+def eval_lines(spark, sf_dir):
+    """The three texts of the evaluation table as line files without keys, read again and
+    put side by side by position."""
+    table = staged(eval_table(spark, sf_dir), "eval-table")
+    path = staging_path(spark, "eval-lines")
+    columns = ("input", "target", "response")
+    for column in columns:
+        writers.write_lines(table, column, f"{path}/{column}")
+    return zip_lines(spark, {c: f"{path}/{c}" for c in columns}).select(*columns)
+
+
 @query
 def metric_events(spark, sf_dir):
     steps = M.without_nan(step_log(spark, sf_dir))
