@@ -16,7 +16,8 @@ behind; entries are merged only if all of it agrees, at every level.
 
 Cases: a null text counts as empty; a null id loses against any other id, and
 stays if the group has no other; of rows with the same id and text one is kept;
-an empty table gives an empty result; other columns are not read.
+an empty table gives an empty result; other columns are read only to tell rows with
+the same id and text apart.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.llm.common import join_classes, small_side, text_of, without
 from colloquy.session import staged
@@ -168,8 +169,9 @@ def duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
 def drop_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """``docs`` with one row of each text, all columns.
 
-    Rows that go are found by id and digest; of rows that repeat with id and
-    text, one stays.
+    Rows that go are found by id and digest. Of rows that repeat with id and text,
+    the one whose other columns have the smallest digest stays; rows equal in those
+    too are one row. Each task picks its own smallest before rows are exchanged.
     """
     rows = staged(docs.select(F.col("doc_id").cast("bigint").alias("id"),
                               digest_of(F.col("text")).alias("digest")), "digests")
@@ -182,15 +184,16 @@ def drop_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     same = F.col("id").eqNullSafe(F.col("keep_id"))
     keys = {"id": lambda d: d["doc_id"], "digest": lambda d: digest_of(d["text"])}
     left = without(docs, copies.filter(~same), keys)
-    repeated = copies.filter(same & (F.col("n") > 1)).select("digest")
+    repeated = copies.filter(same & (F.col("n") > 1)).select(F.col("digest").alias("_digest"))
     if not repeated.take(1):
         return left
     document = F.col("_document")
     inside = left.select(F.struct("*").alias("_document")).withColumn(
         "_digest", digest_of(document["text"]))
-    repeated = staged(repeated.withColumnRenamed("digest", "_digest"), "repeated")
-    first = Window.partitionBy("_digest").orderBy(F.lit(1))
-    one = (inside.join(repeated, "_digest").withColumn("_n", F.row_number().over(first))
-           .filter("_n = 1").drop("_n"))
+    repeated = small_side(staged(repeated, "repeated"))
+    others = [document[c] for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.sha2(F.to_json(F.struct(*others)), 256) if others else F.lit("")
+    one = (inside.join(repeated, "_digest").groupBy("_digest")
+           .agg(F.min_by("_document", order).alias("_document")))
     return (inside.join(repeated, "_digest", "left_anti").unionByName(one)
             .select("_document.*"))

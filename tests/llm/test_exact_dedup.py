@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.llm import exact_dedup
+from colloquy.session import durable
 
 
 def rows_of(n):
@@ -48,11 +49,11 @@ def test_groups_are_of_like_size_in_all_rounds(spark, monkeypatch, partitions):
     rows = spark.range(0, 2000, 1, partitions).select(
         F.spark_partition_id().cast("bigint").alias("part"),
         exact_dedup.digest_of(F.col("id").cast("string")).alias("digest"), "id")
-    runs = exact_dedup.digest_runs(rows, slices, False).localCheckpoint()
+    runs = exact_dedup.digest_runs(rows, slices, False).transform(durable)
     entries = runs.groupBy("run").count().agg(F.max("count")).first()[0]
     assert entries <= 2 * 3 * 16  # two runs may have one number
     for round_no in range(1, 5):
-        runs = exact_dedup.merge_round(runs, round_no, slices, False).localCheckpoint()
+        runs = exact_dedup.merge_round(runs, round_no, slices, False).transform(durable)
         block = (F.col("slice") / (slices // 4 ** round_no)).cast("bigint")
         sizes = [r["count"] for r in runs.groupBy("run", block.alias("b")).count().collect()]
         assert sum(sizes) == 2000 and max(sizes) <= 4 * 16
@@ -91,6 +92,22 @@ def test_null_ids_and_repeated_rows(docs):
         (-1, "y"), (5, "x"), (7, "z")]
 
 
+@pytest.mark.parametrize("partitions", [1, 7, 64])
+def test_one_of_many_rows_with_one_id_and_text_is_the_same_in_reruns(spark, partitions):
+    """A third of the table has one id and text, under a thousand sources."""
+    hot = F.col("n") % 3 == 0
+    table = (spark.range(0, 300_000, 1, partitions).withColumnRenamed("id", "n")
+             .select(F.when(hot, 5).otherwise(F.col("n") + 10).alias("doc_id"),
+                     F.when(hot, "hot").otherwise(F.col("n").cast("string")).alias("text"),
+                     (F.col("n") % 1000).cast("string").alias("source")))
+    left = exact_dedup.drop_copies(table.repartition(partitions))
+    assert left.columns == table.columns and left.count() == 200_001
+    picked = min(range(1000), key=lambda s: hashlib.sha256(
+        f'{{"source":"{s}"}}'.encode()).hexdigest())
+    assert [tuple(r) for r in left.filter("text = 'hot'").collect()] == [
+        (5, "hot", str(picked))]
+
+
 def test_empty_table(docs):
     assert exact_dedup.duplicates(docs([])).count() == 0
     assert exact_dedup.drop_copies(docs([])).count() == 0
