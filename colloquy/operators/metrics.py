@@ -45,9 +45,19 @@ def clamped(value: Column) -> Column:
 
 
 def epoch_metrics(steps: DataFrame) -> DataFrame:
-    """Unweighted means of the batch values per ``(run_id, epoch, split)``."""
-    return steps.groupBy("run_id", "epoch", "split").agg(
-        *[F.avg(m).alias(m) for m in METRICS])
+    """Unweighted means of the batch values per ``(run_id, epoch, split)`` and ``n_steps``.
+
+    Values are added in the order of ``step``, so a mean that lies halfway between two
+    places is rounded the same way however the table is cut into tasks. An epoch's
+    steps are sorted and read as a stream, of which no task holds more than a piece.
+    """
+    order = Window.partitionBy("run_id", "epoch", "split").orderBy("step", *METRICS)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    return (steps.select("run_id", "epoch", "split",
+                         *[F.avg(m).over(so_far).alias(m) for m in METRICS],
+                         F.count(F.lit(1)).over(so_far).alias("n_steps"),
+                         F.lead(F.lit(True)).over(order).isNull().alias("_last"))
+            .where("_last").drop("_last"))
 
 
 def rank_mean(steps: DataFrame, world_size: int, partial: bool = False) -> DataFrame:
@@ -86,10 +96,11 @@ def dealt_steps(steps: DataFrame, world_size: int) -> DataFrame:
 def history(steps: DataFrame) -> DataFrame:
     """One row per run and epoch: means of training and validation side by side, and
     ``n_steps``, the training steps. A split without any step is null."""
-    means = [F.avg(F.when(F.col("split") == s, F.col(m))).alias(f"{s}_{m}")
+    means = [F.max(F.when(F.col("split") == s, F.col(m))).alias(f"{s}_{m}")
              for s in ("train", "valid") for m in METRICS]
-    return steps.groupBy("run_id", "epoch").agg(
-        *means, F.count_if(F.col("split") == "train").alias("n_steps"))
+    taken = F.max(F.when(F.col("split") == "train", F.col("n_steps")))
+    return epoch_metrics(steps).groupBy("run_id", "epoch").agg(
+        *means, F.coalesce(taken, F.lit(0)).cast("bigint").alias("n_steps"))
 
 
 def history_columnar(wide: DataFrame) -> DataFrame:

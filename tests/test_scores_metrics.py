@@ -1,6 +1,7 @@
 """Decoding filters, losses and run history."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -104,6 +105,26 @@ def test_epoch_means_and_missing_splits(spark):
     assert (skips.n_steps, skips.n_skipped) == (2, 1)
 
 
+def test_epoch_means_add_in_step_order(spark):
+    """To the last bit, wherever the rows lie: rounding turns on it."""
+    draw = random.Random(3)
+    rows = [(run, 0, split, step, draw.randrange(1, 40_000) / 10_000, draw.random(),
+             math.exp(draw.random() * 4))
+            for run in range(40) for split in ("train", "valid")
+            for step in range(draw.choice((8, 80)))]
+    mixed = draw.sample(rows, len(rows))
+    got = {r.run_id: r for r in M.history(steps(spark, mixed).repartition(7, "step")).collect()}
+    for run in range(40):
+        for split in ("train", "valid"):
+            own = [r for r in rows if r[0] == run and r[2] == split]
+            for place, name in enumerate(M.METRICS, 4):
+                total = 0.0
+                for r in own:
+                    total += r[place]
+                assert got[run][f"{split}_{name}"] == total / len(own)
+        assert got[run].n_steps == sum(r[0] == run and r[2] == "train" for r in rows)
+
+
 def test_log_events_are_finite(spark):
     table = steps(spark, [(1, 0, "valid", 4, 1.0, 0.5, INF)])
     got = {r.tag: r.value for r in M.metric_events(table).collect()}
