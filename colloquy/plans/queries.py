@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from colloquy.config import CorpusConfig, SpecialIds
 from colloquy.functions import sequences as S
 from colloquy.functions import hashing
+from colloquy.functions.numbers import rounded
 from colloquy.functions.text import ids_text, words
 from colloquy.operators import batching as B
 from colloquy.operators import collation as C
@@ -48,7 +49,7 @@ def query(fn: Query) -> Query:
 
 
 def _rounded(*names: str, places: int = 6) -> list[Column]:
-    return [F.round(n, places).alias(n) for n in names]
+    return [rounded(F.col(n), places).alias(n) for n in names]
 
 
 # -- sources ----------------------------------------------------------------
@@ -171,7 +172,7 @@ def metric_events(spark, sf_dir):
     steps = M.without_nan(step_log(spark, sf_dir))
     path = staging_path(spark, "events")
     writers.append_events(M.metric_events(steps), path)
-    return spark.read.parquet(path).withColumn("value", F.round("value", 6))
+    return spark.read.parquet(path).withColumn("value", rounded(F.col("value"), 6))
 
 
 @query
@@ -529,7 +530,7 @@ def target_map(spark, sf_dir):
 @query
 def log_softmax(spark, sf_dir):
     return D.log_softmax_rows(logit_table(spark, sf_dir)).withColumn(
-        "log_prob", F.round("log_prob", 6))
+        "log_prob", rounded(F.col("log_prob"), 6))
 
 
 @query
@@ -547,7 +548,7 @@ def token_metrics(spark, sf_dir):
 def min_len_mask(spark, sf_dir):
     masked = D.mask_early_end(logit_table(spark, sf_dir), EOS_LOGIT, 2)
     return masked.select("seq_id", "pos", F.posexplode("logits").alias("token_id", "logit")
-                         ).withColumn("logit", F.round("logit", 6))
+                         ).withColumn("logit", rounded(F.col("logit"), 6))
 
 
 def _kept_rows(kept: DataFrame) -> DataFrame:
@@ -590,13 +591,13 @@ def nan_skip(spark, sf_dir):
 def epoch_metrics(spark, sf_dir):
     return M.epoch_metrics(_trained(spark, sf_dir)).select(
         "run_id", "epoch", "split", *_rounded("loss", "acc", places=9),
-        M.clamped(F.round("ppl", 9)).alias("ppl"))
+        M.clamped(rounded(F.col("ppl"), 9)).alias("ppl"))
 
 
 @query
 def inf_clamp(spark, sf_dir):
     rows = _trained(spark, sf_dir)
-    return rows.select("run_id", "split", "step", F.round(M.clamped(F.col("ppl")), 6).alias("ppl"))
+    return rows.select("run_id", "split", "step", rounded(M.clamped(F.col("ppl")), 6).alias("ppl"))
 
 
 @query
@@ -607,13 +608,13 @@ def rank_mean(spark, sf_dir):
     # engines round differently: compare such means at the ninth
     return M.rank_mean(rows, 4, partial=True).select(
         "run_id", "epoch", "split", "step",
-        F.round("loss", 9).alias("loss"), F.round("acc", 9).alias("acc"))
+        *_rounded("loss", "acc", places=9))
 
 
 @query
 def best_epoch(spark, sf_dir):
     return M.best_epoch(_history(spark, sf_dir)).withColumn(
-        "best_valid_loss", F.round("best_valid_loss", 6))
+        "best_valid_loss", rounded(F.col("best_valid_loss"), 6))
 
 
 @query
@@ -651,4 +652,4 @@ def stream_metrics(spark, sf_dir):
                           (F.col("value") / 100).alias("loss"))
     done = latest(drain_update(stream_epoch_means(steps), "stream-metrics"))
     return done.select("run_id", F.datediff(F.col("day.start"), F.lit("2024-01-01").cast("date"))
-                       .alias("epoch"), "n_steps", F.round("loss", 6).alias("loss"))
+                       .alias("epoch"), "n_steps", *_rounded("loss"))

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import scores
+from colloquy.functions.numbers import rounded
 from colloquy.operators import decoding as D
 from colloquy.operators import metrics as M
+from colloquy.plans.queries import QUERIES
 from colloquy.plans.tables import logit_table
 
 INF = float("inf")
@@ -48,6 +50,19 @@ def test_early_end_is_banned(spark):
     assert 0 not in kept_ids(kept)[0]
 
 
+def test_rounding_keeps_the_sign_of_zero(spark, tmp_path):
+    values = [0.0, 3e-7, -3e-7, -0.0, -5e-7, 0.1234565, -INF, float("nan")]
+    spark.createDataFrame([(n, [v / 10], 0) for n, v in enumerate(values)],
+                          "vec_id bigint, embedding array<double>, label int"
+                          ).write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = QUERIES["min_len_mask"](spark, str(tmp_path)).where("pos >= 2").collect()
+    got = {r.seq_id * 4 + r.pos: str(r.logit) for r in rows}
+    assert got == {2: "-0.0", 3: "-0.0", 6: "-inf", 7: "nan"}
+    table = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [str(r.v) for r in table.select(rounded(F.col("v"), 6).alias("v")).collect()] == [
+        "0.0", "0.0", "-0.0", "-0.0", "-1e-06", "0.123457", "-inf", "nan"]
+
+
 def test_against_numpy(spark, sf_dir):
     table = logit_table(spark, sf_dir)
     rows = table.select("*", scores.log_softmax(F.col("logits")).alias("lp")).collect()
