@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -57,9 +58,10 @@ def byte_letters() -> dict[str, int]:
 
 
 class Codec:
-    """One vocabulary file."""
+    """One vocabulary file, and tables of up to ``held`` pieces seen before."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, held: int | None = None):
+        self.held = held or CACHE_PIECES
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters = byte_letters()
@@ -128,7 +130,7 @@ class Codec:
     def _remember(self, key: str, known: tuple) -> None:
         if len(key) > CACHE_PIECE_CHARS:
             return
-        if len(self.young) >= CACHE_PIECES:
+        if len(self.young) >= self.held:
             self.old, self.young = self.young, {}
         self.young[key] = known
 
@@ -143,7 +145,7 @@ class Codec:
             whole = self.young.get(piece) or self.old.get(piece)
             found = array("i", whole[0]) if whole else array("i", self.merged(piece.encode()))
             if len(piece) <= CACHE_PIECE_CHARS:
-                if len(self.piece_ids) >= CACHE_PIECES:
+                if len(self.piece_ids) >= self.held:
                     self.piece_ids = {}
                 self.piece_ids[piece] = found
         return found
@@ -228,15 +230,15 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, held: int | None = None) -> Codec:
+    return Codec(path, held)
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with bounded rows and, but for single rows, bounded text."""
     start = chars = 0
-    sizes = [len(t) if t is not None else 0 for t in batch[column].to_pylist()]
-    for at, size in enumerate(sizes):
+    sizes = pc.fill_null(pc.utf8_length(batch[column]), 0)
+    for at, size in enumerate(sizes.to_pylist()):
         if at > start and (at - start >= OUT_ROWS or chars + size > OUT_CHARS):
             yield batch.slice(start, at - start)
             start, chars = at, 0
@@ -246,15 +248,16 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 def encode(docs: DataFrame, vocabulary: str, *keep: str, text: str = "text",
-           decoded: bool = False) -> DataFrame:
+           decoded: bool = False, held: int | None = None) -> DataFrame:
     """The columns ``keep``, ``ids`` as an array and, if asked for, ``decoded``: the
-    text that the ids give."""
+    text that the ids give. Fewer pieces ``held`` take less memory of a Python worker and
+    more time; the results are the same."""
     rows = docs.select(*keep, F.col(text).alias("_text"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     ddl = ", ".join([*kept, "ids array<int>"] + ["decoded string"] * decoded)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = codec(vocabulary)
+        known = codec(vocabulary, held)
         for batch in (part for whole in batches for part in _slices(whole, "_text")):
             ids, counts, texts = known.encode_all(batch["_text"].to_pylist())
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)

@@ -9,6 +9,8 @@ from colloquy.llm import bpe, exact_dedup, mixing, quality, simhash
 from colloquy.session import staged
 
 VOCABULARY = "byte_bpe_50k.json"
+# Workers still have what the stages before took, so the tables of the encoder are small.
+HELD_PIECES = 60_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document; ``intact`` says that they decode to its text."""
     coded = bpe.encode(docs, public_tokenizers.path(VOCABULARY), "doc_id", "source", "text",
-                       decoded=True)
+                       decoded=True, held=HELD_PIECES)
     return coded.select("doc_id", "source", "ids",
                         F.size("ids").cast("bigint").alias("n_tokens"),
                         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("intact"))

@@ -35,6 +35,19 @@ def test_cache_is_bounded(monkeypatch):
     assert len(known.young) <= 10 and len(known.old) <= 10 and len(known.piece_ids) <= 10
 
 
+def test_small_tables_give_the_same(spark, library):
+    """A caller with little memory names the size of the tables."""
+    rows = [(n, " ".join(f"word{n * i} x" for i in range(40)), n) for n in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, other int")
+    got = {r.doc_id: r for r in bpe.encode(docs, PATH, "doc_id", decoded=True, held=7).collect()}
+    for n, text, _ in rows:
+        assert list(got[n].ids) == library.encode(text, add_special_tokens=False).ids
+        assert got[n].decoded == text
+    known = bpe.Codec(PATH, 7)
+    known.encode_all([text for _, text, _ in rows])
+    assert max(len(known.young), len(known.old), len(known.piece_ids)) <= 7
+
+
 @pytest.mark.parametrize("between", ["\n", "\t", "", "\n\n", "."])
 def test_time_is_linear_without_blanks(library, between):
     """Also where nothing but line feeds, or nothing at all, divides the words."""
