@@ -32,6 +32,8 @@ RANGE_DDL = ("file string, start bigint, bytes bigint, full bigint, pieces bigin
              "turned bigint, deeper0 bigint, deeper1 bigint")
 PIECE_DDL = ("file string, start bigint, place bigint, ended bigint, head string, "
              "body string, closes boolean, inherits boolean, within int")
+# A piece or several, of about so many bytes together, are looked at at once.
+RUN_BYTES = 1 << 20
 QUOTE, BACKSLASH, OPEN, CLOSE, OPEN_LIST, CLOSE_LIST = b'"\\{}[]'
 
 
@@ -44,12 +46,14 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch, range by range."""
+    """The rows of a batch, range by range, and no more than ``RUN_BYTES`` at once but for
+    single pieces."""
     if not batch.num_rows:
         return
     start = batch["start"].to_numpy()
     file = pc.dictionary_encode(batch["file"]).indices.to_numpy()
-    cuts = np.flatnonzero((np.diff(start) != 0) | (np.diff(file) != 0)) + 1
+    part = np.cumsum(pc.binary_length(batch["value"]).to_numpy(), dtype=np.int64) // RUN_BYTES
+    cuts = np.flatnonzero((np.diff(start) != 0) | (np.diff(file) != 0) | (np.diff(part) != 0)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
         yield batch.slice(a, b - a)
 
@@ -61,13 +65,16 @@ def _marks(values: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]
     ends = np.cumsum([len(t) for t in texts])
     text = b"".join(texts)
     data = np.frombuffer(text, np.uint8)
-    at = np.arange(len(data))
-    plain = np.maximum.accumulate(np.where(data != BACKSLASH, at, -1))
-    before = np.concatenate([[-1], plain[:-1]])  # the last place that is no backslash
-    quote = (data == QUOTE) & ((at - before) % 2 == 1)
-    parity = np.cumsum(quote) % 2
-    deeper = (((data == OPEN) | (data == OPEN_LIST)).astype(np.int64)
-              - ((data == CLOSE) | (data == CLOSE_LIST)))
+    quotes = np.flatnonzero(data == QUOTE)
+    plain = np.flatnonzero(data != BACKSLASH)
+    # how far before a quote is the last place that is no backslash
+    nearest = np.searchsorted(plain, quotes) - 1
+    before = np.where(nearest >= 0, plain[nearest], -1) if len(plain) else quotes - quotes - 1
+    turns = np.zeros(len(data), np.int8)
+    turns[quotes[(quotes - before) % 2 == 1]] = 1
+    parity = np.bitwise_xor.accumulate(turns)
+    deeper = (((data == OPEN) | (data == OPEN_LIST)).astype(np.int8)
+              - ((data == CLOSE) | (data == CLOSE_LIST)).astype(np.int8))
     return text, ends, parity, deeper
 
 
@@ -76,10 +83,10 @@ def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for run in _runs(batch):
             text, ends, parity, deeper = _marks(run["value"])
-            outside = int(deeper[parity == 0].sum())
+            outside = int(deeper[parity == 0].sum(dtype=np.int64))
             row = [run["file"][0].as_py(), run["start"][0].as_py(), len(text),
                    run["full"][0].as_py(), run.num_rows, int(parity[-1]), outside,
-                   int(deeper.sum()) - outside]
+                   int(deeper.sum(dtype=np.int64)) - outside]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v]) for v in row], [c.split()[0] for c in RANGE_DDL.split(", ")])
 
@@ -130,7 +137,7 @@ def _marker(depth: int):
                     inside, level = run["inside"][0].as_py(), run["depth"][0].as_py()
                 text, ends, parity, deeper = _marks(run["value"])
                 change = np.where((parity ^ inside) == 0, deeper, 0)
-                levels = level + np.cumsum(change)
+                levels = level + np.cumsum(change, dtype=np.int32)
                 data = np.frombuffer(text, np.uint8)
                 opens = np.flatnonzero((levels == depth) & (change == 1) & (data == OPEN))
                 starts = np.concatenate([[0], ends[:-1]])

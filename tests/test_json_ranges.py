@@ -2,7 +2,9 @@
 
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from colloquy.sources import json_ranges, readers
@@ -93,3 +95,42 @@ def test_broken_documents(spark, tmp_path, text):
     (tmp_path / "c.json").write_text(text)
     with pytest.raises(Exception, match="(?i)malformed|document|comma|dialogue"):
         readers.read_nested_json(spark, str(tmp_path)).collect()
+
+
+def _batch(dialogs, inside=0, depth=0):
+    pieces = json.dumps({"train": dialogs, "valid": []}, ensure_ascii=False).split("}")[:-1]
+    n = len(pieces)
+    return pa.RecordBatch.from_pydict({
+        "file": ["f"] * n, "start": [0] * n, "full": [9] * n, "value": pieces,
+        "inside": [inside] * n, "depth": [depth] * n})
+
+
+def test_runs_are_cut_by_bytes(monkeypatch):
+    """However many bytes a batch has, a range's pieces come out the same."""
+    draw = random.Random(5)
+    batch = _batch([{"utterances": [{"history": talk(draw), "candidates": ["x"]}]}
+                    for _ in range(60)])
+    whole = pa.Table.from_batches(json_ranges._marker(3)(iter([batch]))).to_pydict()
+    effect = pa.Table.from_batches(json_ranges.effects(iter([batch]))).to_pylist()
+    assert len(effect) == 1
+    monkeypatch.setattr(json_ranges, "RUN_BYTES", 100)
+    parts = pa.Table.from_batches(json_ranges._marker(3)(iter([batch]))).to_pydict()
+    for name in ("place", "ended", "head", "body", "closes", "inherits"):
+        assert parts[name] == whole[name], name
+    effects = pa.Table.from_batches(json_ranges.effects(iter([batch]))).to_pylist()
+    assert len(effects) > 20 and sum(e["bytes"] for e in effects) == effect[0]["bytes"]
+    turned = deeper = 0
+    for e in effects:
+        deeper += e["deeper1" if turned else "deeper0"]
+        turned ^= e["turned"]
+    assert (turned, deeper) == (effect[0]["turned"], effect[0]["deeper0"])
+
+
+def test_memory_does_not_grow_with_a_batch():
+    batch = _batch([{"utterances": [{"history": ["word " * 400], "candidates": ["x"]}]}] * 5000)
+    for work in (json_ranges.effects, json_ranges._marker(3)):
+        tracemalloc.start()
+        for _ in work(iter([batch])):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+        tracemalloc.stop()
