@@ -42,6 +42,8 @@ BLANKS = " \t"
 CUTS = ".,;:!?\n\x0b\x0c\r"
 # What a score of one is written as.
 UNIT = 1_000_000
+# Bytes of text in a shard: two workers next to a grown JVM index one each.
+SHARD_BYTES = 9 << 20
 # How many runs meet in a round, and how many parts their phrases are dealt to.
 FAN = 128
 MIXER = np.uint64(0x9E3779B97F4A7C15)
@@ -103,9 +105,10 @@ class Index:
     def __init__(self, text: np.ndarray, depth: int):
         order = suffix_order(text, depth)
         before = np.where(order > 0, order - 1, len(text) - 1)
-        self.transform = np.where(order > 0, text[before], 0)
-        place = np.empty(len(text), np.int64)
-        place[order] = np.arange(len(text))
+        # no text has 2^31 symbols
+        self.transform = np.where(order > 0, text[before], 0).astype(np.int32)
+        place = np.empty(len(text), np.int32)
+        place[order] = np.arange(len(text), dtype=np.int32)
         self.to_row = place[before]
 
 
@@ -117,7 +120,7 @@ def extended(index: Index, first: np.ndarray, size: np.ndarray, other: np.ndarra
     Returns the extended interval's number, the symbol, and the new first row, size
     and first row in the other direction.
     """
-    owner = np.repeat(np.arange(len(first)), size)
+    owner = np.repeat(np.arange(len(first), dtype=np.int32), size)
     ends = np.cumsum(size)
     rows = np.arange(len(owner)) + np.repeat(first - (ends - size), size)
     symbols = index.transform[rows]
@@ -240,7 +243,7 @@ def word_shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for number, block in enumerate(shards.blocks(batches, "text")):
+        for number, block in enumerate(shards.blocks(batches, "text", SHARD_BYTES)):
             shard = (part << 32) + number
             names, words, symbols, counts, used = [], [], [], [], 0
             for name in pc.unique(block["lang"]).to_pylist():

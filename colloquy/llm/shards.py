@@ -83,7 +83,7 @@ def tokenized(data: np.ndarray, table: np.ndarray
     words = pa.Array.from_buffers(
         pa.large_binary(), len(starts),
         [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-    cuts = np.cumsum(kind == CUT, dtype=np.int32)[starts] if len(starts) else starts
+    cuts = np.searchsorted(np.flatnonzero(kind == CUT), starts)
     return (words.dictionary.cast(pa.binary()),
             words.indices.to_numpy(zero_copy_only=False), starts, cuts)
 
