@@ -3,14 +3,14 @@
 Texts are cut into shards. A first pass counts the words of each shard; the words
 that are frequent over all shards are numbered by frequency, and every shard gets the
 numbers of its own. Rare words, and the places where texts are cut, are breaks
-that no phrase crosses. Each shard then makes an FM-index of its numbers in both
-directions: the Burrows-Wheeler transform, the first row of each symbol, and the
+that no phrase crosses. Each shard then makes FM-indexes of its numbers in both
+directions, for a block of bounded length at a time: the Burrows-Wheeler transform, the first row of each symbol, and the
 map from a row to the row of the symbol before it. Beginning with single
 words, the intervals of all phrases are extended together by one word, to the right
 in the backward index and to the left in the forward index, and each step keeps the
 interval in the other index in line. An interval's size is the phrase's count in the
-shard. Phrases, the extensions of shorter ones, are summed across shards in
-rounds of ``FAN`` runs, exchanged by digits of a hash, so a common phrase has one
+block. Phrases, the extensions of shorter ones, are summed over the blocks of a shard
+and then across shards in rounds of ``FAN`` runs, exchanged by digits of a hash, so a common phrase has one
 entry per run however often it occurs.
 
 A phrase's score is its count squared over the product of the counts of its two
@@ -25,7 +25,7 @@ as they are.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,11 @@ BLANKS = " \t"
 CUTS = ".,;:!?\n\x0b\x0c\r"
 # What a score of one is written as.
 UNIT = 1_000_000
-# Bytes of text in a shard: two workers next to a grown JVM index one each.
+# Bytes of text in a shard; bytes whose words are cut out and symbols that are indexed
+# at once.
 SHARD_BYTES = 9 << 20
+SLICE_BYTES = 1 << 20
+BLOCK = 1 << 17
 # How many runs meet in a round, and how many parts their phrases are dealt to.
 FAN = 128
 MIXER = np.uint64(0x9E3779B97F4A7C15)
@@ -87,14 +90,14 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     rank, size = text, 1
     while True:
         ahead = np.zeros_like(rank)
-        ahead[:len(rank) - size] = rank[size:]
+        ahead[:max(len(rank) - size, 0)] = rank[size:]
         order = row_order([rank, ahead])
         size *= 2
         if size >= depth:
             return order
         new = _changes([rank[order], ahead[order]])
-        # a break is smallest, also beyond the end
-        dense = np.cumsum(new, dtype=np.int64) - 1
+        # the end is smallest, also where the text has no break
+        dense = np.cumsum(new, dtype=np.int64)
         rank = np.empty_like(dense)
         rank[order] = dense
 
@@ -158,6 +161,22 @@ def phrase_counts(text: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np
         yield words, size
 
 
+def block_counts(text: np.ndarray, depth: int
+                 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What ``phrase_counts`` gives, in parts whose counts add up, from indexes of
+    ``BLOCK`` symbols each.
+
+    A block reaches ``depth - 1`` symbols into the next one, for phrases that begin in
+    it. What lies wholly in there is found by both, and once taken off.
+    """
+    for start in range(0, len(text), BLOCK):
+        block = text[start:start + BLOCK + depth - 1]
+        for words, counts in phrase_counts(block, depth):
+            yield words, counts.astype(np.int32)
+        for words, counts in phrase_counts(block[BLOCK:], depth):
+            yield words, -counts.astype(np.int32)
+
+
 # --- runs of phrases -------------------------------------------------------------
 
 
@@ -170,18 +189,35 @@ def _digit(words: np.ndarray, number: int) -> np.ndarray:
     return ((mixed >> np.uint64(7 * number)) & np.uint64(FAN - 1)).astype(np.uint8)
 
 
-def _run_rows(run: int, part: int, digit: int, found: list[tuple]) -> pa.Table:
-    """Phrases and counts of one run, dealt to parts by a digit of their hash."""
-    rows: list[tuple] = []
+def _dealt(words: np.ndarray, counts: np.ndarray, digit: int
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases, a column per place, and counts by a digit of the phrase's hash, and where
+    each digit ends."""
+    digits = _digit(words, digit)
+    order = np.argsort(digits, kind="stable")
+    return (words[order].T.astype(np.uint32, order="C"), counts[order],
+            np.cumsum(np.bincount(digits, minlength=FAN)))
+
+
+def _run_rows(run: int, part: int, digit: int,
+              found: Iterable[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """Phrases and counts of one run, dealt to parts by a digit of their hash; those of
+    several tables are summed part by part."""
+    dealt: dict[int, list[tuple]] = {}
     for words, counts in found:
-        digits = _digit(words, digit)
-        order = np.argsort(digits, kind="stable")
-        ends = np.cumsum(np.bincount(digits, minlength=FAN))
-        for number in np.flatnonzero(np.diff(ends, prepend=0)):
-            at = order[ends[number - 1] if number else 0:ends[number]]
-            packed = (shards.pack(words[at].T.astype(np.uint32)),
-                      shards.pack(counts[at].astype(np.int64)))
-            rows.append((run, part * FAN + int(number), words.shape[1], len(at),
+        if len(words):
+            dealt.setdefault(words.shape[1], []).append(_dealt(words, counts, digit))
+    rows: list[tuple] = []
+    for size, tables in dealt.items():
+        for number in range(FAN):
+            cuts = [slice(ends[number - 1] if number else 0, ends[number])
+                    for _, _, ends in tables]
+            words, counts = summed([(words[:, cut], counts[cut]) for cut, (words, counts, _)
+                                    in zip(cuts, tables)])
+            if not len(counts):
+                continue
+            packed = (shards.pack(words), shards.pack(counts.astype(np.int64)))
+            rows.append((run, part * FAN + number, size, len(counts),
                          len(packed[0]).to_bytes(4, "little") + b"".join(packed)))
     return pa.Table.from_arrays(
         [pa.array(column, field.type) for column, field in
@@ -195,7 +231,9 @@ def _opened(size: int, entries: int, packed: bytes) -> tuple[np.ndarray, np.ndar
 
 
 def summed(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases of several runs, a column per place, each once with its total."""
+    """Phrases of several tables, a column per place, each once with its total."""
+    if len(tables) == 1:
+        return tables[0]
     words = np.concatenate([t[0] for t in tables], axis=1)
     counts = np.concatenate([t[1] for t in tables])
     order = row_order(list(words))
@@ -235,6 +273,41 @@ def merge_round(runs: DataFrame, digit: int, last: bool, min_count: int) -> Data
 # --- passes over the texts -------------------------------------------------------
 
 
+def coded(texts: pa.Table, table: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The different words of ``text`` and the number of each word in turn, from 1, with
+    a break before each piece."""
+    slices, breaks = [], []
+    for part in shards.blocks(texts.to_batches(), "text", SLICE_BYTES):
+        known, codes, _, cuts = shards.tokenized(shards.joined(part["text"])[0], table)
+        slices.append(pa.DictionaryArray.from_arrays(codes, known))
+        breaks.append(np.flatnonzero(np.diff(cuts, prepend=-1)))
+    whole = pa.chunked_array(slices).unify_dictionaries()
+    symbols = [np.insert(chunk.indices.to_numpy() + 1, new, 0)
+               for chunk, new in zip(whole.chunks, breaks)]
+    return whole.chunk(0).dictionary, np.concatenate(symbols)
+
+
+def shard_rows(shard: int, block: pa.Table, table: np.ndarray) -> pa.RecordBatch:
+    """The rows of one shard: its words by language, then its symbols."""
+    names, words, symbols, counts, used = [], [], [], [], 0
+    for name in pc.unique(block["lang"]).to_pylist():
+        known, own = coded(block.filter(pc.equal(block["lang"], name)), table)
+        names.append(pa.repeat(pa.scalar(name, pa.string()), len(known)))
+        words.append(known)
+        counts.append(np.bincount(own, minlength=len(known) + 1)[1:])
+        symbols.append(np.where(own > 0, own + np.int32(used), np.int32(0)))
+        used += len(known)
+    size = sum(map(len, symbols))
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.full(used + 1, shard)),
+        pa.concat_arrays([*names, pa.nulls(1, pa.string())]),
+        pa.concat_arrays([*words, pa.nulls(1, pa.binary())]),
+        pa.array(np.arange(1, used + 2)),
+        pa.array(np.append(np.concatenate(counts), size)),
+        pa.array([None] * used + [shards.pack(np.concatenate(symbols))], pa.binary()),
+    ], SHARD_DDL.replace(",", "").split()[::2])
+
+
 def word_shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """Shards of texts: a row of symbols for each, and a row for each of its words."""
     table = shards.kinds(BLANKS, CUTS)
@@ -244,28 +317,9 @@ def word_shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for number, block in enumerate(shards.blocks(batches, "text", SHARD_BYTES)):
-            shard = (part << 32) + number
-            names, words, symbols, counts, used = [], [], [], [], 0
-            for name in pc.unique(block["lang"]).to_pylist():
-                own = block.filter(pc.equal(block["lang"], name))
-                known, codes, _, cuts = shards.tokenized(
-                    shards.joined(own["text"])[0], table)
-                # a break before each piece
-                new = np.flatnonzero(np.diff(cuts, prepend=-1))
-                symbols.append(np.insert(codes + (used + 1), new, 0))
-                names += [name] * len(known)
-                words.append(known)
-                counts.append(np.bincount(codes, minlength=len(known)))
-                used += len(known)
-            whole = np.concatenate(symbols).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([shard] * (used + 1), pa.int64()),
-                pa.array(names + [None], pa.string()),
-                pa.concat_arrays([*words, pa.nulls(1, pa.binary())]),
-                pa.array(np.arange(1, used + 2)),
-                pa.array(np.append(np.concatenate(counts), len(whole))),
-                pa.array([None] * used + [shards.pack(whole)], pa.binary()),
-            ], SHARD_DDL.replace(",", "").split()[::2])
+            yield shard_rows((part << 32) + number, block, table)
+            # workers outlive the stage, and would keep what Arrow has freed
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(make, SHARD_DDL)
 
@@ -292,14 +346,15 @@ def phrase_runs(texts: DataFrame, numbered: DataFrame, max_words: int) -> DataFr
         if ids[-1] >= 1 << 32:
             raise ValueError("over 2^32 frequent words")
         dense = np.zeros(int(max(symbols.max(initial=0), words["local"].to_numpy().max())) + 1,
-                         np.int64)
+                         np.int32)
         dense[words["local"].to_numpy()[order]] = np.arange(1, len(ids) + 1)
         short = dense[symbols]
         broken = short == 0
         short = short[~(broken & np.concatenate([[True], broken[:-1]]))]
+        del symbols, broken
         named = np.concatenate([[0], ids])
-        return _run_rows(run, 0, 0, [(named[found], counts) for found, counts
-                                     in phrase_counts(short, max_words)])
+        return _run_rows(run, 0, 0, ((named[found], counts) for found, counts
+                                     in block_counts(short, max_words)))
 
     return (texts.groupBy("shard").cogroup(numbered.groupBy("owner"))
             .applyInArrow(make, RUN_DDL))

@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from colloquy.llm import collocations, shards
@@ -125,3 +127,80 @@ def test_large_counts(spark):
 def test_nothing(docs):
     assert collocations.collocations(docs([])).count() == 0
     assert collocations.collocations(docs([(1, None), (2, ""), (3, "a b")])).count() == 0
+
+
+class Handed:
+    """Hands out the function that an operator gives to Spark."""
+
+    def groupBy(self, *names):
+        return self
+
+    def cogroup(self, other):
+        return self
+
+    def applyInArrow(self, make, ddl):
+        return make
+
+
+def totals(parts):
+    out = Counter()
+    for words, counts in parts:
+        for phrase, n in zip(words.tolist(), counts.tolist()):
+            out[tuple(phrase)] += n
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 64, 499, 500, 501])
+def test_blocks_add_up(monkeypatch, block):
+    """No phrase across a seam is lost or counted twice, breaks or none."""
+    monkeypatch.setattr(collocations, "BLOCK", block)
+    draw = random.Random(block)
+    for symbols in ([0, 1, 1, 2, 3, 9], [1], [1, 2]):
+        text = np.array([draw.choice(symbols) for _ in range(500)], np.int32)
+        for depth in (2, 3, 5):
+            assert (totals(collocations.block_counts(text, depth))
+                    == totals(collocations.phrase_counts(text, depth)))
+
+
+def test_indexing_a_shard_is_bounded_in_memory():
+    """All arrays of one shard; 78 bytes a symbol when it was indexed whole, 20 in blocks."""
+    draw = np.random.default_rng(1)
+    size, known = 1_500_000, 60_000
+    text = np.minimum(draw.zipf(1.3, size), known).astype(np.int32)
+    text[draw.random(size) < 0.15] = 0
+    texts = pa.table({"shard": [0], "run": [0], "n": [size], "symbols": [shards.pack(text)]})
+    words = pa.table({"local": np.arange(1, known + 1), "id": np.arange(1, known + 1) * 7})
+    make = collocations.phrase_runs(Handed(), Handed(), 3)
+    tracemalloc.start()
+    try:
+        found = make((0,), texts, words)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    got = [collocations._opened(*row) for row in zip(*[
+        found[name].to_pylist() for name in ("size", "entries", "packed")])]
+    inner = (text[:-1] > 0) & (text[1:] > 0)
+    assert sum(int(n.sum()) for ids, n in got if len(ids) == 2) == inner.sum()
+    assert (sum(int(n.sum()) for ids, n in got if len(ids) == 3)
+            == (inner[:-1] & inner[1:]).sum())
+    assert peak < 40 * size
+
+
+def test_words_cut_out_slice_by_slice(monkeypatch):
+    texts = [text for text, _ in awkward()][:120] + [None, "", "..", "a. b"]
+    table = shards.kinds(collocations.BLANKS, collocations.CUTS)
+    want = []
+    for text in texts:
+        want += [[w.encode() for w in piece] for piece in pieces(text) if piece]
+    for limit in (1, 50, 1 << 20):
+        monkeypatch.setattr(collocations, "SLICE_BYTES", limit)
+        known, symbols = collocations.coded(pa.table({"text": pa.array(texts)}), table)
+        names = known.to_pylist()
+        assert len(set(names)) == len(names)
+        got = []
+        for symbol in symbols.tolist():
+            if symbol:
+                got[-1].append(names[symbol - 1])
+            else:
+                got.append([])
+        assert got == want
