@@ -10,7 +10,7 @@ words, the intervals of all phrases are extended together by one word, to the ri
 in the backward index and to the left in the forward index, and each step keeps the
 interval in the other index in line. An interval's size is the phrase's count in the
 block. Phrases, the extensions of shorter ones, are summed over the blocks of a shard
-and then across shards in rounds of ``FAN`` runs, exchanged by digits of a hash, so a common phrase has one
+and then across shards in rounds of up to ``FAN_MOST`` runs, exchanged by digits of a hash, so a common phrase has one
 entry per run however often it occurs.
 
 A phrase's score is its count squared over the product of the counts of its two
@@ -47,8 +47,10 @@ UNIT = 1_000_000
 SHARD_BYTES = 9 << 20
 SLICE_BYTES = 1 << 20
 BLOCK = 1 << 17
-# How many runs meet in a round, and how many parts their phrases are dealt to.
+# How many runs meet in a round, and how many parts their phrases are dealt to: as many
+# as there are runs within these bounds, so that one round is enough and no part grows.
 FAN = 128
+FAN_MOST = 1 << 13
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 SHARD_DDL = ("shard bigint, lang string, word binary, local bigint, n bigint, "
              "symbols binary")
@@ -180,36 +182,43 @@ def block_counts(text: np.ndarray, depth: int
 # --- runs of phrases -------------------------------------------------------------
 
 
-def _digit(words: np.ndarray, number: int) -> np.ndarray:
-    """Digit ``number`` of a hash of each phrase."""
+def fan_of(count: int) -> int:
+    """How many of ``count`` runs meet in a round, a power of two."""
+    return min(max(FAN, 1 << max(count - 1, 0).bit_length()), FAN_MOST)
+
+
+def _digit(words: np.ndarray, number: int, fan: int) -> np.ndarray:
+    """Digit ``number`` of a hash of each phrase, below ``fan``."""
     mixed = np.zeros(len(words), np.uint64)
     for column in words.T:
         mixed = (mixed ^ column.astype(np.uint64)) * MIXER
         mixed ^= mixed >> np.uint64(29)
-    return ((mixed >> np.uint64(7 * number)) & np.uint64(FAN - 1)).astype(np.uint8)
+    shift = np.uint64((fan.bit_length() - 1) * number)
+    return ((mixed >> shift) & np.uint64(fan - 1)).astype(np.uint16)
 
 
-def _dealt(words: np.ndarray, counts: np.ndarray, digit: int
+def _dealt(words: np.ndarray, counts: np.ndarray, digit: int, fan: int
            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Phrases, a column per place, and counts by a digit of the phrase's hash, and where
     each digit ends."""
-    digits = _digit(words, digit)
+    digits = _digit(words, digit, fan)
     order = np.argsort(digits, kind="stable")
     return (words[order].T.astype(np.uint32, order="C"), counts[order],
-            np.cumsum(np.bincount(digits, minlength=FAN)))
+            np.cumsum(np.bincount(digits, minlength=fan)))
 
 
-def _run_rows(run: int, part: int, digit: int,
+def _run_rows(run: int, part: int, digit: int, fan: int,
               found: Iterable[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
     """Phrases and counts of one run, dealt to parts by a digit of their hash; those of
     several tables are summed part by part."""
     dealt: dict[int, list[tuple]] = {}
     for words, counts in found:
         if len(words):
-            dealt.setdefault(words.shape[1], []).append(_dealt(words, counts, digit))
+            dealt.setdefault(words.shape[1], []).append(
+                _dealt(words, counts, digit, fan))
     rows: list[tuple] = []
     for size, tables in dealt.items():
-        for number in range(FAN):
+        for number in range(fan):
             cuts = [slice(ends[number - 1] if number else 0, ends[number])
                     for _, _, ends in tables]
             words, counts = summed([(words[:, cut], counts[cut]) for cut, (words, counts, _)
@@ -217,7 +226,7 @@ def _run_rows(run: int, part: int, digit: int,
             if not len(counts):
                 continue
             packed = (shards.pack(words), shards.pack(counts.astype(np.int64)))
-            rows.append((run, part * FAN + number, size, len(counts),
+            rows.append((run, part * fan + number, size, len(counts),
                          len(packed[0]).to_bytes(4, "little") + b"".join(packed)))
     return pa.Table.from_arrays(
         [pa.array(column, field.type) for column, field in
@@ -242,8 +251,9 @@ def summed(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return words[:, starts], np.add.reduceat(counts, starts)
 
 
-def merge_round(runs: DataFrame, digit: int, last: bool, min_count: int) -> DataFrame:
-    """Let ``FAN`` runs exchange their parts and sum what meets. The last round
+def merge_round(runs: DataFrame, digit: int, last: bool, min_count: int,
+                fan: int) -> DataFrame:
+    """Let ``fan`` runs exchange their parts and sum what meets. The last round
     gives phrases with at least ``min_count``."""
     def opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return summed([_opened(*row) for row in zip(
@@ -261,9 +271,9 @@ def merge_round(runs: DataFrame, digit: int, last: bool, min_count: int) -> Data
 
     def merged(key: tuple, table: pa.Table) -> pa.Table:
         words, counts = opened(table)
-        return _run_rows(key[0].as_py(), key[1].as_py(), digit, [(words.T, counts)])
+        return _run_rows(key[0].as_py(), key[1].as_py(), digit, fan, [(words.T, counts)])
 
-    grouped = (runs.withColumn("_run", F.floor(F.col("run") / FAN))
+    grouped = (runs.withColumn("_run", F.floor(F.col("run") / fan))
                .groupBy("_run", "part", "size"))
     if last:
         return grouped.applyInArrow(finished, "ids array<bigint>, n bigint")
@@ -333,12 +343,13 @@ def vocabulary(words: DataFrame, min_count: int) -> DataFrame:
                   "id").withColumn("id", F.col("id") + 1)
 
 
-def phrase_runs(texts: DataFrame, numbered: DataFrame, max_words: int) -> DataFrame:
+def phrase_runs(texts: DataFrame, numbered: DataFrame, max_words: int,
+                fan: int = FAN) -> DataFrame:
     """The phrases of each shard as runs, from its symbols and its frequent words."""
     def make(key: tuple, text: pa.Table, words: pa.Table) -> pa.Table:
         run = text["run"][0].as_py() if text.num_rows else 0
         if not text.num_rows or not words.num_rows:
-            return _run_rows(run, 0, 0, [])
+            return _run_rows(run, 0, 0, fan, [])
         symbols = shards.unpack(text["symbols"][0].as_py(), np.int32, text["n"][0].as_py())
         ids = words["id"].to_numpy()
         order = np.argsort(ids)
@@ -353,8 +364,8 @@ def phrase_runs(texts: DataFrame, numbered: DataFrame, max_words: int) -> DataFr
         short = short[~(broken & np.concatenate([[True], broken[:-1]]))]
         del symbols, broken
         named = np.concatenate([[0], ids])
-        return _run_rows(run, 0, 0, ((named[found], counts) for found, counts
-                                     in block_counts(short, max_words)))
+        return _run_rows(run, 0, 0, fan, ((named[found], counts) for found, counts
+                                          in block_counts(short, max_words)))
 
     return (texts.groupBy("shard").cogroup(numbered.groupBy("owner"))
             .applyInArrow(make, RUN_DDL))
@@ -377,10 +388,11 @@ def phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10,
     places = ranked(texts.select("shard"), [], [F.col("shard")], "run")
     count = places.count()
     texts = texts.join(small_side(places), "shard")
-    runs = phrase_runs(texts, numbered, max_words)
-    rounds = max(1, math.ceil(math.log(max(count, 1), FAN)))
+    fan = fan_of(count)
+    runs = phrase_runs(texts, numbered, max_words, fan)
+    rounds = max(1, math.ceil(math.log(max(count, 1), fan)))
     for number in range(1, rounds + 1):
-        runs = staged(merge_round(runs, number, number == rounds, min_count), "phrases")
+        runs = staged(merge_round(runs, number, number == rounds, min_count, fan), "phrases")
     return totals, known, runs
 
 

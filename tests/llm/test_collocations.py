@@ -204,3 +204,22 @@ def test_words_cut_out_slice_by_slice(monkeypatch):
             else:
                 got.append([])
         assert got == want
+
+
+@pytest.mark.parametrize("most, rounds", [(2, range(2, 9)), (64, range(1, 2))])
+def test_runs_meet_in_one_round(docs, monkeypatch, most, rounds):
+    """Parts grow with the runs, so phrases are exchanged once; beyond the bound, again."""
+    monkeypatch.setattr(collocations, "FAN", 2)
+    monkeypatch.setattr(collocations, "FAN_MOST", most)
+    made, merge = [], collocations.merge_round
+    monkeypatch.setattr(collocations, "merge_round",
+                        lambda *a: made.append(a) or merge(*a))
+    rows = awkward()
+    table = docs([(i, text, lang) for i, (text, lang) in enumerate(rows)]).repartition(8)
+    assert rows_of(collocations.collocations(table)) == brute(rows)
+    assert len(made) in rounds
+
+
+def test_fan_follows_the_runs():
+    assert [collocations.fan_of(n) for n in (0, 1, 128, 129, 256, 5000, 10**6)] == [
+        128, 128, 128, 256, 256, 8192, 8192]
