@@ -223,3 +223,12 @@ def test_runs_meet_in_one_round(docs, monkeypatch, most, rounds):
 def test_fan_follows_the_runs():
     assert [collocations.fan_of(n) for n in (0, 1, 128, 129, 256, 5000, 10**6)] == [
         128, 128, 128, 256, 256, 8192, 8192]
+
+
+@pytest.mark.parametrize("depth", [3, 4, 5])
+def test_texts_without_breaks(depth):
+    """The end of a text is not taken for its smallest suffix."""
+    for text in ([2, 1, 1, 2, 1, 2, 1], [1, 2, 1, 2, 1, 1], [1] * 6, [1, 2, 1]):
+        want = Counter(tuple(text[at:at + n]) for n in range(2, depth + 1)
+                       for at in range(len(text) - n + 1))
+        assert totals(collocations.phrase_counts(np.array(text), depth)) == want
